@@ -54,3 +54,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> SparkSession:
+    """Hold at most ``rows`` rows in one Arrow batch, so that long texts fit in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
