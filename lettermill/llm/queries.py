@@ -8,17 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, secret_scan, sharding, warc
+from . import bpe, chat, decontam, exact_dedup, langid, maxent_lm, ngram_join, secret_scan, sharding, warc
 from .common import table
 
 #: Vocabulary of the encoder: 50 256 ranks.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = langid.fold("doc_id", 3)
+    model = langid.fit(docs, fold != 1)
+    return langid.predict(docs, model, keep=F.coalesce(fold == 1, F.lit(False))).select("doc_id", F.col("kept").alias("held_out"), "lang_pred", "score", "n_words", (F.size("spans") - 1).alias("n_switches"))
+
+
+def op2_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(table(spark, sf_dir, "documents"), langid.fold("doc_id", 7) == 2)
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_budgeted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "<|im_end|><|im_start|>assistant ok"
@@ -52,7 +67,7 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_secret_ownership, op5_budgeted_chat, op6_cgk_decontamination, op7_bounded_ring, op8_zstd_warc, op9_bloom_dedup, op10_chunked_bpe)
+    f.__name__: f for f in (op1_crf_language, op2_maxent_score, op3_secret_ownership, op4_partition_join, op5_budgeted_chat, op6_cgk_decontamination, op7_bounded_ring, op8_zstd_warc, op9_bloom_dedup, op10_chunked_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
