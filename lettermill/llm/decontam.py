@@ -180,53 +180,90 @@ def build(items: list[tuple[int, str | None]], rate: float, min_words: int, reca
     return index
 
 
-def _windows(index: Index, codes: np.ndarray) -> dict[int, np.ndarray]:
-    """For each size the starts of windows that are aligned to an intact segment."""
+def aligned(index: Index, codes: np.ndarray) -> dict[int, np.ndarray]:
+    """For each size the starts of windows that are aligned to an intact segment.
+
+    A segment has words of the items only, so runs with another word (code 0) are
+    passed over before anything is hashed.
+    """
+    known = np.concatenate([[0], np.cumsum(codes > 0)])
     out = defaultdict(list)
     for length, (hashes, sizes, offsets) in index.segments.items():
-        runs = rolling(codes, length)
+        spots = np.flatnonzero(known[length:] - known[:-length] == length)
+        if not len(spots):
+            continue
+        runs = np.zeros(len(spots), np.uint64)
+        for j in range(length):
+            runs = _mix(runs ^ codes[spots + j].astype(np.uint64))
         low = np.searchsorted(hashes, runs)
         hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == runs)
-        for p in hit.tolist():
-            k = low[p]
-            while k < len(hashes) and hashes[k] == runs[p]:
+        for p, run, k in zip(spots[hit].tolist(), runs[hit].tolist(), low[hit].tolist(), strict=True):
+            while k < len(hashes) and hashes[k] == run:
                 out[int(sizes[k])].append(p - int(offsets[k]))
                 k += 1
     return {size: np.unique(starts) for size, starts in out.items()}
 
 
-def search(index: Index, codes: np.ndarray) -> dict[int, tuple[int, int, int]]:
-    """item id -> (distance, start, stop) of the leaks in one word sequence."""
+def search(index: Index, codes: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(text, item id) -> (distance, start, stop) of the leaks in texts that lie one after another, each closed by a 0."""
     best = {}
-    for size, starts in _windows(index, codes).items():
+    for size, starts in aligned(index, codes).items():
         own = index.sizes[size]
-        spots = starts[:, None] + np.arange(size)
-        grid = np.where((spots >= 0) & (spots < len(codes)), codes[np.clip(spots, 0, len(codes) - 1)], 0)
+        # a window belongs to the text of its middle, which its segment is nearest to
+        text = np.searchsorted(ends, np.clip(starts + size // 2, 0, len(codes) - 1), "right")
+        low, high = np.concatenate([[0], ends])[text], ends[text] - 1
+        for own_text in (0, -1, 1):
+            # a window that sticks out of a text by more than half is tried for its neighbour as well
+            where = text + own_text
+            fits = (where >= 0) & (where < len(ends))
+            if own_text:
+                fits &= (starts < low) if own_text < 0 else (starts + size > high)
+            if fits.any():
+                _verify(index, own, codes, ends, size, starts[fits], where[fits], best)
+    return best
+
+
+def _verify(index: Index, own: _Size, codes: np.ndarray, ends: np.ndarray, size: int, starts: np.ndarray, text: np.ndarray, best: dict) -> None:
+    """Candidates of windows by their sketches, then the exact distance inside the window's text."""
+    low, high = np.concatenate([[0], ends])[text], ends[text] - 1
+    for at in range(0, len(starts), 4096):
+        part = slice(at, at + 4096)
+        spots = starts[part, None] + np.arange(size)
+        inside = (spots >= low[part, None]) & (spots < high[part, None])
+        grid = np.where(inside, codes[np.clip(spots, 0, len(codes) - 1)], 0)
         keys, pairs = sketch(grid, index.tables), set()
         for t, (entries, order) in enumerate(own.entries):
-            low, high = np.searchsorted(entries, keys[:, t]), np.searchsorted(entries, keys[:, t], "right")
-            for w in np.flatnonzero(high > low).tolist():
-                pairs.update((w, k) for k in order[low[w] : high[w]].tolist())
+            first, last = np.searchsorted(entries, keys[:, t]), np.searchsorted(entries, keys[:, t], "right")
+            for w in np.flatnonzero(last > first).tolist():
+                pairs.update((w, k) for k in order[first[w] : last[w]].tolist())
         for w, k in sorted(pairs):
-            begin = max(0, int(starts[w]) - own.edits)
-            distance, start, stop = best_stretch(own.items[k], codes[begin : int(starts[w]) + size + own.edits])
+            bottom, top, start = int(low[at + w]), int(high[at + w]), int(starts[at + w])
+            begin = max(bottom, start - own.edits)
+            distance, a, b = best_stretch(own.items[k], codes[begin : min(top, start + size + own.edits)])
             if distance <= own.edits:
-                found = (distance, begin + start, begin + stop)
-                best[own.ids[k]] = min(best.get(own.ids[k], found), found)
-    return best
+                found = (distance, begin + a - bottom, begin + b - bottom)
+                key = (int(text[at + w]), own.ids[k])
+                best[key] = min(best.get(key, found), found)
 
 
-def text_codes(texts: pa.Array, vocabulary: pa.Array) -> list[np.ndarray]:
-    """Word codes of every text: 0 for words that no item has; words without letters or digits are left out."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    ends = split.offsets.to_numpy()
+def text_codes(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word codes of all texts, a 0 after each, and where each ends: 0 for words that no item has; words without letters or digits are left out."""
+    split = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     words = pc.dictionary_encode(split.flatten())
-    distinct = [clean_word(w) for w in words.dictionary.to_pylist()]
-    table = pc.fill_null(pc.index_in(pa.array(distinct, pa.string()), vocabulary), -1).to_numpy() + 1
-    table = np.where(np.array([not w for w in distinct], bool), -1, table) if distinct else np.zeros(0, np.int64)
-    codes = table[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-    ends = ends - ends[0]
-    return [c[c >= 0] for c in (codes[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))]
+    distinct = [w if w.isalnum() else clean_word(w) for w in words.dictionary.to_pylist()]
+    table = pc.fill_null(pc.index_in(pa.array(distinct, pa.string()), vocabulary), -1).to_numpy().astype(np.int64) + 1
+    blank = np.array([not w for w in distinct], bool)
+    code = words.indices.to_numpy() if len(words) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    full = ~blank[code] if len(code) else np.zeros(0, bool)
+    owner, code = owner[full], code[full]
+    sizes = np.bincount(owner, minlength=len(texts)) + 1
+    ends = np.cumsum(sizes)
+    codes = np.zeros(int(sizes.sum()), np.int64)
+    inner = np.ones(len(codes), bool)
+    inner[ends - 1] = False
+    codes[inner] = table[code] if len(code) else 0
+    return codes, ends
 
 
 _MATCH = "item_id long, distance int, start_word long, n_words int"
@@ -245,10 +282,9 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
         def run(batches, index=index):
             for batch in batches:
-                found = []
-                for i, codes in zip(batch.column(0).to_pylist(), text_codes(batch.column(1), index.value.vocabulary), strict=True):
-                    if len(codes):
-                        found += [(i, k, d, a, b - a) for k, (d, a, b) in sorted(search(index.value, codes).items())]
+                ids = batch.column(0).to_pylist()
+                leaks = search(index.value, *text_codes(batch.column(1), index.value.vocabulary)) if ids else {}
+                found = [(ids[text], item, d, a, b - a) for (text, item), (d, a, b) in sorted(leaks.items(), key=str)]
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "distance", "start_word", "n_words"])
