@@ -265,8 +265,11 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write every page to archives in the shared folder and read the records back."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    sample = pages.select(payload.alias("p")).where("p <> ''").orderBy(F.xxhash64("p"), F.length("p")).limit(DICTIONARY_SAMPLE)
-    dictionary = train_dictionary([r["p"][:16384].encode() for r in sample.collect()])
+    texts = pages.select(payload.alias("p")).where("p <> ''")
+    share = min(1.0, 1.5 * DICTIONARY_SAMPLE / max(1, pages.count()))
+    spot = F.pmod(F.xxhash64("p"), F.lit(1 << 20))
+    sample = texts.where(spot < share * (1 << 20)).select(F.substring("p", 1, 16384).alias("p")).distinct().orderBy(F.xxhash64("p")).limit(DICTIONARY_SAMPLE)
+    dictionary = train_dictionary([r["p"].encode() for r in sample.collect()])
     path = new_path(spark, "warc")
     manifest = write(with_revisits(pages, id_col, url_col, payload_col), path, dictionary)
     if manifest.isEmpty():
