@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import letter_words, squeeze
+from .text import bind, letter_words, squeeze
 
 # The sentiment lexicon and its negations.
 POSITIVE = (
@@ -72,18 +72,23 @@ STOP_WORDS = {
 
 def sentiment(text: Column) -> Column:
     """struct(label, score, positive, negative): lexicon words, turned round by a negation one or two words before."""
-    tokens = letter_words(text)
     negations = F.array(*map(F.lit, NEGATIONS))
 
-    def polarity(word: Column, i: Column) -> Column:
-        sign = F.when(word.isin(*POSITIVE), 1).when(word.isin(*NEGATIVE), -1).otherwise(0)
-        turned = F.arrays_overlap(F.slice(tokens, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), negations)
-        return F.when((sign != 0) & (i > 0) & turned, -sign).otherwise(sign)
+    def signs(tokens: Column) -> Column:
+        def polarity(word: Column, i: Column) -> Column:
+            sign = F.when(word.isin(*POSITIVE), 1).when(word.isin(*NEGATIVE), -1).otherwise(0)
+            turned = F.arrays_overlap(F.slice(tokens, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), negations)
+            return F.when((sign != 0) & (i > 0), F.when(turned, -sign).otherwise(sign)).otherwise(sign)
 
-    signs = F.transform(tokens, polarity)
-    good, bad = F.size(F.filter(signs, lambda s: s > 0)), F.size(F.filter(signs, lambda s: s < 0))
-    score = F.when(good + bad == 0, 0.0).otherwise((good - bad) / (good + bad))
-    return F.struct(F.when(score > 0.1, "positive").when(score < -0.1, "negative").otherwise("neutral").alias("label"), F.round(score, 4).alias("score"), good.alias("positive"), bad.alias("negative"))
+        return F.transform(tokens, polarity)
+
+    def summed(found: Column) -> Column:
+        good, bad = F.size(F.filter(found, lambda s: s > 0)), F.size(F.filter(found, lambda s: s < 0))
+        score = F.when(good + bad == 0, 0.0).otherwise((good - bad) / (good + bad))
+        label = F.when(score > 0.1, "positive").when(score < -0.1, "negative").otherwise("neutral")
+        return F.struct(label.alias("label"), F.round(score, 4).alias("score"), good.alias("positive"), bad.alias("negative"))
+
+    return bind(bind(letter_words(text), signs), summed)
 
 
 def language_shares(rows: DataFrame, key: str, text: str, stop_words: dict[str, tuple[str, ...]] = STOP_WORDS) -> DataFrame:

@@ -75,12 +75,20 @@ def match_state(quote: Column, surface: Column, least_alnum: int = 24) -> Column
     return F.when(surface.isNull(), "orphaned").when(wanted == "", "unverified").when(exact, "exact").when(near, "near_exact").otherwise("unverified")
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """Distinct lower-cased n-grams of the squeezed text; a shorter text is its own."""
-    clean = F.lower(squeeze(text))
-    size = F.length(clean)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - (n - 1))), lambda i: F.substring(clean, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    def grams(chars: Column) -> Column:
+        at = lambda i: F.concat(*(F.element_at(chars, i + k) for k in range(n)))
+        full = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), at)
+        return F.when(F.size(chars) >= n, F.array_distinct(full)).when(F.size(chars) > 0, F.array(F.array_join(chars, ""))).otherwise(F.array().cast("array<string>"))
+
+    return bind(F.filter(F.split(F.lower(squeeze(text)), ""), lambda c: c != ""), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -61,7 +61,7 @@ def evidence_verify(spark, sf):
     return quotes.join(found, "item_id", "left").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("verified"))
 
 
-_GRAMS = "list_distinct(list_transform(range(1, greatest(2, length(c) - 1)), i -> c[i:i+2]))"
+_GRAMS = "list_distinct(list_transform(range(1, greatest(2, length(c) - 1)), lambda i: c[i:i+2]))"
 
 
 @query(f"""WITH g AS (SELECT conv_id, turn, {_GRAMS} AS g FROM (SELECT conv_id, turn, {_QUOTE_FORM.format("text")} AS c FROM conversations))
@@ -84,12 +84,12 @@ def _entities(spark, sf, kind):
 _BODIES = "(SELECT CAST(doc_id AS VARCHAR) AS uid, text AS body FROM documents UNION ALL SELECT 'page' || page_id, html FROM pages)"
 
 
-@query(rf"SELECT DISTINCT uid, unnest(list_transform(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}'), e -> lower(e))) AS entity FROM {_BODIES}")
+@query(rf"SELECT DISTINCT uid, unnest(list_transform(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}'), lambda e: lower(e))) AS entity FROM {_BODIES}")
 def regex_entities_email(spark, sf):
     return _entities(spark, sf, "email")
 
 
-@query(rf"SELECT DISTINCT uid, unnest(list_transform(regexp_extract_all(body, '@[a-zA-Z]\w{{1,30}}'), e -> lower(e))) AS entity FROM {_BODIES}")
+@query(rf"SELECT DISTINCT uid, unnest(list_transform(regexp_extract_all(body, '@[a-zA-Z]\w{{1,30}}'), lambda e: lower(e))) AS entity FROM {_BODIES}")
 def regex_entities_mention(spark, sf):
     return _entities(spark, sf, "mention")
 
@@ -112,7 +112,7 @@ def regex_entities_domain(spark, sf):
     return A.table(spark, sf, "pages").select("url", analysis.organisation(F.concat(F.lit("mail@"), host)).alias("domain"))
 
 
-@query(rf"""WITH m AS (SELECT DISTINCT uid, unnest(list_transform(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}'), e -> lower(e))) AS entity FROM {_BODIES})
+@query(rf"""WITH m AS (SELECT DISTINCT uid, unnest(list_transform(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}'), lambda e: lower(e))) AS entity FROM {_BODIES})
     SELECT entity, count(*) AS emails, min(uid) AS first_uid FROM m WHERE entity LIKE '%example%' GROUP BY 1""")
 def entity_search(spark, sf):
     hits = _entities(spark, sf, "email").where(filters.contains_like(F.col("entity"), "example"))
@@ -120,8 +120,8 @@ def entity_search(spark, sf):
 
 
 @query(rf"""WITH m AS (
-        SELECT DISTINCT uid, 'email' AS kind, unnest(list_transform(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}'), e -> lower(e))) AS entity FROM {_BODIES}
-        UNION ALL SELECT DISTINCT uid, 'mention', unnest(list_transform(regexp_extract_all(body, '@[a-zA-Z]\w{{1,30}}'), e -> lower(e))) FROM {_BODIES})
+        SELECT DISTINCT uid, 'email' AS kind, unnest(list_transform(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}'), lambda e: lower(e))) AS entity FROM {_BODIES}
+        UNION ALL SELECT DISTINCT uid, 'mention', unnest(list_transform(regexp_extract_all(body, '@[a-zA-Z]\w{{1,30}}'), lambda e: lower(e))) FROM {_BODIES})
     SELECT a.entity, b.entity AS other, count(DISTINCT a.uid) AS emails FROM m a JOIN m b ON a.uid = b.uid AND a.kind = 'email' AND b.kind = 'mention' GROUP BY 1, 2""")
 def entity_cooccurrence(spark, sf):
     emails, mentions = _entities(spark, sf, "email"), _entities(spark, sf, "mention").withColumnRenamed("entity", "other")
@@ -134,9 +134,9 @@ _LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in
 
 
 @query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+(?:''\p{{L}}+)?') AS w FROM documents),
-    s AS (SELECT doc_id, list_transform(w, (x, i) -> (CASE WHEN list_contains({_LIST(analysis.POSITIVE)}, x) THEN 1 WHEN list_contains({_LIST(analysis.NEGATIVE)}, x) THEN -1 ELSE 0 END)
+    s AS (SELECT doc_id, list_transform(w, lambda x, i: (CASE WHEN list_contains({_LIST(analysis.POSITIVE)}, x) THEN 1 WHEN list_contains({_LIST(analysis.NEGATIVE)}, x) THEN -1 ELSE 0 END)
             * (CASE WHEN i > 1 AND list_has_any(w[greatest(1, i - 2):i - 1], {_LIST(analysis.NEGATIONS)}) THEN -1 ELSE 1 END)) AS p FROM t),
-    c AS (SELECT doc_id, len(list_filter(p, x -> x > 0))::INT AS positive, len(list_filter(p, x -> x < 0))::INT AS negative FROM s),
+    c AS (SELECT doc_id, len(list_filter(p, lambda x: x > 0))::INT AS positive, len(list_filter(p, lambda x: x < 0))::INT AS negative FROM s),
     d AS (SELECT *, CASE WHEN positive + negative = 0 THEN 0 ELSE (positive - negative) / (positive + negative) END::DOUBLE AS v FROM c)
     SELECT doc_id, CASE WHEN v > 0.1 THEN 'positive' WHEN v < -0.1 THEN 'negative' ELSE 'neutral' END AS label, round(v, 4) AS score, positive, negative FROM d""")
 def sentiment(spark, sf):
@@ -148,7 +148,7 @@ def sentiment_distribution(spark, sf):
     return sentiment(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
-_SHARE = lambda lang: f"CASE WHEN len(w) > 0 THEN len(list_filter(w, x -> list_contains({_LIST(analysis.STOP_WORDS[lang])}, x))) / len(w) ELSE 0 END::DOUBLE"
+_SHARE = lambda lang: f"CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains({_LIST(analysis.STOP_WORDS[lang])}, x))) / len(w) ELSE 0 END::DOUBLE"
 
 
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ]+') AS w FROM documents),

@@ -59,7 +59,7 @@ def source_history(spark, sf):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def streaming_dedup(spark, sf):
     """Distinct (user, type) pairs, read as a stream to its end."""
-    return ingest.run_to_end(spark, ingest.first_of_each(ingest.events(spark, sf), ["user_id", "event_type"]), "dedup")
+    return ingest.run_to_end(spark, ingest.first_of_each(ingest.events(spark, sf), ["user_id", "event_type"]), "dedup").select("user_id", "event_type")
 
 
 @query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")

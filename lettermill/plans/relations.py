@@ -62,15 +62,15 @@ def contact_identity(spark, sf):
 
 
 @query(f"""SELECT uid, name, size, mime_type, sender FROM {A.ATTACHMENTS}
-    WHERE name ILIKE '%ar%' AND lower(name) LIKE '%.brass' ORDER BY size DESC, uid, line LIMIT 50 OFFSET 10""")
+    WHERE name ILIKE '%WI%' AND lower(name) LIKE '%.promo' ORDER BY size DESC, uid, line LIMIT 50 OFFSET 10""")
 def attachments_browse(spark, sf):
-    rows = A.attachments(spark, sf).where(filters.contains_like(F.col("name"), "ar") & F.lower("name").endswith(".brass"))
+    rows = A.attachments(spark, sf).where(filters.contains_like(F.col("name"), "WI") & F.lower("name").endswith(".promo"))
     return rows.orderBy(F.desc("size"), "uid", "line").offset(10).limit(50).select("uid", "name", "size", "mime_type", "sender")
 
 
-@query(f"""SELECT uid, string_agg(name, ', ' ORDER BY name) AS names, count(*) AS n FROM {A.ATTACHMENTS} WHERE mime_type ILIKE '%steel%' GROUP BY 1""")
+@query(f"""SELECT uid, string_agg(name, ', ' ORDER BY name) AS names, count(*) AS n FROM {A.ATTACHMENTS} WHERE mime_type ILIKE '%econ%' GROUP BY 1""")
 def emails_by_attachment(spark, sf):
-    rows = A.attachments(spark, sf).where(filters.contains_like(F.col("mime_type"), "steel"))
+    rows = A.attachments(spark, sf).where(filters.contains_like(F.col("mime_type"), "econ"))
     return rows.groupBy("uid").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"), F.count(F.lit(1)).alias("n"))
 
 
@@ -94,7 +94,7 @@ def cluster_summary(spark, sf):
 
 @query("""WITH c AS (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1)
     SELECT e.label, e.vec_id, round(1 - list_dot_product(e.embedding::DOUBLE[], c.embedding::DOUBLE[])
-        / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 4) AS distance
+        / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 4) + 0 AS distance
     FROM embeddings e JOIN c USING (label)""")
 def cluster_members(spark, sf):
     """Members with their distance from the first of the cluster."""
@@ -102,7 +102,7 @@ def cluster_members(spark, sf):
 
     rows = A.table(spark, sf, "embeddings")
     heads = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("head"))
-    return rows.join(heads, "label").select("label", "vec_id", F.round(1 - cosine(F.col("embedding"), F.col("head")), 4).alias("distance"))
+    return rows.join(heads, "label").select("label", "vec_id", (F.round(1 - cosine(F.col("embedding"), F.col("head")), 4) + 0.0).alias("distance"))
 
 
 @query("""SELECT d.lang, count(l.doc_id) AS labelled, coalesce(sum(l.quality), 0)::BIGINT AS good, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""")
