@@ -334,7 +334,8 @@ def reply_context(body: str | None) -> dict:
     """Sender, recipients, subject and date named by the header lines of a quoted message."""
     keys = {"from": "sender", "von": "sender", "de": "sender", "to": "recipients", "an": "recipients", "subject": "subject", "betreff": "subject", "sent": "date", "date": "date", "gesendet": "date"}
     rows = (body or "").splitlines()
-    for k in range(len(rows)):
+    is_header = [bool(r.strip().partition(":")[1]) and r.strip().partition(":")[0].strip().casefold() in HEADER_LABELS for r in rows]
+    for k in (k for k, header in enumerate(is_header) if header):
         found, hits = {}, 0
         for row in rows[k : k + 12]:
             label, colon, value = row.strip().partition(":")

@@ -12,7 +12,7 @@ def message_key(column):
     return F.regexp_replace(F.trim(column), "^<|>$", "")
 
 
-def thread_roots(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
+def thread_roots(messages: DataFrame) -> DataFrame:
     """(uid, thread_id): the root of each message's reply chain, by pointer jumping.
 
     A parent that is not in the archive makes its child a root.  Rounds double the
@@ -21,16 +21,19 @@ def thread_roots(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     ids = messages.select(F.col("uid").alias("parent_uid"))
     links = messages.select("uid", message_key(F.col("in_reply_to")).alias("up")).join(ids, F.col("up") == F.col("parent_uid"), "left")
-    links = links.select("uid", F.coalesce("parent_uid", "uid").alias("up"), F.least("uid", F.coalesce("parent_uid", "uid")).alias("low")).persist()
-    for _ in range(max_rounds):
+    links = links.select("uid", F.coalesce("parent_uid", "uid").alias("up"), F.least("uid", F.coalesce("parent_uid", "uid")).alias("low"), (F.col("parent_uid").isNull() | (F.col("parent_uid") == F.col("uid"))).alias("is_root")).persist()
+    roots = links.where("is_root").select(F.col("uid").alias("root"))
+    for _ in range(max(1, links.count()).bit_length() + 1):
         above = links.select(F.col("uid").alias("u"), F.col("up").alias("up2"), F.col("low").alias("low2"))
         jumped = links.join(above, F.col("up") == F.col("u")).select("uid", F.col("up2").alias("next"), F.least("low", "low2").alias("low"), (F.col("up2") != F.col("up")).alias("moved")).persist()
-        moved = jumped.where("moved").isEmpty()
-        links.unpersist()
+        moved = not jumped.where("moved").isEmpty()
         links = jumped.select("uid", F.col("next").alias("up"), "low")
-        if moved:
-            return links.select("uid", F.col("up").alias("thread_id"))
-    return links.select("uid", F.col("low").alias("thread_id"))
+        if not moved:
+            break
+    # what ends at no root is in a cycle, or leads into one: the cycle's smallest uid stands for it
+    ends = links.select(F.col("uid").alias("end"), F.col("low").alias("end_low"))
+    placed = links.join(ends, F.col("up") == F.col("end")).join(roots, F.col("up") == F.col("root"), "left")
+    return placed.select("uid", F.coalesce("root", "end_low").alias("thread_id"))
 
 
 def transitions(messages: DataFrame, key: str, order: list[str], column: str) -> DataFrame:
