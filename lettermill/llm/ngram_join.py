@@ -25,11 +25,15 @@ a common passage, before any set is read.  Signatures that more than ``HOT`` set
 have are not paired: a set has more filled segments than it needs, so its most
 frequent ones are left out first (a pair still meets in the others); where hot
 ones are needed they connect the sets with one pivot each, and only sets that end
-in different components are compared further.
+in different components are compared further, in blocks through an inverted index.
 
-Pairs are verified exactly, first one partner a set, then what still joins
-different components; links inside one component cannot change it.  Components
-come from alternating large-star and small-star rounds over staged tables.
+Pairs are compared a bundle of connected candidates at a time, so that each set
+travels once: first as a bitmap of the bins it fills, where too many bins that only
+one set fills rule a link out, then, in what is left, exactly.  Pairs inside one
+component are left out, as they cannot change it.  A bundle too large for a task is
+cut into blocks of classes.
+Components come from alternating large-star and small-star rounds over staged
+tables.
 
 Defined cases: without words or text a set is empty and links with nothing; with
 fewer than five words the whole sequence is the one shingle; repeated rows are one
@@ -56,10 +60,15 @@ from .common import fresh, small_batches, stage
 
 WORDS = 5
 HOT = 32
-BUCKET_SIGNATURES = 2_000_000
+BUCKET_SIGNATURES = 6_000_000
 BLOCK_WORDS = 1 << 20
+PAIRS_AT_ONCE = 1_000_000
+#: Bytes of a signature that travel beside its bucket; the rest of 8 bytes holds its set's place when they are sorted.
+SIGN_BYTES = 5
+#: Candidate bundles of up to so many bytes are compared in one task.
+BUNDLE_BYTES = 48 << 20
 MAX_BROADCAST = 1_000_000
-PIVOT_ROUNDS = 2
+OUTSIDERS, MEMBER_ELEMENTS = 256, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,7 +194,7 @@ def _sign(buckets: int):
             for b in present.tolist():
                 chosen = order[edges[b] : edges[b + 1]]
                 own, code = np.unique(owner[chosen], return_inverse=True)
-                short = sign[chosen].view(np.uint8).reshape(-1, 8)[:, 2:]
+                short = sign[chosen].view(np.uint8).reshape(-1, 8)[:, 8 - SIGN_BYTES :]
                 packed.append(short.tobytes() + code.astype("<u4" if len(own) > 65536 else "<u2").tobytes())
                 sets.append(table[own].tobytes())
             n = len(packed)
@@ -228,70 +237,87 @@ def _rows(kind: int, rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([full[f.name] if f.name in full else pa.nulls(rows, f.type) for f in _MATCH_ARROW], schema=_MATCH_ARROW)
 
 
+def _grouped(x: np.ndarray, y: np.ndarray, shared: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One row per pair: the sum of what is shared, the most that is needed."""
+    if not len(x):
+        return x, y, shared, need
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    return x[first], y[first], np.add.reduceat(shared[order], first), np.maximum.reduceat(need[order], first)
+
+
+def _shared(sets: np.ndarray, size: np.ndarray, filled: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs whose sizes allow a link, how many signatures they share here, and how many a link needs in all."""
+    fits = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
+    a, b = a[fits], b[fits]
+    need = np.where((filled[a] > 0) & (filled[b] > 0), np.maximum(filled[a], filled[b]) - (size[a] + size[b]) // 7, 1)
+    return _grouped(sets[a], sets[b], np.ones(len(a), np.int64), np.maximum(1, need))
+
+
 def _match(batches):
-    """Documents pass; signatures become pairs with counts, and groups of more than ``HOT`` sets."""
-    tables, signs, codes, base = [], [], [], 0
+    """Documents pass; the signatures of each bucket become pairs with counts, and groups of more than ``HOT`` sets."""
+    held: dict[int, list[tuple[bytes, bytes]]] = {}
     for batch in batches:
         plain = batch.filter(pc.is_null(batch.column(1)))
         if plain.num_rows:
             yield _rows(DOCUMENT, plain.num_rows, doc_id=plain.column(3), set_id=plain.column(4), n=plain.column(5))
-        for sets, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if sets is None:
-                continue
-            table = np.frombuffer(sets, _ENTRY)
-            width = 4 if len(table) > 65536 else 2
-            n = len(packed) // (6 + width)
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(packed, np.uint8, 6 * n).reshape(n, 6)
-            signs.append(wide.view(np.uint64).ravel())
-            codes.append((np.frombuffer(packed, f"<u{width}", n, 6 * n) + base).astype(np.int32))
-            tables.append(table)
-            base += len(table)
-    if not signs:
-        return
-    table, sign, code = np.concatenate(tables), np.concatenate(signs), np.concatenate(codes)
-    tables, signs, codes = [], [], []
-    order = np.argsort(sign)
-    sign, code = sign[order], code[order]
+        for bucket, sets, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if sets is not None:
+                held.setdefault(bucket, []).append((sets, packed))
+    while held:
+        yield from _match_bucket(held.popitem()[1])
+
+
+def _match_bucket(blocks: list[tuple[bytes, bytes]]):
+    tables, keys, base, shift = [], [], 0, np.uint64(8 * (8 - SIGN_BYTES))
+    for sets, packed in blocks:
+        table = np.frombuffer(sets, _ENTRY)
+        width = 4 if len(table) > 65536 else 2
+        n = len(packed) // (SIGN_BYTES + width)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, 8 - SIGN_BYTES :] = np.frombuffer(packed, np.uint8, SIGN_BYTES * n).reshape(n, SIGN_BYTES)
+        key = wide.view(np.uint64).ravel()
+        key |= np.frombuffer(packed, f"<u{width}", n, SIGN_BYTES * n).astype(np.uint64) + np.uint64(base)
+        keys.append(key)
+        tables.append(table)
+        base += len(table)
+    if base > 1 << int(shift):
+        raise ValueError(f"a bucket of {base} sets: BUCKET_SIGNATURES is too large")
+    table, key = np.concatenate(tables), np.concatenate(keys)
+    del tables, keys, blocks
+    key.sort()
+    sign = key >> shift
     again = np.zeros(len(sign), bool)
     same = sign[1:] == sign[:-1]
     again[1:] |= same
     again[:-1] |= same
-    sign, code = sign[again], code[again]
+    sign, code = sign[again], (key[again] & np.uint64((1 << int(shift)) - 1)).astype(np.int64)
+    if not len(sign):
+        return
     own = table["set"][code]
     order = np.lexsort((own, sign))
     sign, code, own = sign[order], code[order], own[order]
-    if not len(sign):
-        return
     new = np.r_[True, (sign[1:] != sign[:-1]) | (own[1:] != own[:-1])]  # copies in several blocks count once
     sign, code, own = sign[new], code[new], own[new]
     edge = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
     count = np.diff(np.r_[edge, len(sign)])
     size, filled, lower = table["n"].astype(np.int64), np.abs(table["filled"]).astype(np.int64), table["filled"] < 0
 
-    left, right = [], []
+    found = []
     for g in range(2, HOT + 1):
+        i, j = np.triu_indices(g, 1)
         starts = edge[count == g]
-        for low in range(0, len(starts), 100_000):
-            grid = starts[low : low + 100_000, None] + np.arange(g)
-            i, j = np.triu_indices(g, 1)
-            left.append(code[grid[:, i]].ravel())
-            right.append(code[grid[:, j]].ravel())
-    if left:
-        a, b = np.concatenate(left), np.concatenate(right)
-        # sizes that allow a link, and how many segments such a link leaves in common
-        fits = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
-        a, b = a[fits], b[fits]
-        need = np.where((filled[a] > 0) & (filled[b] > 0), np.maximum(filled[a], filled[b]) - (size[a] + size[b]) // 7, 1)
-        x, y = table["set"][a], table["set"][b]
-        order = np.lexsort((y, x))
-        x, y, need = x[order], y[order], need[order]
-        if len(x):
-            first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            shared, need = np.diff(np.r_[first, len(x)]), np.maximum.reduceat(need, first)
-            for low in range(0, len(first), 100_000):
-                part = slice(low, low + 100_000)
-                yield _rows(PAIR, len(first[part]), set_id=pa.array(x[first[part]]), other=pa.array(y[first[part]]), shared=pa.array(shared[part], pa.int32()), need=pa.array(np.maximum(1, need[part]), pa.int32()))
+        step = max(1, PAIRS_AT_ONCE // len(i))
+        for low in range(0, len(starts), step):
+            grid = starts[low : low + step, None] + np.arange(g)
+            found.append(_shared(table["set"], size, filled, code[grid[:, i]].ravel(), code[grid[:, j]].ravel()))
+    if found:
+        x, y, shared, need = (np.concatenate(c) for c in zip(*found, strict=True))
+        x, y, shared, need = _grouped(x, y, shared, need)
+        for low in range(0, len(x), 100_000):
+            part = slice(low, low + 100_000)
+            yield _rows(PAIR, len(x[part]), set_id=pa.array(x[part]), other=pa.array(y[part]), shared=pa.array(shared[part], pa.int32()), need=pa.array(need[part], pa.int32()))
     # how many of its filled segments a set can leave out, 0 where it has none to spare
     most = np.where(lower, 2 * size // 7, size // 3)
     slack = np.maximum(0, filled - most - 1)
@@ -336,25 +362,95 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "elements"])
 
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    return texts.mapInArrow(run, "set_id long, elements binary").dropDuplicates(["set_id"])
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least 0.75."""
+    sets = stage(texts.mapInArrow(run, "set_id long, elements binary"), "join-sets")
+    # only rows that share an id, or have none, give a set twice
+    once = sets.agg(F.count(F.lit(1)) == F.count_distinct("set_id")).first()[0]
+    return sets if once else stage(sets.dropDuplicates(["set_id"]), "join-sets")
+
+
+def _verify_bundle(table: pa.Table) -> pa.Table:
+    """A spanning forest of the links among the candidate pairs of a bundle."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    nodes, others, raw = (table.column(c).to_pylist() for c in ("node", "other", "data"))
+    sets = {n: np.frombuffer(x, np.uint64) for n, o, x in zip(nodes, others, raw, strict=True) if o is None}
+    links = []
+    for a, b in sorted((n, o) for n, o in zip(nodes, others, strict=True) if o is not None):
+        if find(a) != find(b):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                root[find(b)] = find(a)
+                links.append((a, b))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def bitmap(elements: np.ndarray) -> bytes:
+    """How many elements, and which of at least four times as many bins have any."""
+    bins = max(64, 1 << (4 * len(elements) - 1).bit_length())
+    bits = np.zeros(bins, np.uint8)
+    bits[(elements >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)] = 1
+    return np.uint32(len(elements)).tobytes() + np.packbits(bits).tobytes()
+
+
+def _may_link(x: bytes, y: bytes) -> bool:
+    """Whether the bins that only one of two sets fills are no more than the elements linked sets can differ in."""
+    a, b = np.frombuffer(x, np.uint8, offset=4), np.frombuffer(y, np.uint8, offset=4)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = np.packbits(np.unpackbits(a).reshape(-1, 2).any(axis=1))
+    sizes = int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little")
+    return int(np.bitwise_count(a ^ b).sum()) <= sizes // 7
+
+
+def _screen_bundle(table: pa.Table) -> pa.Table:
+    """The pairs of a bundle that their bitmaps allow to link."""
+    nodes, others, raw = (table.column(c).to_pylist() for c in ("node", "other", "data"))
+    maps = {n: x for n, o, x in zip(nodes, others, raw, strict=True) if o is None}
+    kept = [(n, o) for n, o in zip(nodes, others, strict=True) if o is not None and _may_link(maps[n], maps[o])]
+    return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
+
+
+def _bundled(pairs: DataFrame, data: DataFrame, compare) -> DataFrame:
+    """``compare`` over bundles of connected pairs with the data (set_id, data) of their sets.
+
+    A bundle of more than ``BUNDLE_BYTES`` is cut into k classes of sets by hash, and
+    its pairs into the k * k blocks of the classes of their ends: a set travels to
+    the 2 k - 1 blocks of its class instead of once a pair.
+    """
+    bundles = components(pairs)
+    whole = bundles.union(bundles.select(F.col("root").alias("node"), "root").distinct())
+    width = data.select(F.col("set_id").alias("node"), F.octet_length("data").alias("n"))
+    classes = whole.join(width, "node").groupBy("root").agg(F.ceil(F.sum("n") / BUNDLE_BYTES).cast("int").alias("k"))
+    placed = stage(whole.join(classes, "root"), "join-bundles")
+    class_of = lambda x: F.pmod(F.xxhash64(x), F.col("k")).cast("int")
+    inner = pairs.join(placed.select(F.col("node").alias("a"), "root", "k"), "a")
+    inner = inner.select("root", class_of("a").alias("i"), class_of("b").alias("j"), F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("data"))
+    every, own = F.sequence(F.lit(0), F.col("k") - 1), class_of("node")
+    places = F.array_distinct(F.concat(F.transform(every, lambda t: F.struct(own.alias("i"), t.alias("j"))), F.transform(every, lambda t: F.struct(t.alias("i"), own.alias("j")))))
+    members = placed if placed.count() > MAX_BROADCAST else F.broadcast(placed)
+    given = data.join(members, data["set_id"] == members["node"]).select("root", "node", "data", F.explode(places).alias("p"))
+    given = given.select("root", "p.i", "p.j", "node", F.lit(None).cast("long").alias("other"), "data")
+    return stage(inner.unionByName(given).groupBy("root", "i", "j").applyInArrow(compare, "a long, b long"), "join-bundle")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """A spanning forest of the links among the pairs: screened by bitmaps of half a byte an element, then verified."""
 
     def run(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= 75 * (len(x) + len(y) - both))
-            good = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+            maps = [bitmap(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["set_id", "data"])
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    maps = stage(sets.mapInArrow(run, "set_id long, data binary"), "join-maps")
+    left = _bundled(pairs, maps, _screen_bundle)
+    return _bundled(left, sets.withColumnRenamed("elements", "data"), _verify_bundle)
 
 
 def _release(spark) -> None:
@@ -363,13 +459,6 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _in_different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose sets are in different components."""
-    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    joined = pairs.join(ra, "a", "left").join(rb, "b", "left")
-    return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
 def _needed_groups(groups: DataFrame) -> DataFrame:
     """(sign, node): hot signatures that a set cannot leave out; its most frequent ones go first."""
     each = groups.select(F.col("set_id").alias("sign"), F.col("n").alias("frequency"), F.explode(F.arrays_zip("members", "slacks")).alias("m"))
@@ -401,54 +490,82 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         pairs = pairs.withColumn("need", F.col("need") - F.greatest(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))))
     pairs = stage(pairs.where("shared >= need").select("a", "b"), "join-pairs")
 
-    # first wave: one partner a set, and one pivot a hot group
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     ends = pairs.select("a").union(pairs.select("b"))
     if hot is not None:
+        # a pivot a hot group, and for each set the pivot it meets most often: the rest of the groups is compared later
         pivot = stage(hot.groupBy("sign").agg(F.min("node").alias("a")), "join-pivot")
-        first = first.union(hot.join(pivot, "sign").select("a", F.col("node").alias("b")).where("a <> b")).distinct()
+        met = hot.join(pivot, "sign").where("a <> node").groupBy(F.col("node").alias("b"), "a").agg(F.count(F.lit(1)).alias("times"))
+        stars = met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+        pairs = stage(pairs.union(stars).distinct(), "join-pairs")
         ends = ends.union(hot.select("node"))
     wanted = ends.select(F.col("a").alias("set_id")).distinct().join(members, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    sets = stage(_with_sets(docs, stage(wanted, "join-wanted"), words), "join-sets")
-    links = stage(_verify(first, sets), "join-links")
-    roots = components(links)
+    sets = _with_sets(docs, stage(wanted, "join-wanted"), words)
+    roots = components(_verified(pairs, sets))
     _release(spark)
-
-    # second wave: what still joins different components
-    rest = stage(_in_different(pairs, roots), "join-rest")
-    if not rest.isEmpty():
-        links = stage(links.union(_verify(rest, sets)), "join-links")
-        roots = components(links)
     if hot is not None:
-        links, roots = _hot_waves(hot, links, roots, sets)
+        roots = _merged(roots, stage(_hot_links(hot, roots, sets), "join-links"))
     return _labelled(members, roots)
 
 
-def _hot_waves(hot: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links between components that meet in a hot group.
-
-    In each group the sets outside its largest component are compared with other
-    pivots of that component, then with every set of another component.
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further links, which are drawn between components only."""
+    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = links.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+    more = components(between)
+    moved = roots.join(more.select(F.col("node").alias("old"), F.col("root").alias("new")), F.col("root") == F.col("old"), "left")
+    return stage(moved.select("node", F.coalesce("new", "root").alias("root")).union(more), "join-roots")
+
+
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """Links of the outsiders of a block to members of other components, one a component."""
+    kinds, nodes, own = (table.column(c).to_pylist() for c in ("outside", "node", "root"))
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
+    inside = [k for k, outside in enumerate(kinds) if not outside]
+    size = np.array([len(sets[k]) for k in inside], np.int64)
+    elements = np.concatenate([sets[k] for k in inside]) if inside else np.zeros(0, np.uint64)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], np.repeat(np.arange(len(inside)), size)[order]
+    left, right = [], []
+    for k in (k for k, outside in enumerate(kinds) if outside):
+        low, high = np.searchsorted(elements, sets[k]), np.searchsorted(elements, sets[k], "right")
+        count = high - low
+        places = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        both = np.bincount(owner[places], minlength=len(inside))
+        met = {own[k]}
+        for j in np.flatnonzero(100 * both >= 75 * (len(sets[k]) + size - both)).tolist():
+            if own[inside[j]] not in met:
+                met.add(own[inside[j]])
+                left.append(nodes[k])
+                right.append(nodes[inside[j]])
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _hot_links(hot: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links that are missing between components that meet in a hot group.
+
+    In each group the sets outside its largest component are the outsiders.  They
+    are compared, through an inverted index, with every member of the groups that
+    have the same largest component: in blocks of outsiders against blocks of
+    members, so a task holds a bounded number of sets and no pair is a row.
     """
-    for wave in range(PIVOT_ROUNDS + 1):
-        placed = hot.join(roots, "node", "left").withColumnRenamed("node", "node_").select("sign", F.col("node_").alias("node"), F.coalesce("root", "node_").alias("root"))
-        sizes = placed.groupBy("sign", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(wave)), "node")).alias("p"))
-        best = sizes.groupBy("sign").agg(F.max(F.struct("size", "root", F.col("p.node").alias("pivot"))).alias("best"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        best = stage(best.select("sign", F.col("best.root").alias("best_root"), F.col("best.pivot").alias("pivot")), "join-best")
-        if best.isEmpty():
-            break
-        placed = stage(placed, "join-placed")
-        outside = placed.join(best, "sign").where("root <> best_root")
-        if wave < PIVOT_ROUNDS:
-            pairs = outside.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        else:
-            other = placed.select("sign", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            pairs = outside.join(other, "sign").where("root <> other_root").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        more = stage(_verify(pairs.distinct(), sets), "join-more")
-        if not more.isEmpty():
-            links = stage(links.union(more), "join-links")
-            roots = components(links)
-    return links, roots
+    placed = hot.join(roots, "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("sign", "root").agg(F.count(F.lit(1)).alias("size"))
+    best = sizes.groupBy("sign").agg(F.max(F.struct("size", "root")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sign", F.col("best.root").alias("bundle"))
+    members = stage(placed.join(best, "sign").select("bundle", "node", "root").distinct(), "join-bundles")
+    outside = members.where("root <> bundle")
+    width = sets.select("set_id", (F.octet_length("elements") / 8).alias("n"))
+    blocks = (
+        members.join(width, F.col("node") == F.col("set_id"))
+        .groupBy("bundle")
+        .agg(F.ceil(F.sum(F.when(F.col("root") != F.col("bundle"), 1).otherwise(0)) / OUTSIDERS).cast("int").alias("ys"), F.ceil(F.sum("n") / MEMBER_ELEMENTS).cast("int").alias("xs"))
+    )
+    blocks = stage(blocks.where("ys > 0 and xs > 0"), "join-blocks")
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = members.join(blocks, "bundle").select("bundle", "node", "root", F.lit(False).alias("outside"), spread("xs").alias("x"), every("ys").alias("y"))
+    rows = rows.unionByName(outside.join(blocks, "bundle").select("bundle", "node", "root", F.lit(True).alias("outside"), spread("ys").alias("y"), every("xs").alias("x")))
+    full = rows.join(sets.select(F.col("set_id").alias("node"), "elements"), "node")
+    return full.groupBy("bundle", "x", "y").applyInArrow(_compare_blocks, "a long, b long").distinct()
 
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:

@@ -218,9 +218,10 @@ def near_rows():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("hot", [4, 32])
-def test_join_matches_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "bundle"), [(4, 48 << 20), (32, 48 << 20), (32, 1000)])
+def test_join_matches_brute_force(spark, monkeypatch, hot, bundle):
     monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "BUNDLE_BYTES", bundle)
     monkeypatch.setattr(ngram_join, "BUCKET_SIGNATURES", 2000)
     rows = near_rows()
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
@@ -255,3 +256,4 @@ def test_every_linked_pair_shares_enough_signatures():
             sb, fb = ngram_join.signatures(b, number, ngram_join.possible_differences(len(b), nb == number))
             need = max(fa, fb) - (len(a) + len(b)) // 7 if fa and fb else 1
             assert len(np.intersect1d(sa, sb)) >= max(1, need)
+            assert ngram_join._may_link(ngram_join.bitmap(a), ngram_join.bitmap(b))

@@ -81,7 +81,7 @@ def test_blocks_of_many_sets_keep_their_codes():
     small["set"], small["n"], small["filled"] = [-5, -6], 10, 10
 
     def packed(signs, codes, kind):
-        return np.array(signs, np.uint64).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() + np.array(codes, kind).tobytes()
+        return np.array(signs, np.uint64).view(np.uint8).reshape(-1, 8)[:, 8 - ngram_join.SIGN_BYTES :].tobytes() + np.array(codes, kind).tobytes()
 
     batch = pa.RecordBatch.from_arrays(
         [pa.array([0, 0], pa.int32()), pa.array([big.tobytes(), small.tobytes()]), pa.array([packed([1 << 40], [69_999], "<u4"), packed([7 << 40] * 9, [0, 1] + [0] * 7, "<u2")]), pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), pa.nulls(2, pa.int32())],
