@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm import bpe, decontam, exact_dedup, langid, ngram_join
-from lettermill.llm.common import fresh, new_path, stage, table
+from lettermill.llm.common import fresh, new_path, small, stage, table
 from lettermill.llm.queries import VOCABULARY
 
 #: A document whose best language has a smaller share of its words than this is rejected with those of no language.
@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     marked = docs.withColumn(text_hash, F.xxhash64("text"))
     verdict = langid.predict(marked.withColumn("doc_id", F.struct("doc_id", text_hash)), model)
     rejected = verdict.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < MIN_SHARE))
-    rejected = stage(rejected.select(F.col("doc_id.doc_id").alias(bad_id), F.col(f"doc_id.{text_hash}").alias(bad_hash)).distinct(), "pipeline-rejected")
+    rejected = small(stage(rejected.select(F.col("doc_id.doc_id").alias(bad_id), F.col(f"doc_id.{text_hash}").alias(bad_hash)).distinct(), "pipeline-rejected"))
     kept = marked.join(rejected, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(text_hash) == F.col(bad_hash)), "left_anti")
     return kept.select(*docs.columns)
 
@@ -46,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (leaked,) = fresh(docs, "leaked_id")
-    found = stage(decontam.find(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(leaked)).distinct(), "pipeline-leaks")
+    found = small(stage(decontam.find(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(leaked)).distinct(), "pipeline-leaks"))
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space as the text contracts define it: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]"
@@ -60,3 +61,8 @@ def small_batches(spark: SparkSession, rows: int = 256) -> SparkSession:
     """Hold at most ``rows`` rows in one Arrow batch, so that long texts fit in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
+
+
+def small(staged: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A staged table of narrow rows, to be broadcast if its counted rows allow; else it is joined by a shuffle."""
+    return F.broadcast(staged) if staged.count() <= most_rows else staged

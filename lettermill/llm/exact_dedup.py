@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, stage
+from .common import SPACES, fresh, small, stage
 
 BLOCK_BITS = 32768
 
@@ -105,10 +105,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = [id_col, sha]
     marked = docs.withColumn(sha, text_hash(F.col(text_col)))
     lost = verdict.where("not kept").select(F.col("doc_id").alias(f"{gone}_id"), F.col("text_sha256").alias(f"{gone}_sha")).distinct()
+    lost = stage(lost, "dedup-lost")
     match = lambda d: F.col(id_col).eqNullSafe(d[f"{gone}_id"]) & (F.col(sha) == d[f"{gone}_sha"])
-    kept = marked.join(lost, match(lost), "left_anti")
+    lost_ = small(lost)
+    kept = marked.join(lost_, match(lost_), "left_anti")
     # a kept document whose id and text also occur in a dropped row: one of them returns
     both = verdict.where("kept").select(F.col("doc_id").alias(f"{gone}_id"), F.col("text_sha256").alias(f"{gone}_sha"), (F.col("n_chars")).alias(f"{gone}_n"))
     both = both.join(lost.withColumnRenamed(f"{gone}_id", "l_id").withColumnRenamed(f"{gone}_sha", "l_sha"), F.col(f"{gone}_id").eqNullSafe(F.col("l_id")) & (F.col(f"{gone}_sha") == F.col("l_sha")), "left_semi")
+    both = small(stage(both, "dedup-both"))
     back = marked.join(both, match(both) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == both[f"{gone}_n"])).select(*marked.columns).dropDuplicates(key)
     return kept.unionByName(back).drop(sha)
