@@ -56,13 +56,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, small_batches, stage
+from .common import fresh, small, small_batches, stage
 
 WORDS = 5
 HOT = 32
-BUCKET_SIGNATURES = 6_000_000
+BUCKET_SIGNATURES = 5_000_000
 BLOCK_WORDS = 1 << 20
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 300_000
 #: Bytes of a signature that travel beside its bucket; the rest of 8 bytes holds its set's place when they are sorted.
 SIGN_BYTES = 5
 #: Candidate bundles of up to so many bytes are compared in one task.
@@ -270,22 +270,22 @@ def _match(batches):
 
 
 def _match_bucket(blocks: list[tuple[bytes, bytes]]):
-    tables, keys, base, shift = [], [], 0, np.uint64(8 * (8 - SIGN_BYTES))
-    for sets, packed in blocks:
-        table = np.frombuffer(sets, _ENTRY)
-        width = 4 if len(table) > 65536 else 2
+    shift, base, at = np.uint64(8 * (8 - SIGN_BYTES)), 0, 0
+    widths = [4 if len(sets) > 65536 * _ENTRY.itemsize else 2 for sets, _ in blocks]
+    key = np.zeros(sum(len(packed) // (SIGN_BYTES + width) for (_, packed), width in zip(blocks, widths, strict=True)), np.uint64)
+    tables = []
+    while blocks:
+        (sets, packed), width = blocks.pop(), widths.pop()
         n = len(packed) // (SIGN_BYTES + width)
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, 8 - SIGN_BYTES :] = np.frombuffer(packed, np.uint8, SIGN_BYTES * n).reshape(n, SIGN_BYTES)
-        key = wide.view(np.uint64).ravel()
-        key |= np.frombuffer(packed, f"<u{width}", n, SIGN_BYTES * n).astype(np.uint64) + np.uint64(base)
-        keys.append(key)
-        tables.append(table)
-        base += len(table)
+        part = key[at : at + n]
+        part.view(np.uint8).reshape(n, 8)[:, 8 - SIGN_BYTES :] = np.frombuffer(packed, np.uint8, SIGN_BYTES * n).reshape(n, SIGN_BYTES)
+        part |= np.frombuffer(packed, f"<u{width}", n, SIGN_BYTES * n).astype(np.uint64) + np.uint64(base)
+        tables.append(np.frombuffer(sets, _ENTRY))
+        base, at = base + len(tables[-1]), at + n
     if base > 1 << int(shift):
         raise ValueError(f"a bucket of {base} sets: BUCKET_SIGNATURES is too large")
-    table, key = np.concatenate(tables), np.concatenate(keys)
-    del tables, keys, blocks
+    table = np.concatenate(tables)
+    del tables
     key.sort()
     sign = key >> shift
     again = np.zeros(len(sign), bool)
@@ -429,13 +429,13 @@ def _bundled(pairs: DataFrame, data: DataFrame, compare) -> DataFrame:
     width = data.select(F.col("set_id").alias("node"), F.octet_length("data").alias("n"))
     classes = whole.join(width, "node").groupBy("root").agg(F.ceil(F.sum("n") / BUNDLE_BYTES).cast("int").alias("k"))
     placed = stage(whole.join(classes, "root"), "join-bundles")
+    placed = placed if placed.count() > MAX_BROADCAST else F.broadcast(placed)
     class_of = lambda x: F.pmod(F.xxhash64(x), F.col("k")).cast("int")
     inner = pairs.join(placed.select(F.col("node").alias("a"), "root", "k"), "a")
     inner = inner.select("root", class_of("a").alias("i"), class_of("b").alias("j"), F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("data"))
     every, own = F.sequence(F.lit(0), F.col("k") - 1), class_of("node")
     places = F.array_distinct(F.concat(F.transform(every, lambda t: F.struct(own.alias("i"), t.alias("j"))), F.transform(every, lambda t: F.struct(t.alias("i"), own.alias("j")))))
-    members = placed if placed.count() > MAX_BROADCAST else F.broadcast(placed)
-    given = data.join(members, data["set_id"] == members["node"]).select("root", "node", "data", F.explode(places).alias("p"))
+    given = data.join(placed, data["set_id"] == placed["node"]).select("root", "node", "data", F.explode(places).alias("p"))
     given = given.select("root", "p.i", "p.j", "node", F.lit(None).cast("long").alias("other"), "data")
     return stage(inner.unionByName(given).groupBy("root", "i", "j").applyInArrow(compare, "a long, b long"), "join-bundle")
 
@@ -474,7 +474,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, math.ceil(chars / 8 / BUCKET_SIGNATURES))
     signed = docs.mapInArrow(_sign(buckets), "bucket int, sets binary, signatures binary, doc_id long, set_id long, n int")
-    found = stage(signed.repartition(buckets, "bucket").mapInArrow(_match, _MATCH), "join-found")
+    # more partitions than buckets, so that few tasks hold several
+    found = stage(signed.repartition(3 * buckets, "bucket").mapInArrow(_match, _MATCH), "join-found")
     del signed
     _release(spark)
 
@@ -485,6 +486,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     if not groups.isEmpty():
         hot = stage(_needed_groups(groups), "join-hot")
         per_set = stage(groups.select(F.explode("members").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("hot")), "join-hot-sets")
+        if per_set.count() <= MAX_BROADCAST:
+            per_set = F.broadcast(per_set)
         for side in ("a", "b"):
             pairs = pairs.join(per_set.select(F.col("node").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
         pairs = pairs.withColumn("need", F.col("need") - F.greatest(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))))
@@ -582,5 +585,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Ids must identify rows; of rows that repeat an id one remains.
     """
     (keep,) = fresh(docs, "keep_id")
-    verdict = stage(join(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct(), "join-dropped")
+    dropped = join(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    verdict = small(stage(dropped.select(F.col("doc_id").alias(keep)).distinct(), "join-dropped"))
     return docs.join(verdict, docs[id_col].eqNullSafe(verdict[keep]), "left_anti")
