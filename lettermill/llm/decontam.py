@@ -8,13 +8,16 @@ For every size L that items have, windows of L words are embedded by several
 random walks of the CGK kind: at step j the current word is written out, and a
 hash bit of (j, word) decides whether the walk moves on, so edit distance becomes
 Hamming distance.  Each walk is sampled at ``bits`` positions per table; windows
-that share a table entry with an item are candidates, and the number of tables
-follows from the recall wanted.  Every candidate is then verified by the exact
-edit distance between the item and the best stretch of text around the window.
+that share a table entry with an item are candidates.  Every candidate is then
+verified by the exact edit distance between the item and the best stretch of text
+around the window.
 
 Where windows start is narrowed without loss first: k edits cannot touch all of
 k + 1 disjoint segments of an item, so a leak holds one segment unchanged, and
-only windows aligned to such a segment are embedded.
+only windows aligned to such a segment are embedded.  Long items at the edit limit
+agree too little for any fixed number of tables, so the item of the segment is a
+candidate as well, unless too few of its words are near the window.  That makes
+the search exact: what it finds does not depend on the walks.
 
 Items reach the executors in blocks of at most ``block_items``; documents are
 read once a block, nothing shuffles but the matches found.
@@ -43,7 +46,7 @@ RATE = 0.2
 MIN_WORDS = 5
 BLOCK_ITEMS = 20_000
 WALKS, BITS = 4, 3
-#: A window aligned to an intact segment keeps at least this share of embedded symbols (measured in the tests); the number of tables is set for it.
+#: The number of tables is set for windows that keep this share of embedded symbols; pairs that keep less are found by their segment.
 AGREEMENT, RECALL = 0.4, 0.995
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,7 +144,7 @@ class Index:
 
     vocabulary: pa.Array
     sizes: dict[int, _Size] = field(default_factory=dict)
-    segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # length -> sorted hash, size, offset
+    segments: dict[int, tuple[np.ndarray, ...]] = field(default_factory=dict)  # length -> sorted hash, size, offset, row of the item
     tables: int = 0
 
 
@@ -171,44 +174,47 @@ def build(items: list[tuple[int, str | None]], rate: float, min_words: int, reca
             entries.append((keys[order, t], order))
         index.sizes[size] = _Size(grid, [i for i, _ in own], edits, entries)
         length = size // (edits + 1)
-        for _, s in own:
+        for k, (_, s) in enumerate(own):
             for offset in range(0, length * (edits + 1), length):
-                found[length].add((int(rolling(s[offset : offset + length], length)[0]), size, offset))
+                found[length].add((int(rolling(s[offset : offset + length], length)[0]), size, offset, k))
     for length, rows in found.items():
         rows = sorted(rows)
-        index.segments[length] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        index.segments[length] = (np.array([r[0] for r in rows], np.uint64), *(np.array([r[c] for r in rows]) for c in (1, 2, 3)))
     return index
 
 
 def aligned(index: Index, codes: np.ndarray) -> dict[int, np.ndarray]:
-    """For each size the starts of windows that are aligned to an intact segment.
+    """For each size the (start, item row) of windows that are aligned to an intact segment of the item, sorted.
 
     A segment has words of the items only, so runs with another word (code 0) are
     passed over before anything is hashed.
     """
     known = np.concatenate([[0], np.cumsum(codes > 0)])
     out = defaultdict(list)
-    for length, (hashes, sizes, offsets) in index.segments.items():
+    for length, (hashes, sizes, offsets, rows) in index.segments.items():
         spots = np.flatnonzero(known[length:] - known[:-length] == length)
         if not len(spots):
             continue
         runs = np.zeros(len(spots), np.uint64)
         for j in range(length):
             runs = _mix(runs ^ codes[spots + j].astype(np.uint64))
-        low = np.searchsorted(hashes, runs)
-        hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == runs)
-        for p, run, k in zip(spots[hit].tolist(), runs[hit].tolist(), low[hit].tolist(), strict=True):
-            while k < len(hashes) and hashes[k] == run:
-                out[int(sizes[k])].append(p - int(offsets[k]))
-                k += 1
-    return {size: np.unique(starts) for size, starts in out.items()}
+        low, high = np.searchsorted(hashes, runs), np.searchsorted(hashes, runs, "right")
+        count = high - low
+        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        starts = np.repeat(spots, count) - offsets[at]
+        for size in np.unique(sizes[at]).tolist():
+            own = sizes[at] == size
+            out[size].append(np.stack([starts[own], rows[at[own]]], 1))
+    return {size: np.unique(np.concatenate(pairs), axis=0) for size, pairs in out.items()}
 
 
 def search(index: Index, codes: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(text, item id) -> (distance, start, stop) of the leaks in texts that lie one after another, each closed by a 0."""
     best = {}
-    for size, starts in aligned(index, codes).items():
+    for size, pairs in aligned(index, codes).items():
         own = index.sizes[size]
+        starts, first = np.unique(pairs[:, 0], return_index=True)
+        holders = np.split(pairs[:, 1], first[1:])
         # a window belongs to the text of its middle, which its segment is nearest to
         text = np.searchsorted(ends, np.clip(starts + size // 2, 0, len(codes) - 1), "right")
         low, high = np.concatenate([[0], ends])[text], ends[text] - 1
@@ -219,31 +225,35 @@ def search(index: Index, codes: np.ndarray, ends: np.ndarray) -> dict[tuple[int,
             if own_text:
                 fits &= (starts < low) if own_text < 0 else (starts + size > high)
             if fits.any():
-                _verify(index, own, codes, ends, size, starts[fits], where[fits], best)
+                _verify(index, own, codes, ends, size, starts[fits], where[fits], [holders[w] for w in np.flatnonzero(fits)], best)
     return best
 
 
-def _verify(index: Index, own: _Size, codes: np.ndarray, ends: np.ndarray, size: int, starts: np.ndarray, text: np.ndarray, best: dict) -> None:
-    """Candidates of windows by their sketches, then the exact distance inside the window's text."""
+def _verify(index: Index, own: _Size, codes: np.ndarray, ends: np.ndarray, size: int, starts: np.ndarray, text: np.ndarray, holders: list[np.ndarray], best: dict) -> None:
+    """Candidates of windows by their sketches and segments, then the exact distance inside the window's text."""
     low, high = np.concatenate([[0], ends])[text], ends[text] - 1
     for at in range(0, len(starts), 4096):
         part = slice(at, at + 4096)
         spots = starts[part, None] + np.arange(size)
         inside = (spots >= low[part, None]) & (spots < high[part, None])
         grid = np.where(inside, codes[np.clip(spots, 0, len(codes) - 1)], 0)
-        keys, pairs = sketch(grid, index.tables), set()
+        keys, near = sketch(grid, index.tables), defaultdict(set)
         for t, (entries, order) in enumerate(own.entries):
             first, last = np.searchsorted(entries, keys[:, t]), np.searchsorted(entries, keys[:, t], "right")
             for w in np.flatnonzero(last > first).tolist():
-                pairs.update((w, k) for k in order[first[w] : last[w]].tolist())
-        for w, k in sorted(pairs):
+                near[w].update(order[first[w] : last[w]].tolist())
+        for w, rows in enumerate(holders[part]):
             bottom, top, start = int(low[at + w]), int(high[at + w]), int(starts[at + w])
             begin = max(bottom, start - own.edits)
-            distance, a, b = best_stretch(own.items[k], codes[begin : min(top, start + size + own.edits)])
-            if distance <= own.edits:
-                found = (distance, begin + a - bottom, begin + b - bottom)
-                key = (int(text[at + w]), own.ids[k])
-                best[key] = min(best.get(key, found), found)
+            around = codes[begin : max(begin, min(top, start + size + own.edits))]
+            # all but ``edits`` words of a leaked item are in the stretch
+            known = np.isin(own.items[rows], around).sum(axis=1) >= size - own.edits
+            for k in sorted(near[w].union(rows[known].tolist())):
+                distance, a, b = best_stretch(own.items[k], around)
+                if distance <= own.edits:
+                    found = (distance, begin + a - bottom, begin + b - bottom)
+                    key = (int(text[at + w]), own.ids[k])
+                    best[key] = min(best.get(key, found), found)
 
 
 def text_codes(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -213,6 +214,22 @@ def test_cgk_keeps_near_sequences_near():
     assert near > 0.5 > 0.1 > far
 
 
+@pytest.mark.parametrize("kind", ["delete", "spread"])
+@pytest.mark.parametrize("size", [50, 80, 100, 120, 150])
+def test_leaks_at_the_edit_limit_are_found(size, kind):
+    rng = np.random.default_rng(size)
+    items = [[f"w{w}" for w in rng.choice(3000, size, replace=False)] for _ in range(40)]
+    index = decontam.build([(i, " ".join(w)) for i, w in enumerate(items)], decontam.RATE, decontam.MIN_WORDS, decontam.RECALL)
+    edits, texts = size // 5, []
+    for words in items:
+        spots = set(rng.choice(size, edits, replace=False).tolist()) if kind == "delete" else set(range(2, size, 5))
+        leak = [w for j, w in enumerate(words) if j not in spots] if kind == "delete" else ["other" if j in spots else w for j, w in enumerate(words)]
+        texts.append(" ".join(["before"] * 30 + leak + ["after"] * 30))
+    found = decontam.search(index, *decontam.text_codes(pa.array(texts), index.vocabulary))
+    assert {text for text, item in found if text == item} == set(range(40))
+    assert all(found[i, i][0] <= edits for i in range(40))
+
+
 def test_awkward_documents(spark):
     docs = frame(spark)
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog")], "item_id long, text string")
