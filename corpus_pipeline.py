@@ -2,10 +2,12 @@
 
 1. Language ID: documents in which no language can be found go.
 2. Exact dedup: of equal texts (white space aside) one stays.
-3. N-gram join: of each component of near duplicates the smallest id stays.
+3. N-gram join: of each component of near duplicates one row stays, that of the smallest id.
 4. Decontamination: documents that hold a benchmark item go.
 5. BPE: the remaining texts as token ids, which decode to the text.
 
+Ids may be null or repeat: a stage drops rows by their id and text, never by the id alone.
+
 Every stage takes (spark, docs, sf_dir).  All but the last return the columns of
 their input, and each works on all that the stage before it kept.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm import bpe, decontam, exact_dedup, langid, ngram_join
-from lettermill.llm.common import fresh, new_path, small, stage, table
+from lettermill.llm.common import fresh, new_path, row_key, small, stage, table
 from lettermill.llm.queries import VOCABULARY
 
 #: A document whose best language has a smaller share of its words than this is rejected with those of no language.
@@ -45,9 +47,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    (leaked,) = fresh(docs, "leaked_id")
-    found = small(stage(decontam.find(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(leaked)).distinct(), "pipeline-leaks"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")
+    key, leaked = fresh(docs, "row_key", "leaked_key")
+    marked = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    found = small(stage(decontam.find(marked, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(leaked)).distinct(), "pipeline-leaks"))
+    return marked.join(found, F.col(key) == F.col(leaked), "left_anti").select(*docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the text contracts define it: space and U+0009 to U+000D.
@@ -57,6 +57,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """A 64-bit key of an id and its text, nulls included: verdicts on it leave other texts of the same id alone."""
+    return F.xxhash64(id_.isNull(), id_, text.isNull(), text)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> SparkSession:
     """Hold at most ``rows`` rows in one Arrow batch, so that long texts fit in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -56,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, small, small_batches, stage
+from .common import fresh, row_key, small, small_batches, stage
 
 WORDS = 5
 HOT = 32
@@ -580,11 +580,26 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, one document of each component: that with the smallest id.
+    """``docs`` with all its columns, exactly one row of each component: that with the smallest id, a null id after all others.
 
-    Ids must identify rows; of rows that repeat an id one remains.
+    Verdicts name the id and the text, so ids may be null or repeated; rows without
+    words link with nothing and all stay.
     """
-    (keep,) = fresh(docs, "keep_id")
-    dropped = join(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    verdict = small(stage(dropped.select(F.col("doc_id").alias(keep)).distinct(), "join-dropped"))
-    return docs.join(verdict, docs[id_col].eqNullSafe(verdict[keep]), "left_anti")
+    (key,) = fresh(docs, "row_key")
+    marked = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    found = join(marked, key, text_col).where("n_shingles > 0").groupBy("component_id", F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("times"))
+    ids = marked.groupBy(F.col(key).alias("key")).agg(F.min(id_col).alias("id"))
+    members = stage(found.join(ids, "key"), "join-members")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key"))
+    groups = members.groupBy("component_id").agg(first.alias("first"), F.sum("times").alias("size")).where("size > 1")
+    groups = small(stage(groups.select("component_id", F.col("first.key").alias("first_key")), "join-groups"))
+    judged = stage(members.join(groups, "component_id").select("key", "times", (F.col("key") == F.col("first_key")).alias("kept")), "join-judged")
+    (gone,) = fresh(marked, "gone")
+    # a kept row that is repeated goes as well, and one of its copies returns
+    lost = small(stage(judged.where("not kept or times > 1").select(F.col("key").alias(gone)), "join-dropped"))
+    kept = marked.join(lost, marked[key] == lost[gone], "left_anti")
+    again = stage(judged.where("kept and times > 1").select(F.col("key").alias(gone)), "join-repeated")
+    if not again.isEmpty():
+        again = small(again)
+        kept = kept.unionByName(marked.join(again, marked[key] == again[gone], "left_semi").dropDuplicates([key]))
+    return kept.drop(key)

@@ -71,6 +71,31 @@ def test_awkward_documents_pass(spark, sf_dir):
     assert 0 < docs.count() < frame(spark).count()
 
 
+def _texts(n):
+    rng = np.random.default_rng(n)
+    return [" ".join(f"w{w}" for w in rng.integers(0, 10_000, 60)) for _ in range(n)]
+
+
+def test_near_copies_without_or_with_repeated_ids(spark):
+    a, b, c, d, e, f, g = _texts(7)
+    rows = [(1, a), (None, a + " end"), (None, c)]  # a dropped and a clean row without an id
+    rows += [(2, b), (5, b + " end"), (5, d)]  # a dropped and a clean row of one id
+    rows += [(None, e), (None, e + " end"), (7, f), (7, f), (8, g), (8, g + " end"), (None, ""), (None, None)]
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    one_of = lambda *some: [r for r in got if r in some]
+    assert all(got.count(r) == 1 for r in [(1, a), (None, c), (2, b), (5, d), (7, f), (None, ""), (None, None)])
+    assert len(one_of((None, e), (None, e + " end"))) == 1 and len(one_of((8, g), (8, g + " end"))) == 1
+    assert len(got) == 9
+
+
+def test_leaks_without_or_with_repeated_ids(spark, sf_dir):
+    leak = next(r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(r["text"].split()) > 10)
+    clean, other, leak_b = *_texts(2), "x " + leak
+    rows = [(None, leak), (None, clean), (3, leak_b), (3, other), (4, leak)]
+    out = corpus_pipeline.drop_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted(r["text"] for r in out.collect()) == sorted([clean, other])
+
+
 def test_blocks_of_many_sets_keep_their_codes():
     """Codes of a later block are told from those of a large one before it."""
     import pyarrow as pa
