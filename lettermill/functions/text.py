@@ -69,10 +69,14 @@ def near_form(text: Column) -> Column:
 
 def match_state(quote: Column, surface: Column, least_alnum: int = 24) -> Column:
     """exact, near_exact or unverified: how a quote is found in a surface; orphaned without one."""
-    wanted, alnum = quote_form(quote), alnum_form(quote)
-    exact = F.contains(quote_form(surface), wanted) | ((F.length(alnum) >= least_alnum) & F.contains(alnum_form(surface), alnum))
-    near = F.contains(near_form(surface), near_form(quote))
-    return F.when(surface.isNull(), "orphaned").when(wanted == "", "unverified").when(exact, "exact").when(near, "near_exact").otherwise("unverified")
+    forms = lambda t: (quote_form(t), alnum_form(t), near_form(t))
+    return F.when(surface.isNull(), "orphaned").otherwise(form_state(forms(quote), forms(surface), least_alnum))
+
+
+def form_state(quote: tuple[Column, Column, Column], surface: tuple[Column, Column, Column], least_alnum: int = 24) -> Column:
+    """:func:`match_state` of the quote, alphanumeric and near forms, where they are computed once for many pairs."""
+    exact = F.contains(surface[0], quote[0]) | ((F.length(quote[1]) >= least_alnum) & F.contains(surface[1], quote[1]))
+    return F.when(quote[0] == "", "unverified").when(exact, "exact").when(F.contains(surface[2], quote[2]), "near_exact").otherwise("unverified")
 
 
 def bind(value: Column, use) -> Column:
