@@ -33,7 +33,7 @@ one set fills rule a link out, then, in what is left, exactly.  Pairs inside one
 component are left out, as they cannot change it.  A bundle too large for a task is
 cut into blocks of classes.
 Components come from alternating large-star and small-star rounds over staged
-tables.
+tables; links that a count shows to fit in one task are joined there instead.
 
 Defined cases: without words or text a set is empty and links with nothing; with
 fewer than five words the whole sequence is the one shingle; repeated rows are one
@@ -44,7 +44,6 @@ columns do not matter; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-import gc
 import math
 
 import numpy as np
@@ -56,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, row_key, small, small_batches, stage
+from .common import bounded, fresh, release, row_key, small, small_batches, stage
 
 WORDS = 5
 HOT = 32
@@ -65,8 +64,10 @@ BLOCK_WORDS = 1 << 20
 PAIRS_AT_ONCE = 300_000
 #: Bytes of a signature that travel beside its bucket; the rest of 8 bytes holds its set's place when they are sorted.
 SIGN_BYTES = 5
-#: Candidate bundles of up to so many bytes are compared in one task.
-BUNDLE_BYTES = 48 << 20
+#: Candidate bundles of up to so many bytes and sets are compared in one task.
+BUNDLE_BYTES, BUNDLE_SETS = 48 << 20, 16_384
+#: The components of up to so many links (16 bytes each) are found in one task.
+TASK_LINKS = 2_000_000
 MAX_BROADCAST = 1_000_000
 OUTSIDERS, MEMBER_ELEMENTS = 256, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -331,10 +332,34 @@ def _match_bucket(blocks: list[tuple[bytes, bytes]]):
 # components
 
 
+def _joined(batches):
+    """(node, root) of all links of a task, by joining trees whose roots are their smallest nodes."""
+    chunks = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]) for batch in batches]
+    if chunks:
+        u, v = np.concatenate(chunks, axis=1)
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = np.arange(len(nodes))
+        low, high = at[: len(u)], at[len(u) :]
+        while True:
+            a, b = root[low], root[high]
+            apart = a != b
+            if not apart.any():
+                break
+            low, high = low[apart], high[apart]
+            np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while not np.array_equal(root, up := root[root]):
+                root = up
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["node", "root"])
+    release()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of undirected links (a, b); the root is the smallest node."""
+    """(node, root) for the nodes of undirected links (a, b) but the roots; a root is its component's smallest node."""
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc-edges")
     while True:
+        if edges.count() <= TASK_LINKS:
+            return stage(edges.coalesce(1).mapInArrow(_joined, "node long, root long"), "cc-roots")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-least")
         large = stage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
@@ -362,7 +387,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "elements"])
 
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = stage(texts.mapInArrow(run, "set_id long, elements binary"), "join-sets")
+    sets = stage(texts.mapInArrow(bounded(run), "set_id long, elements binary"), "join-sets")
     # only rows that share an id, or have none, give a set twice
     once = sets.agg(F.count(F.lit(1)) == F.count_distinct("set_id")).first()[0]
     return sets if once else stage(sets.dropDuplicates(["set_id"]), "join-sets")
@@ -420,14 +445,14 @@ def _screen_bundle(table: pa.Table) -> pa.Table:
 def _bundled(pairs: DataFrame, data: DataFrame, compare) -> DataFrame:
     """``compare`` over bundles of connected pairs with the data (set_id, data) of their sets.
 
-    A bundle of more than ``BUNDLE_BYTES`` is cut into k classes of sets by hash, and
+    A bundle of more than ``BUNDLE_BYTES`` or ``BUNDLE_SETS`` is cut into k classes of sets by hash, and
     its pairs into the k * k blocks of the classes of their ends: a set travels to
     the 2 k - 1 blocks of its class instead of once a pair.
     """
     bundles = components(pairs)
     whole = bundles.union(bundles.select(F.col("root").alias("node"), "root").distinct())
     width = data.select(F.col("set_id").alias("node"), F.octet_length("data").alias("n"))
-    classes = whole.join(width, "node").groupBy("root").agg(F.ceil(F.sum("n") / BUNDLE_BYTES).cast("int").alias("k"))
+    classes = whole.join(width, "node").groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BUNDLE_BYTES), F.ceil(F.count(F.lit(1)) / BUNDLE_SETS)).cast("int").alias("k"))
     placed = stage(whole.join(classes, "root"), "join-bundles")
     placed = placed if placed.count() > MAX_BROADCAST else F.broadcast(placed)
     class_of = lambda x: F.pmod(F.xxhash64(x), F.col("k")).cast("int")
@@ -448,17 +473,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             maps = [bitmap(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["set_id", "data"])
 
-    maps = stage(sets.mapInArrow(run, "set_id long, data binary"), "join-maps")
+    maps = stage(sets.mapInArrow(bounded(run), "set_id long, data binary"), "join-maps")
     left = _bundled(pairs, maps, _screen_bundle)
     return _bundled(left, sets.withColumnRenamed("elements", "data"), _verify_bundle)
 
 
-def _release(spark) -> None:
-    """Let the driver drop the shuffle files of frames that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _needed_groups(groups: DataFrame) -> DataFrame:
     """(sign, node): hot signatures that a set cannot leave out; its most frequent ones go first."""
     each = groups.select(F.col("set_id").alias("sign"), F.col("n").alias("frequency"), F.explode(F.arrays_zip("members", "slacks")).alias("m"))
@@ -473,11 +492,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, math.ceil(chars / 8 / BUCKET_SIGNATURES))
-    signed = docs.mapInArrow(_sign(buckets), "bucket int, sets binary, signatures binary, doc_id long, set_id long, n int")
+    signed = docs.mapInArrow(bounded(_sign(buckets)), "bucket int, sets binary, signatures binary, doc_id long, set_id long, n int")
     # more partitions than buckets, so that few tasks hold several
-    found = stage(signed.repartition(3 * buckets, "bucket").mapInArrow(_match, _MATCH), "join-found")
-    del signed
-    _release(spark)
+    found = stage(signed.repartition(3 * buckets, "bucket").mapInArrow(bounded(_match, 16 << 20), _MATCH), "join-found")
 
     members = found.where(F.col("kind") == DOCUMENT).select("doc_id", "set_id", "n")
     groups = found.where(F.col("kind") == GROUP).select("set_id", "n", "members", "slacks")
@@ -504,7 +521,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     wanted = ends.select(F.col("a").alias("set_id")).distinct().join(members, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     sets = _with_sets(docs, stage(wanted, "join-wanted"), words)
     roots = components(_verified(pairs, sets))
-    _release(spark)
     if hot is not None:
         roots = _merged(roots, stage(_hot_links(hot, roots, sets), "join-links"))
     return _labelled(members, roots)
@@ -563,6 +579,8 @@ def _hot_links(hot: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
         .agg(F.ceil(F.sum(F.when(F.col("root") != F.col("bundle"), 1).otherwise(0)) / OUTSIDERS).cast("int").alias("ys"), F.ceil(F.sum("n") / MEMBER_ELEMENTS).cast("int").alias("xs"))
     )
     blocks = stage(blocks.where("ys > 0 and xs > 0"), "join-blocks")
+    # the sets of all other groups stay where they are
+    sets = sets.join(small(stage(members.join(blocks, "bundle").select(F.col("node").alias("set_id")).distinct(), "join-compared"), MAX_BROADCAST), "set_id", "left_semi")
     spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = members.join(blocks, "bundle").select("bundle", "node", "root", F.lit(False).alias("outside"), spread("xs").alias("x"), every("ys").alias("y"))
