@@ -13,8 +13,9 @@ A shared boundary counts only after a character that is no white space: a piece
 that ended in white space could match ``\\s+(?!\\S)`` at its end where the whole
 text does not.
 
-Decoding concatenates the bytes of the ids.  The ranks travel to the executors as
-one broadcast of the vocabulary file, whose size the vocabulary fixes.
+Decoding concatenates the bytes of the ids.  ``round_trip`` encodes and decodes a
+text, or a piece of a long one, in the same Python pass.  The ranks travel to the
+executors as one broadcast of the vocabulary file, whose size the vocabulary fixes.
 
 Defined cases: null and empty texts have no ids; control strings in texts are
 ordinary text; repeated rows and null ids are kept as they are; other columns are
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import small_batches, stage
+from .common import bounded, small_batches, stage
 
 CHUNK_CHARS = 32_768
 OVERLAP = 512
@@ -58,27 +59,27 @@ def read_vocabulary(path: str) -> bytes:
         return file.read()
 
 
-def _encoder(vocabulary, pattern: str, text_at: int, keep: list[int]):
-    """A mapInArrow function: the columns at ``keep``, then the ids of the text."""
+def _encoder(vocabulary, pattern: str, text_at: int, keep: list[int], decoded: bool):
+    """A mapInArrow function: the columns at ``keep``, then the ids of the text, then the bytes that they decode to."""
 
     def run(batches):
-        encode = _encoding(vocabulary.value, pattern).encode_ordinary
+        encoding = _encoding(vocabulary.value, pattern)
         for batch in batches:
-            ids = [encode(t) if t else [] for t in batch.column(text_at).to_pylist()]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*(batch.schema.names[i] for i in keep), "ids"])
+            ids = [np.asarray(encoding.encode_ordinary(t) if t else [], np.int32) for t in batch.column(text_at).to_pylist()]
+            columns = {"ids": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))}
+            if decoded:
+                columns["decoded"] = pa.array([encoding.decode_bytes(x.tolist()) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *columns.values()], names=[*(batch.schema.names[i] for i in keep), *columns])
 
-    return run
+    return bounded(run)
 
 
-def _map_ids(rows: DataFrame, text_col: str, vocabulary, pattern: str) -> DataFrame:
-    """``rows`` with ``text_col`` replaced by ``ids``."""
+def _map_ids(rows: DataFrame, text_col: str, vocabulary, pattern: str, decoded: bool) -> DataFrame:
+    """``rows`` with ``text_col`` replaced by ``ids``, and ``decoded`` if asked for."""
     keep = [f for f in rows.schema.fields if f.name != text_col]
-    schema = T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.BinaryType())] if decoded else [])]
     at = [i for i, f in enumerate(rows.schema.fields) if f.name != text_col]
-    return rows.mapInArrow(_encoder(vocabulary, pattern, rows.columns.index(text_col), at), schema)
+    return rows.mapInArrow(_encoder(vocabulary, pattern, rows.columns.index(text_col), at, decoded), T.StructType([*keep, *more]))
 
 
 def chunks(rows: DataFrame, text_col: str, chunk_chars: int, overlap: int) -> DataFrame:
@@ -110,7 +111,7 @@ def _boundaries(pattern: str, chunk_chars: int, overlap: int):
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(columns[c]) for c in ("row", "chunk")] + [pa.array(heads, kind), pa.array(tails, kind)], names=["row", "chunk", "head", "tail"])
 
-    return run
+    return bounded(run)
 
 
 def stitched(parts: DataFrame, pattern: str, chunk_chars: int, overlap: int) -> DataFrame:
@@ -130,20 +131,31 @@ def stitched(parts: DataFrame, pattern: str, chunk_chars: int, overlap: int) ->
 
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) in place of the text column."""
+    return _encoded(docs, vocabulary_path, pattern, text_col, chunk_chars, overlap, False)
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``, the bytes of those ids (binary), in place of the text column."""
+    return _encoded(docs, vocabulary_path, pattern, text_col, chunk_chars, overlap, True)
+
+
+def _encoded(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str, chunk_chars: int, overlap: int, decoded: bool) -> DataFrame:
     spark = small_batches(docs.sparkSession)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
-    docs = docs.drop(*(c for c in docs.columns if c.lower() == "ids" and c != text_col))
+    made = ["ids", "decoded"][: 1 + decoded]
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in made and c != text_col))
     size = F.coalesce(F.char_length(F.col(text_col)), F.lit(0))
-    short = _map_ids(docs.where(size <= chunk_chars), text_col, vocabulary, pattern)
+    short = _map_ids(docs.where(size <= chunk_chars), text_col, vocabulary, pattern, decoded)
 
     rest = [c for c in docs.columns if c != text_col]
     numbered = docs.where(size > chunk_chars).select(F.monotonically_increasing_id().alias("row"), F.struct(*rest).alias("rest") if rest else F.lit(1).alias("rest"), F.col(text_col).alias("text"))
     parts = stage(chunks(numbered, "text", chunk_chars, overlap).repartition("row", "chunk"), "bpe-chunks")
     pieces = stitched(parts.drop("rest"), pattern, chunk_chars, overlap)
-    ids = _map_ids(pieces, "text", vocabulary, pattern)
-    whole = ids.groupBy("row").agg(F.flatten(F.array_sort(F.collect_list(F.struct("piece", "ids"))).getField("ids")).alias("ids"))
-    long = parts.where("chunk = 0").select("row", "rest").join(whole, "row").select(*(F.col("rest")[c].alias(c) for c in rest), "ids")
-    return short.select(*rest, "ids").unionByName(long)
+    ids = _map_ids(pieces, "text", vocabulary, pattern, decoded)
+    own = F.array_sort(F.collect_list(F.struct("piece", *made)))
+    whole = ids.groupBy("row").agg(own.alias("own")).select("row", F.flatten("own.ids").alias("ids"), *([F.unhex(F.array_join(F.transform("own.decoded", F.hex), "")).alias("decoded")] if decoded else []))
+    long = parts.where("chunk = 0").select("row", "rest").join(whole, "row").select(*(F.col("rest")[c].alias(c) for c in rest), *made)
+    return short.select(*rest, *made).unionByName(long)
 
 
 def decode(rows: DataFrame, vocabulary_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -159,4 +171,4 @@ def decode(rows: DataFrame, vocabulary_path: str, pattern: str, ids_col: str = "
             raw = [None if x is None else decode_bytes(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, out_col])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    return rows.mapInArrow(bounded(run), T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())]))

@@ -60,7 +60,7 @@ def op9_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY, public_tokenizers.PATTERN)
+    decoded = bpe.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
