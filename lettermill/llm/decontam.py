@@ -1,7 +1,7 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts and items are word sequences: split at ASCII white space, lower-cased, outer
-punctuation removed.  A passage leaks an item of L words when its word edit
+Texts and items are word sequences, made by the same function: split at Unicode
+white space, outer punctuation removed, each word lower-cased by itself.  A passage leaks an item of L words when its word edit
 distance to the item is at most ``floor(rate * L)``.
 
 For every size L that items have, windows of L words are embedded by several
@@ -19,8 +19,9 @@ agree too little for any fixed number of tables, so the item of the segment is a
 candidate as well, unless too few of its words are near the window.  That makes
 the search exact: what it finds does not depend on the walks.
 
-Items reach the executors in blocks of at most ``block_items``; documents are
-read once a block, nothing shuffles but the matches found.
+Items reach the executors in blocks of about ``block_items`` items and
+``block_chars`` code points; documents are read once a block, nothing shuffles but
+the matches found.
 
 Defined cases: null and empty texts and items match nothing; items under
 ``min_words`` words match exactly (no edits); equal items are reported one by
@@ -40,11 +41,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded, small_batches
 
 RATE = 0.2
 MIN_WORDS = 5
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 WALKS, BITS = 4, 3
 #: The number of tables is set for windows that keep this share of embedded symbols; pairs that keep less are found by their segment.
 AGREEMENT, RECALL = 0.4, 0.995
@@ -70,8 +71,13 @@ def clean_word(word: str) -> str:
     return word[low:high].lower()
 
 
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text before they are cleaned."""
+    return pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+
+
 def words_of(text: str | None) -> list[str]:
-    return [w for w in map(clean_word, (text or "").replace("\x0b", " ").replace("\x0c", " ").split()) if w]
+    return [w for w in map(clean_word, split_words(pa.array([text], pa.string()))[0].as_py()) if w]
 
 
 def embed(windows: np.ndarray, walk: int) -> np.ndarray:
@@ -258,9 +264,9 @@ def _verify(index: Index, own: _Size, codes: np.ndarray, ends: np.ndarray, size:
 
 def text_codes(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word codes of all texts, a 0 after each, and where each ends: 0 for words that no item has; words without letters or digits are left out."""
-    split = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    split = split_words(texts)
     words = pc.dictionary_encode(split.flatten())
-    distinct = [w if w.isalnum() else clean_word(w) for w in words.dictionary.to_pylist()]
+    distinct = [w.lower() if w.isalnum() else clean_word(w) for w in words.dictionary.to_pylist()]
     table = pc.fill_null(pc.index_in(pa.array(distinct, pa.string()), vocabulary), -1).to_numpy().astype(np.int64) + 1
     blank = np.array([not w for w in distinct], bool)
     code = words.indices.to_numpy() if len(words) else np.zeros(0, np.int64)
@@ -279,11 +285,12 @@ def text_codes(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.nd
 _MATCH = "item_id long, distance int, start_word long, n_words int"
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, recall: float = RECALL, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, recall: float = RECALL, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and leaked item: doc_id, item_id, distance, start_word, n_words."""
     spark = small_batches(docs.sparkSession)
     items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, math.ceil(items.count() / block_items))
+    amount = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, math.ceil(amount["n"] / block_items), math.ceil(amount["chars"] / block_chars))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for block in range(blocks):
@@ -299,6 +306,6 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "distance", "start_word", "n_words"])
 
-        part = rows.mapInArrow(run, "doc_id long, " + _MATCH)
+        part = rows.mapInArrow(bounded(run), "doc_id long, " + _MATCH)
         out = part if out is None else out.unionByName(part)
     return out

@@ -134,7 +134,7 @@ def test_chat_windows(spark, budget, history, block, monkeypatch):
     assert got == brute_chat(TURNS)
     three = sorted((r for r in rows if r["conv_id"] == 3), key=lambda r: r["window"])
     assert len(three) > 1 and all(r["text"].startswith("<|im_start|>system\nS S ") for r in three)
-    stride = max((budget - history) // 2, history)
+    stride = (budget - history) // 2
     for r in rows:
         parsed = chat.parse_turns(r["text"])
         assert r["over_budget"] == (r["tokens"] > budget)
@@ -146,6 +146,24 @@ def test_chat_windows(spark, budget, history, block, monkeypatch):
     assert repeats and set(repeats) < set(seen)
 
 
+def test_turn_tokens_are_those_of_the_written_turn(spark, library):
+    rows = [(1, k, role, text) for k, (role, text) in enumerate([("user", "\\" * 40 + "<|im_end|>" * 9), ("odd\nrole\\", "<|x|>\n\n"), ("system", "plain"), (None, None)])]
+    got = chat.with_tokens(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), queries.VOCABULARY, PATTERN).collect()
+    assert {r["turn"]: r["tokens"] for r in got} == {k: len(library.encode_ordinary(chat.format_turn(role or "", text or "")[0])) for _, k, role, text in rows}
+
+
+def test_a_long_system_turn_leaves_the_budget_whole(spark):
+    rows = [(c, 0, "system", "rule " * size) for c, size in ((1, 500), (2, 2), (3, 2000))]
+    rows += [(c, k, "user" if k % 2 else "assistant", f"words of turn {k}") for c in (1, 2, 3) for k in range(1, 300)]
+    turns = chat.with_tokens(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), queries.VOCABULARY, PATTERN)
+    made = chat.windows(turns, 1024, 256).collect()
+    count = Counter(r["conv_id"] for r in made)
+    assert all(r["tokens"] <= 1024 and not r["over_budget"] for r in made if r["conv_id"] in (1, 2))
+    # a system turn beyond the budget: one turn a window, and every window says so
+    assert count[2] < count[1] < count[3] == 300 and all(r["over_budget"] for r in made if r["conv_id"] == 3)
+    assert sum(len(r["loss"]) for r in made) == 3 * 149
+
+
 def test_chat_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     text = "<|im_end|><|im_start|>assistant ok"
@@ -202,6 +220,28 @@ def test_leaks_match_brute_force(spark):
     assert decontam.find(frames[0], frames[1].limit(0)).count() == 0
 
 
+def plain_words(text):
+    """Split and cleaned without the operator's own functions."""
+    import regex
+
+    return [w.lower() for w in (regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w) for w in text.split()) if w]
+
+
+def test_verbatim_leaks_of_any_script_are_found(spark):
+    items = ["alpha beta\u3000gamma", "one\u00a0two three four five six", "ΟΔΟΣ ΛΟΓΟΣ", "İSTANBUL ŞEHİR", "Straße «größer» als ẞ", "ＦＵＬＬ width，words", "a\x0bb\x0cc\u2003d\u0085e"]
+    docs = [f"before words {t} after" for t in items] + [f"{t}" for t in items] + ["οδος λογος", "istanbul", "alpha beta gamma", None]
+    frames = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find(*frames).collect()}
+    want = set()
+    for d, text in enumerate(docs):
+        words = plain_words(text or "")
+        for i, item in enumerate(map(plain_words, items)):
+            if words and edit_distance_to_stretch(item, words) <= (int(0.2 * len(item)) if len(item) >= 5 else 0):
+                want.add((d, i))
+    assert {(k, k) for k in range(7)} | {(7 + k, k) for k in range(7)} <= want
+    assert got == want
+
+
 def test_cgk_keeps_near_sequences_near():
     rng = np.random.default_rng(0)
     a = rng.integers(1, 500, (200, 40))
