@@ -5,21 +5,23 @@ a line end.  Inside roles and texts a backslash is doubled and ``<|`` becomes
 ``<\\|``, so no text can hold a control string, and reading undoes it exactly.
 Roles also write a line end as ``\\n``.
 
-Turn tokens are summed along each conversation.  A turn belongs to the window
-``floor(tokens before it / stride)``, the stride being half of what the budget
-leaves beside system turn and history: a window keeps its budget unless its last
-turn is longer than a stride, and ``over_budget`` says so; turns are never cut.
+The tokens of a turn are those of the turn as written, marks and escapes included,
+summed along each conversation.  A turn belongs to the window ``floor(tokens before
+it / stride)``.  A conversation's stride is half of what the budget leaves beside
+its system turn and the history, 1 (one turn a window) if nothing is left: a window
+keeps its budget unless its last turn is longer than a stride or the system turn
+takes it, and ``over_budget`` says so; turns are never cut.
 A window repeats the conversation's system turn (its first turn, if that is a
-system turn) and the turns that start at most ``history`` tokens before its first
-one.  As a stride is no shorter than the history, a turn is repeated in the next
-window at most.  Repeated turns are masked: only the texts of assistant turns at
-their first place are in ``loss``, so each is learned once.
+system turn) and those turns of the window before that start at most ``history``
+tokens before its first one.  Repeated turns are masked: only the texts of assistant
+turns at their first place are in ``loss``, so each is learned once.
 
 Prefix sums are taken in two levels, inside blocks of turns and over the blocks of
 a conversation, so a long conversation is spread over many tasks.
 
 Defined cases: null texts and roles are empty; null turns come first; turns that
-tie are ordered by role, then text; null conversation ids form one conversation;
+tie are ordered by role, then text; conversation ids are cast to long, and null ones
+form one conversation;
 repeated rows are turns of their own; an empty table gives an empty result.
 """
 
@@ -29,14 +31,14 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
-from .common import small_batches, stage
+from .common import bounded, small_batches, stage
 
-BUDGET, HISTORY, OVERHEAD = 1024, 256, 6
+BUDGET, HISTORY = 1024, 256
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS_PER_BLOCK = 256
 _ESCAPE = re.compile(r"\\(.)", re.S)
@@ -70,25 +72,31 @@ def parse_turns(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def written(role: Column, text: Column) -> Column:
+    """What ``format_turn`` writes, as a column."""
+    safe = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    return F.concat(F.lit(START), F.replace(safe(role), F.lit("\n"), F.lit("\\n")), F.lit("\n"), safe(text), F.lit(f"{END}\n"))
+
+
 def with_tokens(conversations: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
-    """conv_id, turn, role, text, tokens: the length in tokens of the text, and of the marks about it."""
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = bpe.encode(rows.withColumn("counted", F.concat("role", "text")), vocabulary_path, pattern, text_col="counted")
-    return counted.select("conv_id", "turn", "role", "text", (F.size("ids") + OVERHEAD).cast("long").alias("tokens"))
+    """conv_id, turn, role, text, tokens: how many tokens the turn has as it is written."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    counted = bpe.encode(rows.withColumn("counted", written(F.col("role"), F.col("text"))), vocabulary_path, pattern, text_col="counted")
+    return counted.select("conv_id", "turn", "role", "text", F.size("ids").cast("long").alias("tokens"))
 
 
 def placed(turns: DataFrame, turns_per_block: int = TURNS_PER_BLOCK) -> DataFrame:
-    """``turns`` with block, place (in the block), before (tokens of all turns before it) and is_first."""
+    """``turns`` with block, place (in the block), before (tokens of all turns before it), is_first, and system_tokens of the conversation's system turn."""
     keyed = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / turns_per_block), F.lit(-(2**53))))
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
     inside = Window.partitionBy("conv_id", "block").orderBy(*order)
     local = keyed.withColumn("place", F.row_number().over(inside)).withColumn("inner", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
     along = Window.partitionBy("conv_id").orderBy("block")
-    blocks = keyed.groupBy("conv_id", "block").agg(F.sum("tokens").alias("block_tokens"))
+    blocks = local.groupBy("conv_id", "block").agg(F.sum("tokens").alias("block_tokens"), F.max(F.when((F.col("place") == 1) & (F.col("role") == "system"), F.col("tokens")).otherwise(0)).alias("system"))
     blocks = blocks.withColumn("outer", F.sum("block_tokens").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")).withColumn("block_no", F.row_number().over(along))
-    blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "outer", "block_no")
+    blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "outer", "block_no", F.first("system").over(along).alias("system_tokens"))
     both = local.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-    return both.select(*turns.columns, "block", "place", (F.col("outer") + F.col("inner")).alias("before"), ((F.col("block_no") == 1) & (F.col("place") == 1)).alias("is_first"))
+    return both.select(*turns.columns, "block", "place", (F.col("outer") + F.col("inner")).alias("before"), ((F.col("block_no") == 1) & (F.col("place") == 1)).alias("is_first"), "system_tokens")
 
 
 _PIECES = "struct<part:int,block:long,place:int,role:string,text:string,tokens:long>"
@@ -106,9 +114,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     """
     small_batches(turns.sparkSession)
     all_turns = stage(placed(turns), "chat-turns")
-    system = all_turns.where("is_first and role = 'system'").select(F.col("conv_id").alias("s_id"), F.col("tokens").alias("system_tokens"), F.struct("role", "text", "tokens").alias("system"))
-    # the stride is one for all conversations: half of the budget less the history
-    stride = max((budget - history) // 2, history, 1)
+    system = all_turns.where("is_first and role = 'system'").select(F.col("conv_id").alias("s_id"), F.struct("role", "text", "tokens").alias("system"))
+    stride = F.greatest(F.floor((budget - history - F.col("system_tokens")) / 2), F.lit(1))
     mine = all_turns.withColumn("window", F.floor(F.col("before") / stride))
     piece = lambda part: F.struct(F.lit(part).alias("part"), "block", "place", "role", "text", "tokens")
     new = mine.select("conv_id", "window", piece(2).alias("piece"))
@@ -137,7 +144,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
                 rows.append({"conv_id": row["conv_id"], "window": row["window"], "repeated": sum(p["part"] < 2 for p in row["pieces"]), "tokens": tokens, "over_budget": tokens > budget, "text": "".join(text), "loss": loss})
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return grouped.mapInArrow(run, _WINDOWS)
+    return grouped.mapInArrow(bounded(run), _WINDOWS)
 
 
 _READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long, n_over_budget long"
@@ -187,4 +194,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield flush()
 
     ordered = formatted.select("conv_id", "window", "repeated", "over_budget", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    return ordered.mapInArrow(run, _READ)
+    return ordered.mapInArrow(bounded(run), _READ)
