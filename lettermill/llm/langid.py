@@ -34,13 +34,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import small_batches
+from .common import bounded, small_batches
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
-PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
+PER_LANGUAGE, SAMPLE_CHARS, MOST_LANGUAGES = 400, 20_000, 200
 LEXICON_WORDS = 500
 SEQUENCES, SEQUENCE_WORDS, SPAN_WORDS = 3000, 80, (3, 40)
 EPOCHS, BATCH_SEQUENCES, RATE, DECAY = 3, 100, 0.25, 1e-6
@@ -167,8 +168,13 @@ def _lexicon(texts: dict[int, list[list[str]]], size: int) -> dict[str, int]:
     return out
 
 
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """The lower-cased words of each text, for training and for prediction."""
+    return pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+
+
 def split(text: str) -> list[str]:
-    return [w for w in text.lower().split() if any(map(str.isalpha, w))]
+    return [w for w in split_words(pa.array([text], pa.string()))[0].as_py() if any(map(str.isalpha, w))]
 
 
 def train(samples: list[tuple[str, str]], seed: int = 1) -> Model | None:
@@ -226,7 +232,7 @@ def train(samples: list[tuple[str, str]], seed: int = 1) -> Model | None:
 
 def label_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all words of a batch: text number, place in the text, marginals; words without a letter are left out."""
-    parts = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    parts = split_words(texts)
     words = pc.dictionary_encode(parts.flatten())
     distinct = words.dictionary.to_pylist()
     lettered = np.array([any(map(str.isalpha, w)) for w in distinct], bool)
@@ -249,21 +255,26 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model | None:
-    """A model from a bounded sample of the rows where ``training`` holds."""
+def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS, most_languages: int = MOST_LANGUAGES) -> Model | None:
+    """A model from a bounded sample of the rows where ``training`` holds.
+
+    A language's sample are its ``per_language`` texts of the least hash.  What
+    reaches the driver is bounded by that and by ``most_languages``, the most
+    frequent ones: the others, of a column with stray values, are not learned.
+    """
     able = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in able.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in able.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not sizes:
         return None
-    share = F.lit(0.0)
+    # hashes up to this mark hold about twice the texts that are wanted, so few rows are ranked
+    mark = F.lit(None).cast("long")
     for lang, n in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.5 * per_language / n))).otherwise(share)
+        mark = F.when(F.col(lang_col) == lang, F.lit(min(2**63 - 1, -(2**63) + int(2.0**64 * (2 * per_language + 64) / n)))).otherwise(mark)
     spot = F.xxhash64(F.col(text_col))
-    chosen = able.where(F.length(text_col) <= sample_chars).where((F.pmod(spot, F.lit(1 << 20)) < share * (1 << 20)))
-    rows = defaultdict(set)
-    for r in chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spot.alias("spot")).collect():
-        rows[r["lang"]].add((r["spot"], r["text"]))
-    return train([(lang, text) for lang in sorted(rows) for _, text in sorted(rows[lang])[:per_language]])
+    near = able.where((F.length(text_col) <= sample_chars) & (spot <= mark)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spot.alias("spot"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "text"))
+    rows = near.distinct().withColumn("place", place).where(F.col("place") <= per_language).collect()
+    return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["place"]))])
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
@@ -301,4 +312,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             )
 
     kind, flag = rows.schema["doc_id"].dataType.simpleString(), rows.schema["kept"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, kept {flag}, lang_pred string, score double, n_words long, spans array<struct<start:int,stop:int,lang:string>>")
+    return rows.mapInArrow(bounded(run), f"doc_id {kind}, kept {flag}, lang_pred string, score double, n_words long, spans array<struct<start:int,stop:int,lang:string>>")

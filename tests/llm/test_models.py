@@ -89,6 +89,8 @@ def test_undetermined_and_untrained(spark):
                 assert (r["lang_pred"], r["score"]) == ("und", 0.0)
             assert model or r["lang_pred"] == "und"
     assert langid.fit(empty(spark), F.lit(True)) is None
+    stray = spark.createDataFrame([("word " * k, f"stray{k}") for k in range(1, 60)] + [(f"common text {k}", x) for k in range(300) for x in ("aa", "bb")], "text string, lang string")
+    assert langid.fit(stray, F.lit(True), per_language=5, most_languages=2).languages == ["aa", "bb"]
     assert langid.predict(empty(spark), None).count() == 0
 
 
