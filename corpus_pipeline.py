@@ -22,17 +22,14 @@ from lettermill.llm import bpe, decontam, exact_dedup, langid, ngram_join
 from lettermill.llm.common import fresh, new_path, row_key, small, stage, table
 from lettermill.llm.queries import VOCABULARY
 
-#: A document whose best language has a smaller share of its words than this is rejected with those of no language.
-MIN_SHARE = 0.4
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not ``und``, and a clear enough share of the words."""
+    """Documents in which a language is found; those that mix several stay, whatever the share of each."""
     model = langid.fit(docs, langid.fold("doc_id", 3) != 1)
     text_hash, bad_hash, bad_id = fresh(docs, "text_hash", "bad_hash", "bad_id")
     marked = docs.withColumn(text_hash, F.xxhash64("text"))
     verdict = langid.predict(marked.withColumn("doc_id", F.struct("doc_id", text_hash)), model)
-    rejected = verdict.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < MIN_SHARE))
+    rejected = verdict.where(F.col("lang_pred") == langid.UNDETERMINED)
     rejected = small(stage(rejected.select(F.col("doc_id.doc_id").alias(bad_id), F.col(f"doc_id.{text_hash}").alias(bad_hash)).distinct(), "pipeline-rejected"))
     kept = marked.join(rejected, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(text_hash) == F.col(bad_hash)), "left_anti")
     return kept.select(*docs.columns)
@@ -56,8 +53,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the ids decode to the text."""
     rows = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    decoded = bpe.decode(bpe.encode(rows, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY, public_tokenizers.PATTERN)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    return bpe.round_trip(rows, VOCABULARY, public_tokenizers.PATTERN).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
 STAGES = [
