@@ -3,27 +3,33 @@
 Tokens are ASCII-lower-cased words and one end mark a text.  The steps:
 
 1. Blocks.  Each task packs its texts into blocks: local word codes, the hashes
-   of the block's distinct words, and their counts over its training texts.
+   of the block's distinct words, and their counts over its training texts.  A
+   block is named by its content, so runs over one table train alike.
 2. Counts.  The blocks' vocabularies, not their tokens, go to hash buckets, where
    corpus counts are summed; every block gets its own words' counts back.  This
-   exchange grows with the corpus's vocabulary and has no hot key, as a word
-   occurs once a block.  A bucket holds about ``BUCKET_WORDS`` entries.
-3. Symbols.  The ``HEAD`` most frequent words keep their identity, in classes of
-   ``CLASS_WORDS``; every other word falls in the tail class of its count's
-   magnitude, inside which its probability is (count + 1) / class total.  A word
-   that training never saw is the only member of the class of count 0.  For
-   training, a tail word's own occurrence is left out of its count, so the model
-   learns how often new and rare words come up.
-4. Training.  log P(class) and log P(word | class) are sums of weights of hashed
-   features: the words before (1-gram, 2-gram) and skips over one to three words.
-   Tasks run stochastic gradient updates over their blocks; after each round the
-   token-weighted mean of their weights is broadcast again.  The rounds split the
-   blocks, so together they see every training token once.
+   exchange grows with the corpus's vocabulary.  A bucket holds about
+   ``BUCKET_WORDS`` entries; as a frequent word has one in every block, corpora of
+   more than ``most_blocks`` blocks sum them in salted parts first.
+3. Targets.  Every word has a class and a place in it.  The ``HEAD`` most frequent
+   words have classes of ``CLASS_WORDS``; every other word has the class of its
+   count's magnitude and one of ``CLASS_WORDS`` groups by its hash, inside which its
+   probability is (count + 1) / group total.  A word that training never saw is the
+   only member of the class of count 0.  For training, a tail word's own occurrence
+   is left out of its count, so the model learns how often new and rare words come
+   up.
+4. Training.  log P(class) and log P(place | class) are sums of weights of hashed
+   features of whole words, frequent or not: the word before, the two words before,
+   and a skip over one word; the rows are hashed, so tables do not grow with
+   the vocabulary.  Tasks run stochastic gradient updates over their blocks; after
+   each round the token-weighted mean of their weights is broadcast again.  The
+   rounds split the blocks, so together they see every training token once.
 5. Scoring in numpy batches over the same blocks, every token of every text.
 
-Broadcasts (weights, head words) have sizes fixed by parameters.  Words are told
-apart by 64-bit hashes.  Nothing is sampled; blocks and counts are staged in the
-shared folder, so a lost executor costs its own tasks only.
+Broadcasts (weights, head words) have sizes fixed by parameters: ``HEAD`` bounds the
+words with a place of their own, ``WORD_BITS`` and ``PAIR_BITS`` the feature rows.
+Words are told apart by 64-bit hashes, as features by 16 bits of them.  Nothing is
+sampled; blocks and counts are staged in the shared folder, so a lost executor costs
+its own tasks only.
 
 Defined cases: a null text is an empty one, a single end mark; a null id counts as
 not held out; repeated rows are scored each and counted each; extra columns do not
@@ -34,32 +40,40 @@ that of N = 0 and V = 0.
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import bounded, small_batches, stage
 
-HEAD, CLASS_WORDS, TAIL_CLASSES = 1024, 32, 24
+HEAD, CLASS_WORDS, TAIL_CLASSES = 640, 32, 12
 HEAD_CLASSES = HEAD // CLASS_WORDS
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
-SYMBOLS = HEAD + TAIL_CLASSES + 1
-BEGIN = SYMBOLS - 1
-BLOCK_TOKENS, BUCKET_WORDS, TASK_TOKENS = 1 << 19, 1_000_000, 8_000_000
-PAIR_ROWS, WORD_ROWS = 8192, 8192
-ROUNDS, BATCH_TOKENS, RATE, PARTS = 2, 4096, 0.15, 16
-END_HASH = np.uint64(0)
+GROUPS = TAIL_CLASSES * CLASS_WORDS
+BLOCK_TOKENS, BUCKET_WORDS, TASK_TOKENS, MOST_BLOCKS = 1 << 19, 1_000_000, 8_000_000, 65_536
+WORD_BITS, PAIR_BITS = 13, 14
+#: Rows of the class tables (word before, pair before, skip), and which of them the tables of places take too.
+CLASS_BITS, PLACE_FEATURES = (WORD_BITS, PAIR_BITS, WORD_BITS), (0, 2)
+ROUNDS, BATCH_TOKENS, RATE, FIRST_SQUARES, PARTS = 2, 4096, 0.8, 16.0, 16
+END_HASH, BEGIN = np.uint64(0), np.uint16(0x9E37)
 
 
 def tail_class(counts: np.ndarray) -> np.ndarray:
-    """0 for count 0, else 1 + floor(log2(count)), the last class open."""
-    return np.minimum(np.frexp(counts.astype(np.float64))[1] * (counts > 0), TAIL_CLASSES - 1).astype(np.int64)
+    """0 for count 0, else 1 + floor(log2(count)) up to 8, then one class for every factor of 8, the last class open."""
+    two = (np.frexp(counts.astype(np.float64))[1] * (counts > 0)).astype(np.int64)
+    return np.minimum(np.where(two <= 8, two, 8 + (two - 6) // 3), TAIL_CLASSES - 1)
+
+
+def group_of(hashes: np.ndarray) -> np.ndarray:
+    """The place that a tail word's hash gives it in a class."""
+    return ((hashes >> np.uint64(40)) % np.uint64(CLASS_WORDS)).astype(np.int64)
 
 
 # blocks
@@ -81,13 +95,23 @@ def _block(ids: list, held: list[bool], texts: list[str]) -> dict:
     inner[np.cumsum(sizes) - 1] = False
     codes[inner] = words.indices.to_numpy() + 1 if len(words) else 0
     learned = np.repeat(~np.array(held, bool), sizes)
-    counts = np.bincount(codes[learned], minlength=len(hashes))
+    counts = np.bincount(codes[learned], minlength=len(hashes)).astype(np.int64)
+    codes = codes.astype(np.uint16 if len(hashes) <= 1 << 16 else np.uint32).tobytes()
+    name = xxhash.xxh3_128(codes)
+    for part in (hashes, counts, sizes):
+        name.update(part.tobytes())
     return {
-        "block": uuid.uuid4().hex, "doc_id": ids, "held": held, "n_tokens": sizes.astype(np.int32), "codes": codes.tobytes(), "hashes": hashes.tobytes(),
-        "counts": counts.astype(np.int64).tobytes(), "n_words": len(hashes),
+        "block": name.hexdigest(), "doc_id": ids, "held": held, "n_tokens": sizes.astype(np.int32), "codes": zstandard.compress(codes, 3), "hashes": hashes.tobytes(),
+        "counts": counts.tobytes(), "n_words": len(hashes),
     }
 
 
+def codes_of(row: dict) -> np.ndarray:
+    """The word codes of a block, which travel compressed."""
+    raw = zstandard.decompress(row["codes"])
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * sum(row["n_tokens"]) else np.uint32)
+
+
 _BLOCK_ARROW = pa.schema([
     ("block", pa.string()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int32())),
     ("codes", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64()),
@@ -111,13 +135,13 @@ def blocks(docs: DataFrame, held: Column, id_col: str, text_col: str) -> DataFra
         if ids:
             yield pa.RecordBatch.from_pylist([_block(ids, flags, texts)], schema=_BLOCK_ARROW)
 
-    return rows.mapInArrow(run, _BLOCK)
+    return rows.mapInArrow(bounded(run), _BLOCK)
 
 
 # counts
 
 
-def _to_buckets(buckets: int):
+def _to_buckets(buckets: int, salts: int):
     def run(batches):
         for batch in batches:
             for block, hashes, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -127,40 +151,73 @@ def _to_buckets(buckets: int):
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 present = np.flatnonzero(np.diff(edges))
                 cut = [order[edges[b] : edges[b + 1]] for b in present.tolist()]
+                salt = int(block[:8], 16) % salts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(present, pa.int32()), pa.array([block] * len(cut), pa.string()), pa.array([h[x].tobytes() for x in cut], pa.binary()), pa.array([c[x].tobytes() for x in cut], pa.binary())],
-                    names=["bucket", "block", "hashes", "counts"],
-                )
+                    [
+                        pa.array(present, pa.int32()), pa.array([salt] * len(cut), pa.int32()), pa.array([block] * len(cut), pa.string()),
+                        pa.array([h[x].tobytes() for x in cut], pa.binary()), pa.array([c[x].tobytes() for x in cut], pa.binary()),
+                    ],
+                    names=["bucket", "salt", "block", "hashes", "counts"],
+                )
 
     return run
 
 
-_ANSWER = "bucket int, block string, counts binary, types long, tokens long, mass array<long>, left_out array<long>, top array<struct<hash:long,n:long>>"
+_SENT = "bucket int, salt int, block string, hashes binary, counts binary"
+_TOTAL = "bucket int, salt int, hashes binary, counts binary"
+_FACTS = ", types long, tokens long, mass array<long>, left_out array<long>, top array<struct<hash:long,n:long>>"
+_ANSWER = "bucket int, block string, counts binary"
+_TOP = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))
 
 
-def _sum_bucket(group: pa.Table) -> pa.Table:
-    blocks_, raw = group.column("block").to_pylist(), group.column("hashes").to_pylist()
-    hashes = np.frombuffer(b"".join(raw), np.uint64)
+def _summed(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, total counts) of a group of entries, hashes sorted."""
+    hashes = np.frombuffer(b"".join(group.column("hashes").to_pylist()), np.uint64)
     counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int64)
     words, code = np.unique(hashes, return_inverse=True)
-    total = np.bincount(code, counts, minlength=len(words)).astype(np.int64)
-    edges = np.cumsum([0, *(len(x) // 8 for x in raw)])
-    answer = total[code]
-    seen = total > 0
-    kind, out = tail_class(total), tail_class(np.maximum(total - 1, 0))
-    mass = np.bincount(kind[seen], total[seen] + 1, minlength=TAIL_CLASSES).astype(np.int64)
-    left_out = np.bincount(out[seen], total[seen], minlength=TAIL_CLASSES).astype(np.int64)
-    top = np.argsort(-total, kind="stable")[:HEAD]
-    top = [{"hash": int(words[i].astype(np.int64)), "n": int(total[i])} for i in top if total[i]]
-    n = len(blocks_)
-    first = lambda x, none: [x] + [none] * (n - 1)
-    return pa.table({
-        "bucket": pa.array(group.column("bucket").to_pylist(), pa.int32()), "block": pa.array(blocks_, pa.string()),
-        "counts": pa.array([answer[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-        "types": pa.array(first(int(seen.sum()), 0), pa.int64()), "tokens": pa.array(first(int(total.sum()), 0), pa.int64()),
-        "mass": pa.array(first(mass.tolist(), None), pa.list_(pa.int64())), "left_out": pa.array(first(left_out.tolist(), None), pa.list_(pa.int64())),
-        "top": pa.array(first(top, None), pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))),
-    })
+    total = np.zeros(len(words), np.int64)
+    np.add.at(total, code, counts)
+    return words, total
+
+
+def _total(group: pa.Table, facts: bool) -> pa.Table:
+    """One row: the totals of a group's words and, of a whole bucket, what the model must know of them."""
+    words, total = _summed(group)
+    one = lambda x, kind: pa.array([x], kind)
+    columns = {
+        "bucket": one(group.column("bucket")[0].as_py(), pa.int32()), "salt": one(0, pa.int32()),
+        "hashes": one(words.tobytes(), pa.binary()), "counts": one(total.tobytes(), pa.binary()),
+    }
+    if facts:
+        seen = total > 0
+        words, total = words[seen], total[seen]
+        place = group_of(words)
+        add = lambda kind, n: np.bincount(kind * CLASS_WORDS + place, n, minlength=GROUPS).astype(np.int64).tolist()
+        top = np.lexsort((words, -total))[:HEAD]
+        columns |= {
+            "types": one(len(words), pa.int64()), "tokens": one(int(total.sum()), pa.int64()), "mass": one(add(tail_class(total), total + 1), pa.list_(pa.int64())),
+            "left_out": one(add(tail_class(total - 1), total), pa.list_(pa.int64())), "top": one([{"hash": int(words[i].astype(np.int64)), "n": int(total[i])} for i in top], _TOP),
+        }
+    return pa.table(columns)
+
+
+def _answer(entries: pa.Table, totals: pa.Table) -> pa.Table:
+    """Every entry with the totals of its words in place of its own counts."""
+    words, total = _summed(totals)
+    raw = entries.column("hashes").to_pylist()
+    counts = [total[np.searchsorted(words, np.frombuffer(x, np.uint64))].tobytes() for x in raw]
+    return pa.table({"bucket": entries.column("bucket"), "block": entries.column("block"), "counts": pa.array(counts, pa.binary())})
+
+
+def counted(made: DataFrame, buckets: int, salts: int) -> tuple[DataFrame, DataFrame]:
+    """The totals, one row a bucket, and the answers to the blocks."""
+    parts = sent = made.select("block", "hashes", "counts").mapInArrow(bounded(_to_buckets(buckets, salts)), _SENT)
+    if salts > 1:
+        parts = stage(sent.groupBy("bucket", "salt").applyInArrow(lambda group: _total(group, False), _TOTAL), "lm-parts")
+    totals = stage(parts.groupBy("bucket").applyInArrow(lambda group: _total(group, True), _TOTAL + _FACTS), "lm-totals")
+    given = totals.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "hashes", "counts")
+    answers = sent.groupBy("bucket", "salt").cogroup(given.groupBy("bucket", "salt")).applyInArrow(_answer, _ANSWER)
+    return totals, answers
 
 
 @dataclass
@@ -171,28 +228,30 @@ class Counts:
     types: int
     head: np.ndarray  # hashes of head words, most frequent first
     head_counts: np.ndarray
-    mass: np.ndarray  # sum of count + 1 over the words of each tail class
-    left_out: np.ndarray  # training tokens of each tail class, their own occurrence left out
+    mass: np.ndarray  # sum of count + 1 over the words of each group of each tail class
+    left_out: np.ndarray  # training tokens of each such group, their own occurrence left out
 
 
-def gather(answers: DataFrame) -> Counts:
-    pick = lambda c, i: F.coalesce(F.sum(F.element_at(c, i + 1)), F.lit(0)).alias(f"{c}{i}")
-    r = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types"), *(pick(c, i) for c in ("mass", "left_out") for i in range(TAIL_CLASSES))).first()
-    top = answers.where("top is not null").select(F.explode("top").alias("t")).select("t.hash", "t.n").orderBy(F.desc("n"), "hash").limit(HEAD).collect()
+def gather(totals: DataFrame) -> Counts:
+    r = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
+    top = totals.select(F.explode("top").alias("t")).select("t.hash", "t.n").orderBy(F.desc("n"), "hash").limit(HEAD).collect()
     head, n = np.array([x["hash"] for x in top], np.int64).astype(np.uint64), np.array([x["n"] for x in top], np.int64)
-    mass, out = (np.array([r[f"{c}{i}"] for i in range(TAIL_CLASSES)], np.int64) for c in ("mass", "left_out"))
-    mass = mass - np.bincount(tail_class(n), n + 1, minlength=TAIL_CLASSES).astype(np.int64)
-    out = out - np.bincount(tail_class(np.maximum(n - 1, 0)), n, minlength=TAIL_CLASSES).astype(np.int64)
-    mass[0] = 1  # the one unknown word
+    mass, out = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
+    for x in totals.select(F.posexplode(F.arrays_zip("mass", "left_out")).alias("at", "x")).groupBy("at").agg(F.sum("x.mass").alias("mass"), F.sum("x.left_out").alias("left_out")).collect():
+        mass[x["at"]], out[x["at"]] = x["mass"], x["left_out"]
+    place = group_of(head)
+    mass -= np.bincount(tail_class(n) * CLASS_WORDS + place, n + 1, minlength=GROUPS).astype(np.int64)
+    out -= np.bincount(tail_class(np.maximum(n - 1, 0)) * CLASS_WORDS + place, n, minlength=GROUPS).astype(np.int64)
+    mass[:CLASS_WORDS] = 1  # the one unknown word
     return Counts(r["tokens"], r["types"], head, n, mass, out)
 
 
-# symbols
+# targets
 
-_ENCODED = "doc_id array<long>, held array<boolean>, n_tokens array<int>, n_known array<int>, base array<double>, tail array<double>, symbols binary, left_out binary, part int"
+_ENCODED = "doc_id array<long>, held array<boolean>, n_tokens array<int>, n_known array<int>, base array<double>, tail array<double>, codes binary, words binary, classes binary, places binary, lower binary, block string, part int"
 
 
-def _symbols(counts: Counts):
+def _encode(counts: Counts):
     order = np.argsort(counts.head)
     head = counts.head[order]
     logs = lambda x: np.log10(np.maximum(x, 1).astype(np.float64))
@@ -200,28 +259,29 @@ def _symbols(counts: Counts):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                hashes, codes = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["codes"], np.int32)
+                hashes, codes = np.frombuffer(row["hashes"], np.uint64), codes_of(row)
                 n, buckets = np.zeros(len(hashes), np.int64), (hashes % np.uint64(row["buckets"])).astype(np.int64)
                 for answer in row["answers"]:
                     n[buckets == answer["bucket"]] = np.frombuffer(answer["counts"], np.int64)
                 base = logs(n + 1) - math.log10(max(1, counts.tokens + counts.types + 1))
-                kind = tail_class(n)
-                symbol, tail = HEAD + kind, logs(n + 1) - logs(counts.mass)[kind]
+                kind, place = tail_class(n), group_of(hashes)
+                klass, tail = HEAD_CLASSES + kind, np.where(n > 0, logs(n + 1) - logs(counts.mass)[kind * CLASS_WORDS + place], 0.0)
                 if len(head):
                     at = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
                     hit = head[at] == hashes
-                    symbol, tail = np.where(hit, order[at], symbol), np.where(hit, 0.0, tail)
+                    klass, place, tail = np.where(hit, order[at] // CLASS_WORDS, klass), np.where(hit, order[at] % CLASS_WORDS, place), np.where(hit, 0.0, tail)
                 # own occurrence left out: the count's class changes where the count is the least of its class
-                lower = (symbol >= HEAD) & (n > 0) & (tail_class(np.maximum(n - 1, 0)) < kind)
+                lower = (klass >= HEAD_CLASSES) & (n > 0) & (tail_class(np.maximum(n - 1, 0)) < kind)
                 sizes = np.array(row["n_tokens"], np.int64)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 total = lambda x: np.bincount(owner, x[codes], minlength=len(sizes))
+                words = ((hashes * _ODD) >> np.uint64(48)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["doc_id"]], pa.list_(pa.int64())), pa.array([row["held"]], pa.list_(pa.bool_())), pa.array([row["n_tokens"]], pa.list_(pa.int32())),
                         pa.array([total((n > 0).astype(float)).astype(np.int32)], pa.list_(pa.int32())), pa.array([total(base)], pa.list_(pa.float64())), pa.array([total(tail)], pa.list_(pa.float64())),
-                        pa.array([symbol[codes].astype(np.uint16).tobytes()], pa.binary()), pa.array([np.packbits(lower[codes]).tobytes()], pa.binary()),
-                        pa.array([int(row["block"][:8], 16) % ROUNDS], pa.int32()),
+                        pa.array([row["codes"]], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in (words, klass.astype(np.uint8), place.astype(np.uint8), lower.astype(np.uint8))),
+                        pa.array([row["block"]], pa.string()), pa.array([int(row["block"][8:16], 16) % ROUNDS], pa.int32()),
                     ],
                     names=[c.split()[0] for c in _ENCODED.split(", ")],
                 )
@@ -229,28 +289,42 @@ def _symbols(counts: Counts):
     return run
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def tokens_of(row: dict, learning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word as a feature, class, place in the class) of every token of a block; in learning, own occurrences are left out."""
+    codes = codes_of(row)
+    words, classes, places = np.frombuffer(row["words"], np.uint16), np.frombuffer(row["classes"], np.uint8), np.frombuffer(row["places"], np.uint8)
+    if learning:
+        classes = classes - np.frombuffer(row["lower"], np.uint8)
+    return words[codes], classes[codes].astype(np.int64), places[codes].astype(np.int64)
+
+
 # the model
 
 
 @dataclass
 class Model:
-    """Weights of log P(class) and log P(word | class), natural logarithms up to a constant."""
+    """Weights of log P(class) and log P(place | class), natural logarithms up to a constant."""
 
     class_bias: np.ndarray
     word_bias: np.ndarray
-    tables: list[np.ndarray] = field(default_factory=list)  # of classes: word before, pair before, skips of 1, 2, 3
-    word_tables: list[np.ndarray] = field(default_factory=list)  # of words in a class: word before, skip of 1
+    tables: list[np.ndarray] = field(default_factory=list)  # of classes: word before, pair before, skip of 1
+    word_tables: list[np.ndarray] = field(default_factory=list)  # of places in a class: word before, skip of 1
 
     @staticmethod
     def start(counts: Counts) -> Model:
-        by_class = np.zeros((HEAD_CLASSES, CLASS_WORDS))
-        by_class.reshape(-1)[: len(counts.head_counts)] = counts.head_counts
-        classes = np.concatenate([by_class.sum(axis=1), counts.left_out]) + 0.5
-        word_bias = np.where(by_class > 0, np.log(np.maximum(by_class, 1)), -30.0)
+        by_class = np.zeros((CLASSES, CLASS_WORDS))
+        by_class[:HEAD_CLASSES].reshape(-1)[: len(counts.head_counts)] = counts.head_counts
+        by_class[HEAD_CLASSES:] = np.maximum(counts.left_out, 0).reshape(TAIL_CLASSES, CLASS_WORDS)
+        classes = by_class.sum(axis=1) + 0.5
+        # a group without a word of its class cannot come up, one with a word can
+        able = np.concatenate([by_class[:HEAD_CLASSES] > 0, ((counts.mass > 0) | (counts.left_out > 0)).reshape(TAIL_CLASSES, CLASS_WORDS)])
+        word_bias = np.where(able, np.log(by_class + 0.5), -30.0)
         word_bias -= word_bias.max(axis=1, keepdims=True)
-        rows = (SYMBOLS, PAIR_ROWS, SYMBOLS, SYMBOLS, SYMBOLS)
-        zeros = lambda r, c: np.zeros((r, c), np.float32)
-        return Model(np.log(classes / classes.sum()).astype(np.float32), word_bias.astype(np.float32), [zeros(r, CLASSES) for r in rows], [zeros(WORD_ROWS, CLASS_WORDS) for _ in range(2)])
+        zeros = lambda bits, c: np.zeros((1 << bits, c), np.float32)
+        return Model(np.log(classes / classes.sum()).astype(np.float32), word_bias.astype(np.float32), [zeros(bits, CLASSES) for bits in CLASS_BITS], [zeros(PAIR_BITS, CLASS_WORDS) for _ in PLACE_FEATURES])
 
     def flat(self) -> np.ndarray:
         return np.concatenate([t.ravel() for t in (*self.tables, *self.word_tables)])
@@ -263,83 +337,88 @@ class Model:
         return Model(self.class_bias, self.word_bias, out[: len(self.tables)], out[len(self.tables) :])
 
     @staticmethod
-    def contexts(symbols: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-        """The rows of the class tables for each token."""
+    def contexts(words: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+        """The rows of the class tables for each token: hashes of whole words."""
         back = []
-        for k in range(1, 5):
-            b = np.full(len(symbols), BEGIN, np.int64)
-            b[k:] = np.where(place[k:] >= k, symbols[:-k] if len(symbols) > k else symbols[:0], BEGIN)
+        for k in (1, 2):
+            b = np.full(len(words), BEGIN, np.uint16)
+            b[k:] = np.where(place[k:] >= k, words[:-k] if len(words) > k else words[:0], BEGIN)
             back.append(b)
-        pair = ((back[1] * SYMBOLS + back[0]) * 2654435761 >> 12) % PAIR_ROWS
-        return [back[0], pair, back[1], back[2], back[3]]
+        with np.errstate(over="ignore"):
+            pair = (back[1].astype(np.uint32) * np.uint32(65_537) ^ back[0]) * np.uint32(2654435761)
+        return [back[0] >> np.uint16(16 - WORD_BITS), (pair >> np.uint32(32 - PAIR_BITS)).astype(np.uint16), back[1] >> np.uint16(16 - WORD_BITS)]
 
-    def classes(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Probabilities of the classes."""
+    def class_scores(self, rows: list[np.ndarray]) -> np.ndarray:
         score = self.tables[0][rows[0]] + self.class_bias
         for table, row in zip(self.tables[1:], rows[1:], strict=True):
             score += table[row]
-        score -= score.max(axis=1, keepdims=True)
-        np.exp(score, out=score)
-        score /= score.sum(axis=1, keepdims=True)
         return score
 
     @staticmethod
     def word_rows(rows: list[np.ndarray], own: np.ndarray, klass: np.ndarray) -> list[np.ndarray]:
-        return [((rows[f][own] * HEAD_CLASSES + klass) * 2654435761 >> 12) % WORD_ROWS for f in (0, 2)]
-
-    def words(self, rows: list[np.ndarray], klass: np.ndarray) -> np.ndarray:
-        """Probabilities of the words of each token's class."""
-        score = self.word_bias[klass] + self.word_tables[0][rows[0]] + self.word_tables[1][rows[1]]
-        score -= score.max(axis=1, keepdims=True)
-        np.exp(score, out=score)
-        score /= score.sum(axis=1, keepdims=True)
+        with np.errstate(over="ignore"):
+            return [((rows[f][own].astype(np.uint32) * np.uint32(CLASSES) + klass.astype(np.uint32)) * np.uint32(2654435761) >> np.uint32(32 - PAIR_BITS)).astype(np.uint16) for f in PLACE_FEATURES]
+
+    def place_scores(self, rows: list[np.ndarray], klass: np.ndarray) -> np.ndarray:
+        score = self.word_bias[klass]
+        for table, row in zip(self.word_tables, rows, strict=True):
+            score += table[row]
         return score
 
-    def log10(self, symbols: np.ndarray, place: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
-        """log10 of P(class), and of P(word | class) for head words, of each token."""
-        contexts = self.contexts(symbols, place)
-        out = np.empty(len(symbols))
-        for low in range(0, len(symbols), batch):
-            part = symbols[low : low + batch]
+    def log10(self, words: np.ndarray, klass: np.ndarray, inner: np.ndarray, place: np.ndarray, batch: int = 1 << 12) -> np.ndarray:
+        """log10 of P(class) P(place | class) of each token; the class of unknown words has one place."""
+        contexts = self.contexts(words, place)
+        out = np.empty(len(words))
+        for low in range(0, len(words), batch):
+            part = klass[low : low + batch]
             rows = [c[low : low + batch] for c in contexts]
-            klass = class_of(part)
-            p = self.classes(rows)[np.arange(len(part)), klass].astype(np.float64)
-            own = np.flatnonzero(part < HEAD)
-            p[own] *= self.words(self.word_rows(rows, own, klass[own]), klass[own])[np.arange(len(own)), part[own] % CLASS_WORDS]
-            out[low : low + batch] = np.log10(np.maximum(p, 1e-300))
-        return out
+            log = _chosen(self.class_scores(rows), part)
+            own = np.flatnonzero(part != HEAD_CLASSES)
+            log[own] += _chosen(self.place_scores(self.word_rows(rows, own, part[own]), part[own]), inner[low + own])
+            out[low : low + batch] = log
+        return out / math.log(10)
+
 
+def _chosen(score: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row of scores, in one place of the row."""
+    score -= score.max(axis=1, keepdims=True)
+    own = score[np.arange(len(at)), at].astype(np.float64)
+    return own - np.log(np.exp(score, out=score).sum(axis=1))
 
-def class_of(symbols: np.ndarray) -> np.ndarray:
-    return np.where(symbols < HEAD, symbols // CLASS_WORDS, symbols - HEAD + HEAD_CLASSES)
+
+def _gap(score: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Gradient of that logarithm by the scores."""
+    score -= score.max(axis=1, keepdims=True)
+    np.exp(score, out=score)
+    score *= -1 / score.sum(axis=1, keepdims=True)
+    score[np.arange(len(at)), at] += 1
+    return score
 
 
 def _climb(table: np.ndarray, squares: np.ndarray, row: np.ndarray, gradient: np.ndarray) -> None:
-    """An AdaGrad update of the rows that a batch touches."""
+    """An AdaGrad update, of one rate a row, of the rows that a batch touches."""
     order = np.argsort(row, kind="stable")
     ordered = row[order]
     edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    total, rows = np.add.reduceat(gradient[order], edge, axis=0), ordered[edge]
-    squares[rows] += total * total
-    table[rows] += RATE * total / np.sqrt(squares[rows])
+    total, rows = np.add.reduceat(gradient.take(order, 0), edge, axis=0), ordered[edge]
+    squares[rows] += np.einsum("ij,ij->i", total, total)
+    total *= (RATE / np.sqrt(squares[rows]))[:, None]
+    table[rows] += total
 
 
-def learn(model: Model, squares: list[np.ndarray], symbols: np.ndarray, place: np.ndarray) -> None:
+def learn(model: Model, squares: list[np.ndarray], words: np.ndarray, klass: np.ndarray, inner: np.ndarray, place: np.ndarray) -> None:
     """Gradient updates over the tokens of a block, in place."""
-    contexts = Model.contexts(symbols, place)
-    for low in range(0, len(symbols), BATCH_TOKENS):
-        part = symbols[low : low + BATCH_TOKENS]
+    contexts = Model.contexts(words, place)
+    for low in range(0, len(words), BATCH_TOKENS):
+        part = klass[low : low + BATCH_TOKENS]
         rows = [c[low : low + BATCH_TOKENS] for c in contexts]
-        klass = class_of(part)
-        gap = -model.classes(rows)
-        gap[np.arange(len(part)), klass] += 1
+        gap = _gap(model.class_scores(rows), part)
         for table, square, row in zip(model.tables, squares, rows, strict=False):
             _climb(table, square, row, gap)
-        own = np.flatnonzero(part < HEAD)
+        own = np.flatnonzero(part != HEAD_CLASSES)
         if len(own):
-            word_rows = Model.word_rows(rows, own, klass[own])
-            gap = -model.words(word_rows, klass[own])
-            gap[np.arange(len(own)), part[own] % CLASS_WORDS] += 1
+            word_rows = Model.word_rows(rows, own, part[own])
+            gap = _gap(model.place_scores(word_rows, part[own]), inner[low + own])
             for table, square, row in zip(model.word_tables, squares[len(model.tables) :], word_rows, strict=True):
                 _climb(table, square, row, gap)
 
@@ -357,33 +436,38 @@ def train(encoded: DataFrame, start: Model, tokens: int) -> Model:
 
         def run(batches, shared=shared):
             own = shared.value.filled(shared.value.flat().copy())
-            squares = [np.full(t.shape, 4.0, np.float32) for t in (*own.tables, *own.word_tables)]
+            squares = [np.full(len(t), FIRST_SQUARES, np.float32) for t in (*own.tables, *own.word_tables)]
             seen = 0
             for batch in batches:
                 for row in batch.to_pylist():
                     sizes, held = np.array(row["n_tokens"], np.int64), np.array(row["held"], bool)
-                    symbols = np.frombuffer(row["symbols"], np.uint16).astype(np.int64)
-                    symbols -= np.unpackbits(np.frombuffer(row["left_out"], np.uint8), count=len(symbols))
                     place, learned = _places(sizes), np.repeat(~held, sizes)
-                    learn(own, squares, symbols[learned], place[learned])
+                    learn(own, squares, *(x[learned] for x in (*tokens_of(row, True), place)))
                     seen += int(learned.sum())
             if seen:
+                task = TaskContext.get().partitionId()
                 parts = np.array_split(own.flat(), PARTS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "seen", "weights"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(PARTS), pa.int32()), pa.array([task] * PARTS, pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([p.astype(np.float16).tobytes() for p in parts], pa.binary())],
+                    names=["part", "task", "seen", "weights"],
+                )
 
         def mean(batches):
+            # the tasks come in order, so the sums are the same in every run
             total, weight = {}, {}
             for batch in batches:
-                for part, seen, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    x = np.frombuffer(raw, np.float32).astype(np.float64) * seen
+                for part, _, seen, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    x = np.frombuffer(raw, np.float16).astype(np.float64) * seen
                     total[part] = total[part] + x if part in total else x
                     weight[part] = weight.get(part, 0) + seen
             for part, x in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(x / weight[part]).astype(np.float32).tobytes()], pa.binary())], names=["part", "weights"])
 
-        rows = encoded.where(F.col("part") == round_).select("n_tokens", "held", "symbols", "left_out").coalesce(tasks)
-        local = rows.mapInArrow(run, "part int, seen long, weights binary")
-        got = {r["part"]: r["weights"] for r in local.repartition(PARTS, "part").mapInArrow(mean, "part int, weights binary").collect()}
+        rows = encoded.where(F.col("part") == round_).select("n_tokens", "held", "codes", "words", "classes", "places", "lower", "block")
+        # which blocks a task learns from, and in what order, depends on their content only
+        rows = rows.repartition(tasks, "block").sortWithinPartitions("block")
+        local = rows.mapInArrow(bounded(run), "part int, task int, seen long, weights binary").repartition(PARTS, "part").sortWithinPartitions("part", "task")
+        got = {r["part"]: r["weights"] for r in local.mapInArrow(mean, "part int, weights binary").collect()}
         if got:
             model = model.filled(np.frombuffer(b"".join(got[p] for p in sorted(got)), np.float32))
         shared.unpersist()
@@ -392,12 +476,13 @@ def train(encoded: DataFrame, start: Model, tokens: int) -> Model:
 
 def score(encoded: DataFrame, model: Model, counts: Counts) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(model)
+    counts_tokens = counts.tokens
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = np.array(row["n_tokens"], np.int64)
-                logs = shared.value.log10(np.frombuffer(row["symbols"], np.uint16).astype(np.int64), _places(sizes))
+                logs = shared.value.log10(*tokens_of(row, False), _places(sizes))
                 total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, minlength=len(sizes)) + np.array(row["tail"])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -407,22 +492,19 @@ def score(encoded: DataFrame, model: Model, counts: Counts) -> DataFrame:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    counts_tokens = counts.tokens
-    return encoded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return encoded.drop("lower", "block", "part").mapInArrow(bounded(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
-    spark = small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     made = stage(blocks(docs, held, id_col, text_col), "lm-blocks")
-    small_batches(spark, 4)  # a row is a block from here on
-    entries = made.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(1, math.ceil(entries / BUCKET_WORDS))
-    sent = made.select("block", "hashes", "counts").mapInArrow(_to_buckets(buckets), "bucket int, block string, hashes binary, counts binary")
-    answers = stage(sent.groupBy("bucket").applyInArrow(_sum_bucket, _ANSWER), "lm-counts")
-    counts = gather(answers)
+    amount = made.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("entries"), F.count(F.lit(1)).alias("blocks")).first()
+    buckets, salts = max(1, math.ceil(amount["entries"] / BUCKET_WORDS)), max(1, math.ceil(amount["blocks"] / most_blocks))
+    totals, answers = counted(made, buckets, salts)
+    counts, answers = gather(totals), stage(answers, "lm-answers")
     back = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
     joined = made.drop("counts", "n_words").join(back, "block").withColumn("buckets", F.lit(buckets))
-    encoded = stage(joined.mapInArrow(_symbols(counts), _ENCODED), "lm-symbols")
+    encoded = stage(joined.mapInArrow(bounded(_encode(counts)), _ENCODED), "lm-encoded")
     model = train(encoded, Model.start(counts), counts.tokens)
     return score(encoded, model, counts)
