@@ -124,15 +124,15 @@ def _trim_url(url: Column) -> Column:
     return F.substring(plain, F.lit(1), F.length(plain) - F.least(surplus, closing))
 
 
-def entities(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, entity): distinct URLs, addresses, phone numbers (digits) and mentions of each text."""
+def entities(rows: DataFrame, key: str, text: str, kinds: tuple[str, ...] = ("url", "email", "phone", "mention")) -> DataFrame:
+    """(key, kind, entity): distinct URLs, addresses, phone numbers (digits) and mentions of each text; only the patterns of ``kinds`` run."""
     body = F.coalesce(F.col(text), F.lit(""))
     every = lambda pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
     phones = F.filter(F.transform(every(PHONE), lambda p: F.trim(p)), lambda p: ~p.rlike(DATE_LIKE) & ~p.rlike(IP_LIKE))
     phones = F.filter(F.transform(phones, lambda p: F.regexp_replace(p, r"\D", "")), lambda p: F.length(p) >= 7)
     found = (("url", F.transform(every(URL), _trim_url)), ("email", every(EMAIL)), ("phone", phones), ("mention", every(MENTION)))
-    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.array_distinct(F.transform(values, lambda v: F.lower(v))).alias("values")) for kind, values in found))
-    each = rows.select(F.col(key), F.explode(kinds).alias("k"))
+    lists = F.array(*(F.struct(F.lit(kind).alias("kind"), F.array_distinct(F.transform(values, lambda v: F.lower(v))).alias("values")) for kind, values in found if kind in kinds))
+    each = rows.select(F.col(key), F.explode(lists).alias("k"))
     return each.select(key, F.col("k.kind").alias("kind"), F.explode("k.values").alias("entity"))
 
 

@@ -132,3 +132,29 @@ def metadata_filter(rows: DataFrame, column: str, where: Mapping[str, object] |
     """Rows whose JSON text ``column`` satisfies ``where`` (a mapping or JSON)."""
     where = json.loads(where) if isinstance(where, str) else where
     return rows.where(metadata_predicate(F.try_parse_json(F.col(column)), where))
+
+
+def structured(rows: DataFrame, request: dict) -> DataFrame:
+    """Messages (uid, sender_email, category, date, value) that meet a request, in its order, up to its limit.
+
+    Known fields: sender, date_from, date_to (days, both inclusive), category (a list),
+    min_score, sort_by (score, date, sender), limit; another field or order, a limit
+    below 1 or days in the wrong order raise ValueError.
+    """
+    known = {"sender", "date_from", "date_to", "category", "min_score", "sort_by", "limit"}
+    orders = {"score": [F.desc("value")], "date": [F.desc("date")], "sender": [F.asc("sender_email")]}
+    if unknown := set(request) - known:
+        raise ValueError(f"unknown fields: {sorted(unknown)}")
+    if request.get("sort_by", "score") not in orders or request.get("limit", 1) < 1 or (request.get("date_from") or "") > (request.get("date_to") or "9999"):
+        raise ValueError(f"a request that cannot be met: {request}")
+    if request.get("sender"):
+        rows = rows.where(F.contains(F.lower("sender_email"), F.lit(request["sender"].lower())))
+    if request.get("date_from"):
+        rows = rows.where(F.col("date") >= F.lit(request["date_from"]).cast("timestamp_ntz"))
+    if request.get("date_to"):
+        rows = rows.where(F.col("date") < F.date_add(F.lit(request["date_to"]).cast("date"), 1).cast("timestamp_ntz"))
+    if request.get("category"):
+        rows = rows.where(F.col("category").isin(*request["category"]))
+    if request.get("min_score") is not None:
+        rows = rows.where(F.col("value") >= request["min_score"])
+    return rows.orderBy(*orders[request.get("sort_by", "score")], "uid").limit(request.get("limit", 20))

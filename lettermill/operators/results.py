@@ -92,9 +92,9 @@ def conversation_groups(rows: DataFrame) -> DataFrame:
 
 
 def triage(rows: DataFrame, preview: int = 200) -> DataFrame:
-    """Compact entries: uid, sender, day, score to three places, preview."""
+    """Compact entries: uid, sender, day, score to three places (the binary value is rounded, not its decimal print), preview."""
     return rows.select(
-        "uid", F.col("sender_email").alias("sender"), F.substring(F.col("date").cast("string"), 1, 10).alias("day"), F.round("score", 3).alias("score"),
+        "uid", F.col("sender_email").alias("sender"), F.substring(F.col("date").cast("string"), 1, 10).alias("day"), (F.round(F.col("score") * 1000) / 1000).alias("score"),
         F.when(F.length("text") > preview, F.concat(F.substring("text", 1, preview), F.lit("..."))).otherwise(F.col("text")).alias("preview"),
     )
 
@@ -109,13 +109,13 @@ def infer_parents(children: DataFrame, parents: DataFrame, days: int = 30, accep
     """(uid, parent_uid, confidence): the parent that scores clearly best.
 
     Candidates share the base subject and are earlier by at most ``days``; they are
-    found by an equi-join on subject and month, each child looking at its own month and the one
-    before, so that a busy subject is spread over its months.  Both sides have uid, base_subject, date,
+    found by an equi-join on subject and block of ``days`` days, each child looking at its own block and the one
+    before, so that a busy subject is spread over its blocks.  Both sides have uid, base_subject, date,
     sender_email, participants (array), opening; children also reply_from and reply_subject.
     """
-    month = lambda c: (F.year(c) * 12 + F.month(c)).cast("int")
-    child = children.withColumn("m", F.explode(F.array(month(F.col("date")), month(F.col("date")) - 1)))
-    parent = parents.select(*(F.col(c).alias(f"p_{c}") for c in ("uid", "base_subject", "date", "sender_email", "participants", "opening"))).withColumn("p_m", month(F.col("p_date")))
+    block = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / (days * 86_400))
+    child = children.withColumn("m", F.explode(F.array(block(F.col("date")), block(F.col("date")) - 1)))
+    parent = parents.select(*(F.col(c).alias(f"p_{c}") for c in ("uid", "base_subject", "date", "sender_email", "participants", "opening"))).withColumn("p_m", block(F.col("p_date")))
     gap = (F.unix_seconds(F.col("date").cast("timestamp")) - F.unix_seconds(F.col("p_date").cast("timestamp"))) / 3600
     both = child.join(parent, (F.col("base_subject") == F.col("p_base_subject")) & (F.col("m") == F.col("p_m"))).where((gap > 0) & (gap <= 24 * days) & (F.col("uid") != F.col("p_uid")))
     hit = lambda test, weight: F.when(F.coalesce(test, F.lit(False)), weight).otherwise(0.0)

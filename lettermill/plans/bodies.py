@@ -54,15 +54,19 @@ def chunks_fixed(spark, sf):
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_\p{{M}}]+')"
 
 
-@query(rf"""WITH t AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+_TOP_TERMS = rf"""WITH t AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
     d AS (SELECT term, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
     s AS (SELECT doc_id, term, round((1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1), 6) AS weight FROM f JOIN d USING (term), n)
-    SELECT doc_id, term, weight FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 5""")
+    SELECT doc_id, term, weight FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 5"""
+
+
+@query(_TOP_TERMS)
 def tfidf_top_terms(spark, sf):
     return learning.top_terms(A.table(spark, sf, "documents"), "doc_id", "text", 5)
 
 
-@query()
+@query(f"""SELECT source, term, score, documents FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY documents DESC, score DESC, term)::INT AS r FROM (
+    SELECT source, term, round(avg(weight), 4) AS score, count(DISTINCT doc_id) AS documents FROM ({_TOP_TERMS}) JOIN documents USING (doc_id) GROUP BY 1, 2)) WHERE r <= 20""")
 def top_keywords(spark, sf):
     """Keywords of each folder: the mean weight over the documents whose top terms have them."""
     terms = learning.top_terms(A.table(spark, sf, "documents"), "doc_id", "text", 5)

@@ -84,7 +84,7 @@ def char_ngram_jaccard(spark, sf):
 
 def _entities(spark, sf, kind):
     rows = A.documents(spark, sf).select("uid", "body").union(A.table(spark, sf, "pages").select(F.concat(F.lit("page"), "page_id"), "html"))
-    return analysis.entities(rows, "uid", "body").where(F.col("kind") == kind).select("uid", "entity")
+    return analysis.entities(rows, "uid", "body", (kind,)).select("uid", "entity")
 
 
 _BODIES = "(SELECT CAST(doc_id AS VARCHAR) AS uid, text AS body FROM documents UNION ALL SELECT 'page' || page_id, html FROM pages)"
@@ -107,9 +107,13 @@ def regex_entities_phone(spark, sf):
     return _entities(spark, sf, "phone")
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, html || ' see (' || url || ').' AS body FROM pages), u AS (SELECT page_id, regexp_replace(unnest(regexp_extract_all(body, '(?i)https?://[^\s<>"''\]]+')), '[.,;:!?]+$', '') AS u FROM t),
+    c AS (SELECT page_id, u, greatest(0, len(regexp_extract_all(u, '\)')) - len(regexp_extract_all(u, '\('))) AS surplus, length(regexp_extract(u, '(\)*)$', 1)) AS closing FROM u)
+    SELECT DISTINCT page_id, lower(left(u, length(u) - least(surplus, closing))) AS entity FROM c""")
 def regex_entities_url(spark, sf):
-    return _entities(spark, sf, "url")
+    """Addresses in the pages, each page with its own address in brackets at its end."""
+    rows = A.table(spark, sf, "pages").select("page_id", F.concat("html", F.lit(" see ("), "url", F.lit(").")).alias("body"))
+    return analysis.entities(rows, "page_id", "body", ("url",)).select("page_id", "entity")
 
 
 @query("SELECT url, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS domain FROM pages")
@@ -139,17 +143,20 @@ def entity_cooccurrence(spark, sf):
 _LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+(?:''\p{{L}}+)?') AS w FROM documents),
+_SENTIMENT = rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+(?:''\p{{L}}+)?') AS w FROM documents),
     s AS (SELECT doc_id, list_transform(w, lambda x, i: (CASE WHEN list_contains({_LIST(analysis.POSITIVE)}, x) THEN 1 WHEN list_contains({_LIST(analysis.NEGATIVE)}, x) THEN -1 ELSE 0 END)
             * (CASE WHEN i > 1 AND list_has_any(w[greatest(1, i - 2):i - 1], {_LIST(analysis.NEGATIONS)}) THEN -1 ELSE 1 END)) AS p FROM t),
     c AS (SELECT doc_id, len(list_filter(p, lambda x: x > 0))::INT AS positive, len(list_filter(p, lambda x: x < 0))::INT AS negative FROM s),
     d AS (SELECT *, CASE WHEN positive + negative = 0 THEN 0 ELSE (positive - negative) / (positive + negative) END::DOUBLE AS v FROM c)
-    SELECT doc_id, CASE WHEN v > 0.1 THEN 'positive' WHEN v < -0.1 THEN 'negative' ELSE 'neutral' END AS label, round(v, 4) AS score, positive, negative FROM d""")
+    SELECT doc_id, CASE WHEN v > 0.1 THEN 'positive' WHEN v < -0.1 THEN 'negative' ELSE 'neutral' END AS label, round(v, 4) AS score, positive, negative FROM d"""
+
+
+@query(_SENTIMENT)
 def sentiment(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", analysis.sentiment(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-@query()
+@query(f"SELECT label, count(*) AS n, round(avg(score), 4) AS mean_score FROM ({_SENTIMENT}) GROUP BY 1")
 def sentiment_distribution(spark, sf):
     return sentiment(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
 
@@ -186,7 +193,8 @@ def sender_profile(spark, sf):
     )
 
 
-@query()
+@query(rf"""WITH e AS (SELECT doc_id, len(regexp_extract_all(text, '{text.EMAIL}')) AS n, regexp_replace(text, '{text.EMAIL}', '[REDACTED: email]', 'g') AS body FROM documents)
+    SELECT doc_id, (n + len(regexp_extract_all(body, '{text.PHONE}')))::INT AS hidden, sha256(regexp_replace(body, '{text.PHONE}', '[REDACTED: phone]', 'g')) AS redacted_sha256 FROM e""")
 def privacy_redaction(spark, sf):
     body, hidden = text.redact(F.col("text"), "contact_redacted")
     return A.table(spark, sf, "documents").select("doc_id", hidden.alias("hidden"), F.sha2(body, 256).alias("redacted_sha256"))

@@ -113,7 +113,11 @@ def scan_session_unseen(spark, sf):
     return results.unseen(A.table(spark, sf, "events").select(F.col("event_id").alias("uid")), seen, now)[0]
 
 
-@query()
+@query(f"""WITH c AS (SELECT c.uid, p.uid AS parent_uid, round(CASE WHEN date_diff('second', p.date, c.date) <= 72 * 3600 THEN 0.10 ELSE 0.05 END + 0.30 + 0.15 + 0.25 + 0.12 + 0.12
+            + CASE WHEN length(c.props) > 0 AND contains(p.props, left(c.props, 40)) THEN 0.08 ELSE 0 END, 3)::DOUBLE AS score
+        FROM {A.MESSAGES} c JOIN {A.MESSAGES} p ON c.sender_email = p.sender_email AND c.category = 'purchase' AND p.category = 'error' AND p.date < c.date AND p.date >= c.date - INTERVAL 30 DAY),
+    r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM c WINDOW w AS (PARTITION BY uid ORDER BY score DESC, parent_uid))
+    SELECT uid, parent_uid, least(score, 1.0)::DOUBLE AS confidence FROM r WHERE r = 1 AND score >= 0.8 AND (second IS NULL OR score - second >= 0)""")
 def inferred_parents(spark, sf):
     """A purchase's parent among the same user's errors."""
     rows = A.messages(spark, sf).select("uid", F.col("sender_email").alias("base_subject"), "date", "sender_email", F.array("sender_email").alias("participants"), F.col("props").alias("opening"), "category")

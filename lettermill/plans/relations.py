@@ -162,7 +162,12 @@ def communities(spark, sf):
 
 @query()
 def betweenness(spark, sf):
-    return contacts.betweenness(A.edges(spark, sf), pivots=5, rounds=3)
+    """Of the nations as correspondents: a customer's nation writes to a supplier's."""
+    customers = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("nation"), "c_nationkey").alias("sender"))
+    suppliers = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("nation"), "s_nationkey").alias("recipient"))
+    lines = A.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    edges = lines.join(customers, "o_custkey").join(suppliers, "l_suppkey").groupBy("sender", "recipient").agg(F.count(F.lit(1)).alias("email_count"))
+    return contacts.betweenness(edges)
 
 
 @query(f"""WITH RECURSIVE t AS (SELECT uid, uid AS root FROM {A.TURNS} WHERE in_reply_to IS NULL

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import archive as A
 from ..operators import retrieval, similarity
+from ..operators.staging import stage
 from .registry import query
 
 _DOT = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
@@ -50,22 +51,37 @@ def _questions(spark, sf):
 _TOKENS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_\p{{M}}]+'))"
 
 
-@query(rf"""WITH d AS (SELECT doc_id, t, len(t) AS l FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)),
+_POLICY = r"""SELECT item_id, CASE WHEN lexical THEN 0.3 WHEN semantic THEN 0.7 ELSE 0.6 END::DOUBLE AS dense_weight, CASE WHEN lexical THEN 0.7 WHEN semantic THEN 0.3 ELSE 0.4 END::DOUBLE AS keyword_weight FROM (
+    SELECT item_id, regexp_matches(text, '"[^"\n]+"|''[^''\n]+''') OR regexp_matches(text, '\b\d{6,}\b') AS lexical, contains(text, '?') OR len(regexp_split_to_array(trim(text), '\s+')) >= 8
+        OR regexp_matches(text, '(?i)^\s*(?:who|what|when|where|why|how|which|can|could|does|do|is|are|was|were)\b') AS semantic FROM benchmark)"""
+
+_ALL_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}]+')"
+_CELL = "('0x' || left(md5(t), 8))::BIGINT % 256"
+_PLAIN = "replace(replace(replace(replace(x, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')"
+_COMPOUND = " ".join(f"WHEN x = '{word}' THEN {list(parts)!r}" for word, parts in retrieval.COMPOUNDS.items())
+_STEM = " ".join(f"WHEN ends_with(x, '{end}') AND length(x) > {len(end) + 4} THEN [left(x, length(x) - {len(end)})]" for end in retrieval.SUFFIXES)
+#: Distinct tokens with their variants, of a list of tokens.
+_VARIANTS = f"list_distinct(flatten(list_transform({{0}}, lambda x: [x] || CASE WHEN {_PLAIN} <> x THEN [{_PLAIN}] ELSE [] END || CASE {_COMPOUND} ELSE [] END || CASE {_STEM} ELSE [] END)))"
+
+_BM25 = r"""WITH d AS (SELECT doc_id, t, len(t) AS l FROM (SELECT doc_id, {0} AS t FROM documents)),
     s AS (SELECT count(*) AS n, avg(l) AS m FROM d), p AS (SELECT doc_id, l, unnest(t) AS term FROM d),
     i AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, s GROUP BY term, n),
     w AS (SELECT term, CASE WHEN idf < 0 THEN (SELECT avg(idf) * 0.25 FROM i) ELSE idf END AS idf FROM i),
-    q AS (SELECT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark),
+    q AS (SELECT item_id AS query_id, unnest({0}) AS term FROM benchmark),
     r AS (SELECT query_id, doc_id, round(sum(w.idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * p.l / s.m))), 6) AS score FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY 1, 2)
-    SELECT query_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS place FROM r WHERE score > 0) WHERE place <= 10""")
+    SELECT query_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS place FROM r WHERE score > 0) WHERE place <= 10"""
+
+
+@query(_BM25.replace("{0}", _TOKENS.format("text")))
 def bm25_search(spark, sf):
     docs = A.table(spark, sf, "documents").select("doc_id", "text")
     return retrieval.bm25(docs, _questions(spark, sf), "doc_id", "text", 10, morphology=False).select("query_id", "score", "place")
 
 
-@query()
+@query(_BM25.replace("{0}", _VARIANTS.format(_TOKENS.format("text"))).replace("SELECT query_id, score, place FROM (", "SELECT query_id, doc_id, score, place FROM ("))
 def bm25_morphology(spark, sf):
     docs = A.table(spark, sf, "documents").select("doc_id", "text")
-    return retrieval.bm25(docs, _questions(spark, sf), "doc_id", "text", 10)
+    return retrieval.bm25(docs, _questions(spark, sf), "doc_id", "text", 10).select("query_id", "doc_id", "score", "place")
 
 
 @query("""SELECT doc AS doc, round(sum(w * qw), 6) AS score FROM (SELECT l_orderkey AS doc, l_suppkey AS token, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2)
@@ -88,28 +104,42 @@ def hybrid_rrf(spark, sf):
     from pyspark.sql.window import Window
 
     rows = A.table(spark, sf, "events")
-    ranked = lambda *order: rows.orderBy(*order).limit(100).select("event_id", F.row_number().over(Window.orderBy(*order)).alias("place"))
     dense = rows.orderBy(F.desc("value"), "event_id").limit(100).withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "event_id"))).select("event_id", "place")
     keyword = rows.orderBy("user_id", "event_id").limit(100).withColumn("place", F.row_number().over(Window.orderBy("user_id", "event_id"))).select("event_id", "place")
     return retrieval.fuse(dense, keyword, "event_id", 0.6, 0.4, 50).select("event_id", "score", "place")
 
 
-rank_fusion = hybrid_rrf
-
-
-@query()
+_HYBRID = f"""WITH c AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE lang = 'en' GROUP BY text),
+    d AS (SELECT doc_id, t, len(t) AS l FROM (SELECT doc_id, {_VARIANTS.format(_TOKENS.format('text'))} AS t FROM c)),
+    s AS (SELECT count(*) AS n, avg(l) AS m FROM d), p AS (SELECT doc_id, l, unnest(t) AS term FROM d),
+    i AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, s GROUP BY term, n),
+    w AS (SELECT term, CASE WHEN idf < 0 THEN (SELECT avg(idf) * 0.25 FROM i) ELSE idf END AS idf FROM i),
+    q AS (SELECT item_id AS query_id, unnest({_VARIANTS.format(_TOKENS.format('text'))}) AS term FROM benchmark),
+    r AS (SELECT query_id, doc_id, round(sum(w.idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * p.l / s.m))), 6) AS score FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY 1, 2),
+    k AS (SELECT query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM r WHERE score > 0) WHERE place <= 40),
+    db AS (SELECT doc_id, cell, count(*)::DOUBLE AS x FROM (SELECT doc_id, {_CELL} AS cell FROM (SELECT doc_id, unnest({_ALL_TOKENS}) AS t FROM c)) GROUP BY 1, 2),
+    qb AS (SELECT query_id, cell, count(*)::DOUBLE AS x FROM (SELECT query_id, {_CELL} AS cell FROM (SELECT item_id AS query_id, unnest({_ALL_TOKENS}) AS t FROM benchmark)) GROUP BY 1, 2),
+    dn AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM db GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(x * x)) AS l FROM qb GROUP BY 1),
+    e AS (SELECT query_id, doc_id, round(1 - sum(qb.x * db.x) / qn.l / dn.l, 6) AS distance FROM qb JOIN db USING (cell) JOIN qn USING (query_id) JOIN dn USING (doc_id) GROUP BY query_id, doc_id, qn.l, dn.l),
+    v AS (SELECT query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS place FROM e) WHERE place <= 40),
+    o AS ({{policy}}),
+    f AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.doc_id, k.doc_id) AS doc_id, v.place AS dp, k.place AS kp FROM v FULL JOIN k ON v.query_id = k.query_id AND v.doc_id = k.doc_id),
+    g AS (SELECT query_id, doc_id, dp, kp, round(coalesce(dense_weight / (60 + dp), 0) + coalesce(keyword_weight / (60 + kp), 0), 9) AS score FROM f JOIN o ON item_id = query_id)
+    SELECT query_id, doc_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dp NULLS LAST, kp NULLS LAST, doc_id)::INT AS place FROM g) WHERE place <= 10"""
+
+
+@query(_HYBRID.replace("{policy}", _POLICY))
 def hybrid_search_filtered(spark, sf):
-    """BM25 and character n-gram similarity for every benchmark item, fused by the query's policy, filtered to English, deduplicated."""
-    from pyspark.sql.window import Window
-
-    from ..functions.text import char_ngrams, jaccard
-
-    docs = A.table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text")
+    """For every benchmark item: the 40 nearest texts by vector and the 40 best by BM25, each over all English texts, one of each text, fused by the query's policy."""
+    docs = stage(A.table(spark, sf, "documents").where("lang = 'en'").groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "d.text"), "hybrid-documents")
     asked = _questions(spark, sf)
     keyword = retrieval.bm25(docs, asked, "doc_id", "text", 40)
-    near = keyword.join(docs, "doc_id").join(F.broadcast(asked), "query_id").select("query_id", "doc_id", F.round(jaccard(char_ngrams(F.col("text")), char_ngrams(F.col("query"))), 6).alias("s"))
-    dense = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id")))
-    return retrieval.fuse(dense, keyword, "doc_id", 0.6, 0.4, 10, by=("query_id",)).select("query_id", "doc_id", "score", "place")
+    queries = retrieval.encode_bags(asked, "query_id", "query").select("query_id", F.col("embedding").alias("query"))
+    vectors = retrieval.encode_bags(docs, "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
+    dense = retrieval.nearest(queries, vectors, 40, decimals=6).withColumnRenamed("vec_id", "doc_id")
+    weights = asked.select("query_id", *(w.alias(n) for w, n in zip(retrieval.policy_columns(F.col("query")), ("dense_weight", "keyword_weight"), strict=True)))
+    dense, keyword = dense.join(weights, "query_id"), keyword.join(weights, "query_id")
+    return retrieval.fuse(dense, keyword, "doc_id", "dense_weight", "keyword_weight", 10, by=("query_id",)).select("query_id", "doc_id", "score", "place")
 
 
 @query("""SELECT conv_id, turn, round(least(0.99, 0.35 + CASE WHEN contains(lower(text), 'the and') THEN 0.4 ELSE 0 END + 0.2 * ((CASE WHEN contains(lower(text), 'and') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) / 2)), 4)::DOUBLE AS score
@@ -120,9 +150,7 @@ def segment_search(spark, sf):
     return rows.select("conv_id", "turn", retrieval.segment_score(F.col("text"), "the and").alias("score"))
 
 
-@query(r"""SELECT item_id, CASE WHEN lexical THEN 0.3 WHEN semantic THEN 0.7 ELSE 0.6 END::DOUBLE AS dense_weight, CASE WHEN lexical THEN 0.7 WHEN semantic THEN 0.3 ELSE 0.4 END::DOUBLE AS keyword_weight FROM (
-    SELECT item_id, regexp_matches(text, '"[^"\n]+"|''[^''\n]+''') OR regexp_matches(text, '\b\d{6,}\b') AS lexical, contains(text, '?') OR len(regexp_split_to_array(trim(text), '\s+')) >= 8
-        OR regexp_matches(text, '(?i)^\s*(?:who|what|when|where|why|how|which|can|could|does|do|is|are|was|were)\b') AS semantic FROM benchmark)""")
+@query(_POLICY)
 def query_policy(spark, sf):
     dense, keyword = retrieval.policy_columns(F.col("text"))
     return A.table(spark, sf, "benchmark").select("item_id", dense.alias("dense_weight"), keyword.alias("keyword_weight"))
@@ -136,13 +164,20 @@ def competition_score(spark, sf):
     return A.table(spark, sf, "events").select("event_id", F.round(score, 6).alias("score"))
 
 
-@query()
+_GRAMS = r"""(SELECT doc_id, lang, source, list_sort(list_distinct(CASE WHEN len(c) >= 3 THEN list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) ELSE [array_to_string(c, '')] END)) AS grams FROM (
+    SELECT doc_id, lang, source, string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '') AS c FROM documents WHERE length(trim(text)) > 20))"""
+_CLASSES = f"(SELECT *, min(doc_id) OVER (PARTITION BY lang, source, grams) AS class_key FROM {_GRAMS})"
+
+
+@query(f"""WITH h AS (SELECT *, len(grams) AS n FROM {_CLASSES} WHERE doc_id = class_key), e AS (SELECT doc_id, lang, source, n, unnest(grams) AS gram FROM h),
+    p AS (SELECT x.lang, x.source, x.doc_id AS a, y.doc_id AS b, count(*) AS shared, x.n AS n, y.n AS m FROM e x JOIN e y ON x.lang = y.lang AND x.source = y.source AND x.gram = y.gram AND x.doc_id < y.doc_id AND least(x.n, y.n) >= 0.85 * greatest(x.n, y.n) GROUP BY ALL)
+    SELECT lang, source, a, b, round(shared / (n + m - shared), 4) AS similarity FROM p WHERE shared / (n + m - shared) >= 0.85""")
 def near_duplicates(spark, sf):
     docs = A.table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     return similarity.near_pairs(docs, "doc_id", "text", ["lang", "source"], 0.85)
 
 
-@query()
+@query(f"SELECT doc_id, class_key FROM {_CLASSES}")
 def duplicate_classes(spark, sf):
     """Membership: every body and the first of its group with the same n-grams."""
     docs = A.table(spark, sf, "documents").select("doc_id", "text", "lang", "source")

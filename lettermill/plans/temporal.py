@@ -64,14 +64,20 @@ def timeline_transitions(spark, sf):
     return threads.transitions(A.messages(spark, sf), "sender_email", ["date", "uid"], "category").select("uid", "sender_email", "category", "previous", "changed")
 
 
-@query(f"""SELECT a.uid, a.date AS window_start, count(*) AS event_count, count(DISTINCT b.sender_email)::INT AS senders
+_WINDOWS = f"""SELECT a.uid, a.date AS window_start, count(*) AS event_count, count(DISTINCT b.sender_email)::INT AS senders
     FROM {A.MESSAGES} a JOIN {A.MESSAGES} b ON b.date >= a.date AND b.date <= a.date + INTERVAL 1 HOUR AND a.category = 'error' AND b.category = 'error'
-    GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT b.sender_email) >= 2""")
+    GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT b.sender_email) >= 2"""
+
+
+@query(_WINDOWS)
 def coordinated_timing(spark, sf):
     return contacts.coordinated_windows(A.messages(spark, sf).where("category = 'error'"), hours=1)
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY window_start, uid) AS place FROM ({_WINDOWS})),
+    n AS MATERIALIZED (SELECT a.place, min(b.place) AS following FROM w a LEFT JOIN w b ON b.window_start > a.window_start + INTERVAL 1 HOUR GROUP BY 1),
+    p AS (SELECT min(place) AS place FROM w UNION ALL SELECT n.following FROM p JOIN n ON n.place = p.place WHERE n.following IS NOT NULL)
+    SELECT uid, window_start, event_count, senders FROM p JOIN w USING (place)""")
 def coordinated_timing_greedy(spark, sf):
     """The windows that remain when each starts after the one before has ended."""
     rows = A.messages(spark, sf).where("category = 'error'")

@@ -2,9 +2,11 @@
 
 ``spark.read.format("mail_zip").load("folder/*.olm")`` lists the members of every
 archive on the driver, splits them into ranges of ``membersPerPartition``, and
-parses on the executors.  Budgets bound what one archive can cost: at most
-``maxMembers`` members and ``maxBytes`` bytes in all, ``maxMemberBytes`` each;
-what exceeds them, or cannot be parsed, is returned with an error and no message.
+parses on the executors.  Budgets bound what one archive can cost: its first
+``maxMembers`` members, its first ``maxBytes`` bytes in all, ``maxMemberBytes`` each.
+They are counted along the whole archive before it is split; what exceeds them, or
+cannot be parsed, is returned with an error and no message.  Archives must lie where
+the driver and every executor can open them by path, on a mounted shared folder.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ BUDGETS = {"maxMembers": 500_000, "maxBytes": 20 << 30, "maxMemberBytes": 50 <<
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, members: list[str]):
-        self.path, self.members = path, members
+    def __init__(self, path: str, members: list[tuple[str, bool]]):
+        self.path, self.members = path, members  # (name, within the budgets)
 
 
 def _local(tag: str) -> str:
@@ -74,23 +76,22 @@ class MailZipReader(DataSourceReader):
         out = []
         for path in sorted(glob.glob(self.options["path"].removeprefix("file://"))):
             with zipfile.ZipFile(path) as archive:
-                names = [i.filename for i in archive.infolist() if i.filename.lower().endswith(".xml") and MESSAGE_FOLDER in i.filename.lower()]
-            names = names[: self.limit["maxMembers"]]
+                found = [i for i in archive.infolist() if i.filename.lower().endswith(".xml") and MESSAGE_FOLDER in i.filename.lower()]
+            names, spent = [], 0
+            for place, info in enumerate(found):
+                fits = place < self.limit["maxMembers"] and info.file_size <= self.limit["maxMemberBytes"] and spent + info.file_size <= self.limit["maxBytes"]
+                spent += info.file_size if fits else 0
+                names.append((info.filename, fits))
             out += [_Range(path, names[k : k + size]) for k in range(0, len(names), size)]
         return out or [_Range("", [])]
 
     def read(self, partition):
         if not partition.path:
             return
-        spent = 0
         with zipfile.ZipFile(partition.path) as archive:
-            for name in partition.members:
-                row, error = {}, None
-                info = archive.getinfo(name)
-                spent += info.file_size
-                if info.file_size > self.limit["maxMemberBytes"] or spent > self.limit["maxBytes"]:
-                    error = "over budget"
-                else:
+            for name, fits in partition.members:
+                row, error = {}, None if fits else "over budget"
+                if fits:
                     try:
                         row = parse_message(archive.read(name))
                     except (ElementTree.ParseError, NotImplementedError, RuntimeError, zipfile.BadZipFile) as problem:
