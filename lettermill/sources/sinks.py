@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_safe
@@ -41,3 +41,11 @@ def write_graphml(edges: DataFrame, path: str) -> None:
 def with_content_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Custody: a SHA-256 over the named columns."""
     return rows.withColumn("content_hash", F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256))
+
+
+def reset_derived(spark: SparkSession, folder: str, derived: tuple[str, ...]) -> None:
+    """Empty the named tables under ``folder`` and keep their schemas; what is not named, the messages above all, stays."""
+    for name in derived:
+        path = f"{folder.rstrip('/')}/{name}"
+        schema = spark.read.parquet(path).schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

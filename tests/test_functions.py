@@ -1,13 +1,15 @@
 """Semantic corners that the tables do not reach."""
 
+import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lettermill.functions import analysis, bodies, text
-from lettermill.operators import contacts, filters, retrieval, state, threads
-from lettermill.sources import mail_zip, sinks
+from lettermill.operators import contacts, context, filters, results, retrieval, state, threads
+from lettermill.sources import folder_delta, mail_zip, sinks
 
 
 def one(spark, column, **values):
@@ -133,7 +135,157 @@ def test_paths_and_degrees(spark):
     got = [(r["path"], r["hops"]) for r in contacts.cheapest_paths(edges, "a", "c", 3, 5).collect()]
     assert got == [("a>b>c", 2), ("a>c", 1)]
     assert {r["node"]: r["centrality"] for r in contacts.degree_centrality(edges).collect()}["a"] == 1.0
-    assert {r["node"]: r["score"] for r in contacts.betweenness(edges, pivots=4, rounds=3).collect()}["c"] == 4.0
+    # the cheapest paths a>b>c, a>b>c>d and b>c>d pass b twice and c twice, of 3 * 2 ordered pairs
+    assert {r["node"]: r["score"] for r in contacts.betweenness(edges).collect()} == {"a": 0.0, "b": pytest.approx(2 / 6), "c": pytest.approx(2 / 6), "d": 0.0}
+
+
+def cheapest_betweenness(edges, nodes):
+    """Over every pair, by trying all simple paths."""
+    steps = {}
+    for u, v, w in edges:
+        steps.setdefault(u, []).append((v, 1 / max(w, 1)))
+    score = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        paths = {}
+
+        def walk(path, cost, paths=paths):
+            paths.setdefault(path[-1], []).append((round(cost, 9), path))
+            for v, c in steps.get(path[-1], []):
+                if v not in path:
+                    walk([*path, v], cost + c)
+
+        walk([s], 0.0)
+        for t, found in paths.items():
+            if t != s:
+                best = [p for c, p in found if c == min(x for x, _ in found)]
+                for p in best:
+                    for v in p[1:-1]:
+                        score[v] += 1 / len(best)
+    return {v: x / ((len(nodes) - 1) * (len(nodes) - 2)) for v, x in score.items()}
+
+
+def test_betweenness_matches_all_paths(spark):
+    rng = random.Random(4)
+    nodes = [f"n{k}" for k in range(7)]
+    edges = [(u, v, rng.choice([1, 2, 4])) for u in nodes for v in nodes if u != v and rng.random() < 0.35]
+    got = {r["node"]: r["score"] for r in contacts.betweenness(spark.createDataFrame(edges, "sender string, recipient string, email_count long")).collect()}
+    want = cheapest_betweenness(edges, nodes)
+    assert sum(want.values()) > 0 and got == {v: pytest.approx(want[v], abs=1e-6) for v in got}
+    some = contacts.betweenness(spark.createDataFrame(edges, "sender string, recipient string, email_count long"), exact_nodes=3, pivots=5).collect()
+    assert len(some) == len(got)
+
+
+def test_communities_settle(spark):
+    clique = lambda names: [(a, b, 3) for a in names for b in names if a < b]
+    edges = [*clique("abcd"), *clique("wxyz"), ("d", "w", 1)]
+    label = {r["node"]: r["label"] for r in contacts.communities(spark.createDataFrame(edges, "sender string, recipient string, email_count long")).collect()}
+    assert len({label[n] for n in "abcd"}) == len({label[n] for n in "wxyz"}) == 1 and label["a"] != label["z"]
+    bipartite = [(f"c{k}", f"s{j}", 1) for k in range(4) for j in range(4)]
+    assert len({r["label"] for r in contacts.communities(spark.createDataFrame(bipartite, "sender string, recipient string, email_count long")).collect()}) == 1
+
+
+def test_parents_across_february(spark):
+    rows = spark.createDataFrame([("p", "2023-01-30 12:00:00"), ("c", "2023-03-01 11:00:00"), ("late", "2023-03-02 12:00:00")], "uid string, d string")
+    rows = rows.select("uid", F.lit("plan").alias("base_subject"), F.to_timestamp_ntz("d").alias("date"), F.lit("a@x").alias("sender_email"), F.array(F.lit("a@x")).alias("participants"), F.lit("hello").alias("opening"))
+    children = rows.where("uid <> 'p'").withColumn("reply_from", F.lit("a@x")).withColumn("reply_subject", F.lit("plan"))
+    assert [tuple(r)[:2] for r in results.infer_parents(children, rows.where("uid = 'p'")).collect()] == [("c", "p")]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_index_recall(spark, clustered):
+    rng = np.random.default_rng(5)
+    means = rng.normal(size=(20, 16))
+    points = means[rng.integers(0, 20, 3000)] + 0.5 * rng.normal(size=(3000, 16)) if clustered else rng.normal(size=(3000, 16))
+    points[7] = points[8] = points[9]
+    rows = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)] + [(3000, [0.0] * 16), (3001, None), (3002, [1.0])], "vec_id long, embedding array<float>")
+    queries = rows.where("vec_id % 100 = 0 and vec_id < 3000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = {(r["query_id"], r["vec_id"]) for r in retrieval.nearest(queries, rows, 10).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in retrieval.nearest_indexed(queries, rows, 10, rows_per_task=100).collect()}
+    assert len(exact) == len(found) == 300 and len(exact & found) >= 0.9 * len(exact), len(exact & found)
+    assert retrieval.nearest_indexed(queries.limit(0), rows, 10).count() == 0 and retrieval.nearest_indexed(queries, rows.limit(0), 10).count() == 0
+
+
+def test_nearest_blocks_and_ties(spark):
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(300, 8)).round(1)
+    points[50:80] = points[50]
+    rows = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<double>").repartition(5)
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    distance = np.round(np.clip(1 - unit @ unit.T, 0, 2), 12)
+    want = {(q, int(v), k + 1) for q in range(300) for k, v in enumerate(sorted(range(300), key=lambda v: (distance[q, v], v))[:5])}
+    for most, block in ((10_000, 2048), (64, 16)):
+        got = {(r["query_id"], r["vec_id"], r["place"]) for r in retrieval.nearest(queries, rows, 5, max_queries=most, block_rows=block).collect()}
+        assert got == want
+
+
+def test_occurrences_and_snippets(spark):
+    rows = spark.createDataFrame([(1, "A.b a.B axb a.b.", "a.b"), (2, "no", "x"), (3, None, "x"), (4, "text", " "), (5, "ÄÖä", "ä"), (6, "a\\Eb", "\\E")], "id long, t string, w string")
+    got = [(r["id"], r["start"], r["stop"], r["surface"]) for r in context.occurrences(rows, "id", "t", "w").orderBy("id", "start").collect()]
+    assert got == [(1, 0, 3, "A.b"), (1, 4, 7, "a.B"), (1, 12, 15, "a.b"), (5, 0, 1, "Ä"), (5, 2, 3, "ä"), (6, 1, 3, "\\E")]
+    cases = spark.createDataFrame([(1, "x  one\n two", "one two"), (2, "one two", "one two"), (3, "other", "one"), (4, "", "one"), (5, "a (b)\t[c]* d", "(b) [c]* d"), (6, "p \\E\nq", "\\E q")], "id long, t string, s string")
+    found = {r["id"]: r["b"] and tuple(r["b"]) for r in cases.select("id", context.snippet_bounds(F.col("t"), F.col("s")).alias("b")).collect()}
+    assert found == {1: (3, 11, "collapsed"), 2: (0, 7, "exact"), 3: None, 4: None, 5: (2, 12, "collapsed"), 6: (2, 6, "collapsed")}
+
+
+def test_header_parents_prefer_the_reply_then_the_last_reference(spark):
+    children = spark.createDataFrame([("c1", "<m1>", ["m2"]), ("c2", "gone", ["<m1>", "m2", "lost"]), ("c3", None, []), ("m1", "m1", None)], "uid string, in_reply_to string, references array<string>")
+    archive = spark.createDataFrame([("m1", "m1", "", 2), ("copy", "<m1>", "t", 3), ("m2", "<m2>", None, 1)], "uid string, message_id string, thread_id string, date int")
+    assert {tuple(r) for r in context.header_parents(children, archive).collect()} == {("c1", "copy", "in_reply_to"), ("c2", "m2", "references"), ("m1", "copy", "in_reply_to")}
+
+
+def test_requests_that_cannot_be_met_are_refused(spark):
+    rows = spark.createDataFrame([("1", "a@x", "c", "2024-01-01", 1.0)], "uid string, sender_email string, category string, date string, value double")
+    for bad in ({"color": 1}, {"sort_by": "uid; drop"}, {"limit": 0}, {"date_from": "2024-02-01", "date_to": "2024-01-01"}):
+        with pytest.raises(ValueError):
+            filters.structured(rows, bad)
+
+
+def test_folder_changes_resume(spark, tmp_path):
+    import json
+
+    log = tmp_path / "log.jsonl"
+    line = lambda k: json.dumps({"sequence": k, "operation": "create", "item_id": f"i{k}"}) + "\n"
+    log.write_text("".join(line(k) for k in (3, 1, 2, 4, 5)))
+    reader = folder_delta.FolderDeltaReader({"path": str(log), "maxChanges": "2"})
+    pages, at = [], reader.initialOffset()
+    for _ in range(4):
+        rows, after = reader.read(at)
+        pages.append([r[0] for r in rows])
+        assert [r[0] for r in reader.readBetweenOffsets(at, after)] == pages[-1]
+        at = after
+    assert pages == [[1, 2], [3, 4], [5], []]
+    folder_delta.register(spark)
+
+    def follow():
+        stream = spark.readStream.format("folder_delta").option("maxChanges", 2).load(str(log))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted(r["sequence"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert follow() == [1, 2, 3, 4, 5]
+    with log.open("a") as more:
+        more.write(line(6))
+    assert follow() == [1, 2, 3, 4, 5, 6]
+
+
+def test_reset_keeps_what_is_not_derived(spark, tmp_path):
+    for name in ("messages", "vectors"):
+        spark.range(3).write.parquet(str(tmp_path / name))
+    sinks.reset_derived(spark, str(tmp_path), ("vectors",))
+    assert spark.read.parquet(str(tmp_path / "vectors")).count() == 0 and spark.read.parquet(str(tmp_path / "messages")).count() == 3
+
+
+def test_archive_budgets_are_counted_along_the_archive(spark, tmp_path):
+    folder = "Accounts/a/com.microsoft.__Messages/Inbox"
+    with zipfile.ZipFile(tmp_path / "box.olm", "w") as archive:
+        for k in range(5):
+            archive.writestr(f"{folder}/{k}.xml", MESSAGE)
+    mail_zip.register(spark)
+    load = lambda **options: [r["error"] for r in spark.read.format("mail_zip").options(membersPerPartition=2, **options).load(f"{tmp_path}/*.olm").orderBy("member").collect()]
+    assert load(maxMembers=3) == [None, None, None, "over budget", "over budget"]
+    assert load(maxBytes=2 * len(MESSAGE)) == [None, None, "over budget", "over budget", "over budget"]
 
 
 def test_greedy_windows(spark):
