@@ -62,7 +62,8 @@ def segments(counts: dict[int, int], shards: int, virtual_nodes: int = VIRTUAL_N
 def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, home_shard of every row."""
     spark = docs.sparkSession
-    place = F.xxhash64(F.col(id_col))
+    # of the id and the text: rows that share an id, or have none, spread over the ring as well
+    place = F.xxhash64(F.col(id_col), F.col(text_col))
     cell = F.shiftrightunsigned(place, 64 - CELL_BITS).cast("int")
     counts = {r["cell"]: r["n"] for r in docs.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     where = F.broadcast(spark.createDataFrame(segments(counts, shards), _SEGMENTS))

@@ -46,6 +46,7 @@ SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 FRAME_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 8 << 20
 DICTIONARY_SAMPLE = 256
+DICTIONARY_CHARS = 16_384
 DICTIONARY_BYTES = 32 << 10
 REVISIT_BYTES = 1000
 MAX_BROADCAST = 200_000
@@ -261,14 +262,19 @@ def read(spark, path: str, manifest: DataFrame | None = None) -> DataFrame:
     return files.mapInArrow(run, _PAGE)
 
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write every page to archives in the shared folder and read the records back."""
+def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dictionary_chars: int = DICTIONARY_CHARS) -> DataFrame:
+    """Write every page to archives in the shared folder and read the records back.
+
+    The dictionary is trained on the first ``dictionary_chars`` of each of at most
+    ``DICTIONARY_SAMPLE`` payloads; that bounds what the driver holds and changes the
+    size of the archives, never what they hold.
+    """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     texts = pages.select(payload.alias("p")).where("p <> ''")
     share = min(1.0, 1.5 * DICTIONARY_SAMPLE / max(1, pages.count()))
     spot = F.pmod(F.xxhash64("p"), F.lit(1 << 20))
-    sample = texts.where(spot < share * (1 << 20)).select(F.substring("p", 1, 16384).alias("p")).distinct().orderBy(F.xxhash64("p")).limit(DICTIONARY_SAMPLE)
+    sample = texts.where(spot < share * (1 << 20)).select(F.substring("p", 1, dictionary_chars).alias("p")).distinct().orderBy(F.xxhash64("p")).limit(DICTIONARY_SAMPLE)
     dictionary = train_dictionary([r["p"].encode() for r in sample.collect()])
     path = new_path(spark, "warc")
     manifest = write(with_revisits(pages, id_col, url_col, payload_col), path, dictionary)
