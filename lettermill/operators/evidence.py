@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import match_state
+from .staging import stage
 
 
 def new_items(rows: DataFrame) -> DataFrame:
@@ -15,8 +16,11 @@ def new_items(rows: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, prefix: str, order: list[str], blocks: int = 64) -> DataFrame:
-    """``E-1``, ``E-2``, ... in order: ranges are numbered apart and shifted by the sizes before them, so no task sees all rows."""
-    placed = rows.repartitionByRange(blocks, *order).withColumn("part", F.spark_partition_id()).persist()
+    """``E-1``, ``E-2``, ... in order: ranges are numbered apart and shifted by the sizes before them, so no task sees all rows.
+
+    The ranges are staged with their numbers: a lost executor cannot move their bounds.
+    """
+    placed = stage(rows.repartitionByRange(blocks, *order).withColumn("part", F.spark_partition_id()), "evidence-ranges")
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "start")

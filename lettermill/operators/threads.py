@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .staging import stage
+
 
 def message_key(column):
     """A message id without its angle brackets."""
@@ -21,11 +23,11 @@ def thread_roots(messages: DataFrame) -> DataFrame:
     """
     ids = messages.select(F.col("uid").alias("parent_uid"))
     links = messages.select("uid", message_key(F.col("in_reply_to")).alias("up")).join(ids, F.col("up") == F.col("parent_uid"), "left")
-    links = links.select("uid", F.coalesce("parent_uid", "uid").alias("up"), F.least("uid", F.coalesce("parent_uid", "uid")).alias("low"), (F.col("parent_uid").isNull() | (F.col("parent_uid") == F.col("uid"))).alias("is_root")).persist()
+    links = stage(links.select("uid", F.coalesce("parent_uid", "uid").alias("up"), F.least("uid", F.coalesce("parent_uid", "uid")).alias("low"), (F.col("parent_uid").isNull() | (F.col("parent_uid") == F.col("uid"))).alias("is_root")), "thread-links")
     roots = links.where("is_root").select(F.col("uid").alias("root"))
     for _ in range(max(1, links.count()).bit_length() + 1):
         above = links.select(F.col("uid").alias("u"), F.col("up").alias("up2"), F.col("low").alias("low2"))
-        jumped = links.join(above, F.col("up") == F.col("u")).select("uid", F.col("up2").alias("next"), F.least("low", "low2").alias("low"), (F.col("up2") != F.col("up")).alias("moved")).persist()
+        jumped = stage(links.join(above, F.col("up") == F.col("u")).select("uid", F.col("up2").alias("next"), F.least("low", "low2").alias("low"), (F.col("up2") != F.col("up")).alias("moved")), "thread-jump")
         moved = not jumped.where("moved").isEmpty()
         links = jumped.select("uid", F.col("next").alias("up"), "low")
         if not moved:
