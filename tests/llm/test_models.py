@@ -94,6 +94,31 @@ def test_undetermined_and_untrained(spark):
     assert langid.predict(empty(spark), None).count() == 0
 
 
+def test_predictions_of_whole_texts_match_enumeration(spark, sf_dir):
+    """Language and score from the marginals of all label sequences of a text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs, langid.fold("doc_id", 3) != 1)
+    texts = {r["doc_id"]: " ".join(r["text"].split()[:5]) for r in docs.orderBy("doc_id").limit(40).collect()} | {-1: "the der 12 et", -2: "EINE Größe\u00a0und", -3: "123 !", -4: None}
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    k = len(model.languages)
+    for i, text in texts.items():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if any(map(str.isalpha, w))]
+        if not words:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        emission = model.emissions(words)
+        mass = np.zeros(k)
+        total = 0.0
+        for labels in itertools.product(range(k), repeat=len(words)):
+            p = math.exp(model.start[labels[0]] + sum(emission[t, x] for t, x in enumerate(labels)) + sum(model.transitions[a, b] for a, b in itertools.pairwise(labels)) - emission.max(axis=1).sum())
+            total += p
+            for x in labels:
+                mass[x] += p / len(words)
+        mass /= total
+        assert got[i]["score"] == pytest.approx(mass.max(), abs=1e-6)
+        assert mass[model.languages.index(got[i]["lang_pred"])] == pytest.approx(mass.max(), abs=1e-9)
+
+
 # language model
 
 

@@ -1,11 +1,14 @@
 """Exact dedup, sharding and the secret scan against plain Python."""
 
+import bisect
 import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from lettermill.llm import exact_dedup, secret_scan, sharding
 
@@ -102,3 +105,26 @@ def test_copied_values_are_told_from_owned_ones(spark):
 def test_empty_tables(spark):
     for out in (exact_dedup.decide(empty(spark)), exact_dedup.deduplicate(empty(spark)), sharding.assign(empty(spark)), secret_scan.scan(empty(spark))):
         assert out.count() == 0
+
+
+def test_ring_places_every_row_as_one_by_one(spark):
+    """Rows taken cell by cell, each put into the first shard clockwise that has room."""
+    rows = [(k if k % 3 else None, f"text {k % 50}" * (k % 7)) for k in range(400)] + [(5, "same")] * 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign(docs, 5).collect()
+    order = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("place")).collect()
+    nodes = sorted((xxhash.xxh64_intdigest(f"shard {s} node {v}") >> 50, s) for s in range(5) for v in range(128))
+    room, slots, want = [98] * 5, [0] * 5, Counter()
+    key = lambda r: ((r["place"] % 2**64) >> 50, r["place"], r["doc_id"] is not None, r["doc_id"] or 0, len(r["text"].encode()) + 1, zlib.crc32(r["text"].encode()))
+    for r in sorted(order, key=key):
+        start = bisect.bisect_left(nodes, (key(r)[0], -1))
+        at = start
+        while not room[nodes[at % len(nodes)][1]]:
+            at += 1
+        shard = nodes[at % len(nodes)][1]
+        want[r["doc_id"], r["text"], shard, slots[shard], nodes[start % len(nodes)][1]] += 1
+        room[shard] -= 1
+        slots[shard] += 1
+    texts = {(len(t.encode()) + 1, zlib.crc32(t.encode())): t for _, t in rows}
+    assert Counter((r["doc_id"], texts[r["size"], r["text_crc32"]], r["shard"], r["slot"], r["home_shard"]) for r in got) == want
+    assert sorted(Counter(r["shard"] for r in got).values()) == [98] * 5
