@@ -205,22 +205,33 @@ def csv_safe_cell(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", text.csv_safe(F.col("text")).alias("cell"))
 
 
-@query()
+_NOTED = f"""(SELECT CAST(doc_id AS VARCHAR) AS uid, text AS body FROM documents UNION ALL SELECT uid, body FROM {A.TURNS}
+    UNION ALL SELECT 'item' || item_id, 'Please review ' || left(text, 40) || '. We decided to ' || left(text, 30) || '! Termin heute, bitte um Rückmeldung; URGENT deadline: ' || left(text, 20) FROM benchmark)"""
+_QUOTED = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+_CLAUSES = lambda starts: f"""(SELECT DISTINCT uid, lower(trim(c)) AS clause FROM (SELECT uid, unnest({" || ".join(f"regexp_extract_all(body, {_QUOTED('(?i)' + x + analysis.CLAUSE)}, 1)" for x in starts)}) AS c FROM {_NOTED}) WHERE length(trim(c)) >= 5)"""
+
+
+def _noted(spark, sf):
+    """Documents, turns, and the benchmark's items as notes that ask and decide."""
+    item = F.concat(F.lit("Please review "), F.left("text", F.lit(40)), F.lit(". We decided to "), F.left("text", F.lit(30)), F.lit("! Termin heute, bitte um Rückmeldung; URGENT deadline: "), F.left("text", F.lit(20)))
+    notes = A.table(spark, sf, "benchmark").select(F.concat(F.lit("item"), "item_id").alias("uid"), item.alias("body"))
+    return A.documents(spark, sf).select("uid", "body").union(A.turns(spark, sf).select("uid", "body")).union(notes)
+
+
+@query(" UNION ALL ".join(rf"""SELECT uid, '{kind}' AS event_kind, trigger, sha256(uid || '|{kind}|' || lower(trigger)) AS event_key
+    FROM (SELECT DISTINCT uid, trim(regexp_replace(unnest(regexp_extract_all(body, {_QUOTED(pattern)})), '\s+', ' ', 'g')) AS trigger FROM {_NOTED})""" for kind, pattern in analysis.EVENT_RULES))
 def event_rules(spark, sf):
-    rows = A.documents(spark, sf).select("uid", "body").union(A.turns(spark, sf).select("uid", "body"))
-    return analysis.event_hits(rows, "uid", "body")
+    return analysis.event_hits(_noted(spark, sf), "uid", "body")
 
 
-@query()
+@query(f"SELECT uid, clause, {' OR '.join(f'contains(clause, {_QUOTED(w)})' for w in analysis.URGENT)} AS urgent FROM {_CLAUSES(analysis.ACTION_STARTS)}")
 def action_items(spark, sf):
-    rows = A.documents(spark, sf).select("uid", "body").union(A.turns(spark, sf).select("uid", "body"))
-    return analysis.clauses(rows, "uid", "body", analysis.ACTION_STARTS).withColumn("urgent", analysis.urgency(F.col("clause")))
+    return analysis.clauses(_noted(spark, sf), "uid", "body", analysis.ACTION_STARTS).withColumn("urgent", analysis.urgency(F.col("clause")))
 
 
-@query()
+@query(f"SELECT uid, clause FROM {_CLAUSES(analysis.DECISION_STARTS)}")
 def decisions(spark, sf):
-    rows = A.documents(spark, sf).select("uid", "body").union(A.turns(spark, sf).select("uid", "body"))
-    return analysis.clauses(rows, "uid", "body", analysis.DECISION_STARTS)
+    return analysis.clauses(_noted(spark, sf), "uid", "body", analysis.DECISION_STARTS)
 
 
 # JSON
