@@ -49,49 +49,53 @@ DISCLAIMER = (
     re.compile(r"(?i)\bnotify the sender\b|\bdelete (?:this )?(?:email|message)\b"),
     re.compile(r"(?i)\bunauthorized\b.*\b(?:review|use|disclosure|distribution)\b|\bprohibited\b"),
 )
-_HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden|mso-hide\s*:\s*all|(?:opacity|font-size|max-height|max-width)\s*:\s*0(?:\.0+)?(?![\d.])")
+# Fixed values: (tag or any, attribute, what its value must match) of elements that are not shown, and of the one that ends a body.
+HIDING = (
+    (None, "hidden", re.compile("")),
+    (None, "aria-hidden", re.compile(r"(?i)\Atrue\Z")),
+    (None, "style", re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden|mso-hide\s*:\s*all|(?:opacity|font-size|max-height|max-width)\s*:\s*0(?:\.0+)?(?![\d.])")),
+    (None, "class", re.compile(rf"(?i)(?<!\S)(?:{'|'.join(QUOTED_CLASSES)})(?!\S)")),
+    ("blockquote", "type", re.compile(r"(?i)\Acite\Z")),
+)
+ENDING = (("div", "id", re.compile(r"(?i)\Adivrplyfwdmsg\Z")),)
+#: What stands for an element where it opens.
+MARKS = {"br": "\n", "li": "\n- ", "ul": "\n", "ol": "\n", "tr": "\n", "td": "\t", "th": "\t", "table": "\n"}
+REWRITTEN = ("a", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def _applies(rules, tag: str, attributes: dict[str, str]) -> bool:
+    return any(own in (None, tag) and name in attributes and pattern.search(attributes[name]) for own, name, pattern in rules)
 
 
 class _Renderer(HTMLParser):
-    """Writes text while it reads: no second pass over the markup."""
+    """Writes text while it reads: no second pass over the markup.
+
+    ``open`` holds the elements that are rewritten when they close.  From ``cover`` on
+    it holds an element that is not shown and those of its name inside it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.open: list[tuple[str, int, str]] = []  # tag, where its text starts, link target
-        self.hidden: list[str] = []  # the hidden element and those of its name inside
+        self.cover: int | None = None
         self.done = False
 
-    def _is_hidden(self, tag: str, attributes: dict[str, str]) -> bool:
-        if tag == "div" and attributes.get("id", "").lower() == "divrplyfwdmsg":
-            self.done = True
-        return (
-            self.done
-            or tag in HIDDEN_TAGS
-            or "hidden" in attributes
-            or attributes.get("aria-hidden", "").lower() == "true"
-            or bool(_HIDDEN.search(attributes.get("style", "")))
-            or any(c.lower() in QUOTED_CLASSES for c in attributes.get("class", "").split())
-            or (tag == "blockquote" and attributes.get("type", "").lower() == "cite")
-        )
-
     def handle_starttag(self, tag, attrs):
-        if self.done:
-            return
-        if self.hidden:
-            if tag == self.hidden[0] and tag not in VOID_TAGS:
-                self.hidden.append(tag)
+        if self.done or (self.cover is not None and tag != self.open[self.cover][0]):
             return
         attributes = {k.lower(): v or "" for k, v in attrs}
-        if self._is_hidden(tag, attributes):
-            if not self.done and tag not in VOID_TAGS:
-                self.hidden.append(tag)
-            return
-        mark = {"br": "\n", "li": "\n- ", "ul": "\n", "ol": "\n", "tr": "\n", "td": "\t", "th": "\t", "table": "\n"}.get(tag)
-        if mark:
-            self.out.append(mark)
-        if tag in ("a", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"):
-            self.open.append((tag, len(self.out), attributes.get("href", "")))
+        shown = self.cover is None
+        if shown and _applies(ENDING, tag, attributes):
+            self.done = True
+        elif not shown or tag in HIDDEN_TAGS or _applies(HIDING, tag, attributes):
+            if tag not in VOID_TAGS:
+                self.cover = len(self.open) if shown else self.cover
+                self.open.append((tag, len(self.out), ""))
+        else:
+            self.out += [MARKS[tag]] if tag in MARKS else []
+            if tag in REWRITTEN:
+                self.open.append((tag, len(self.out), attributes.get("href", "")))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID_TAGS:
@@ -100,9 +104,10 @@ class _Renderer(HTMLParser):
     def handle_endtag(self, tag):
         if self.done:
             return
-        if self.hidden:
-            if tag == self.hidden[0]:
-                self.hidden.pop()
+        if self.cover is not None:
+            if tag == self.open[self.cover][0]:
+                self.open.pop()
+                self.cover = self.cover if len(self.open) > self.cover else None
             return
         if tag in ("p", "div", "ul", "ol", "table"):
             self.out.append("\n")
@@ -123,7 +128,7 @@ class _Renderer(HTMLParser):
         return f"\n{'#' * int(tag[1])} {inner}\n"
 
     def handle_data(self, data):
-        if not self.done and not self.hidden:
+        if not self.done and self.cover is None:
             self.out.append(data)
 
 
@@ -146,21 +151,27 @@ def _tails(lines: list[str], least: int, most: int) -> Iterator[int]:
             yield k
 
 
-def strip_footer(text: str) -> str:
+#: Footers are looked for in so many last lines; None looks in all.
+FOOTER_LINES = 60
+
+
+def strip_footer(text: str, last_lines: int | None = FOOTER_LINES) -> str:
     """Without a trailing newsletter block, then without a legal disclaimer."""
     lines = text.splitlines()
-    for k in _tails(lines[-60:], 2, 6):
-        k += max(0, len(lines) - 60)
+    first = max(0, len(lines) - (len(lines) if last_lines is None else last_lines))
+    for k in _tails(lines[first:], 2, 6):
+        k += first
         if all(not x.strip() or NEWSLETTER.search(x) for x in lines[k:]) and (head := "\n".join(lines[: k - 1]).rstrip()):
             text, lines = head, lines[: k - 1]
             break
-    return strip_disclaimer(text)
+    return strip_disclaimer(text, last_lines)
 
 
-def strip_disclaimer(text: str) -> str:
+def strip_disclaimer(text: str, last_lines: int | None = FOOTER_LINES) -> str:
     lines = text.splitlines()
-    for k in _tails(lines[-60:], 3, 8):
-        k += max(0, len(lines) - 60)
+    first = max(0, len(lines) - (len(lines) if last_lines is None else last_lines))
+    for k in _tails(lines[first:], 3, 8):
+        k += first
         if sum(any(cue.search(x) for x in lines[k:]) for cue in DISCLAIMER) >= 3 and (head := "\n".join(lines[: k - 1]).rstrip()):
             return head
     return text
