@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, langid, maxent_lm, ngram_join, secret_scan, sharding, warc
+from . import bpe, chat, decontam, exact_dedup, fill_middle, langid, maxent_lm, ngram_join, secret_scan, sharding, warc
 from .common import table
 
 #: Vocabulary of the encoder: 50 256 ranks.
@@ -66,8 +66,14 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_checkpoint_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_language, op2_maxent_score, op3_secret_ownership, op4_partition_join, op5_budgeted_chat, op6_cgk_decontamination, op7_bounded_ring, op8_zstd_warc, op9_bloom_dedup, op10_chunked_bpe)
+    f.__name__: f for f in (op1_crf_language, op2_maxent_score, op3_secret_ownership, op4_partition_join, op5_budgeted_chat, op6_cgk_decontamination, op7_bounded_ring, op8_zstd_warc, op9_bloom_dedup, op10_chunked_bpe, op12_checkpoint_fim)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +114,22 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256, n_chars FROM r
     """,
+    "op12_checkpoint_fim": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents
+        ), k AS (
+            SELECT *, len(t) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(t) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(t) + 1) AS c2,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                        WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d
+        ), p AS (
+            SELECT *, array_to_string(t[1:least(c1, c2)], '') AS pre, array_to_string(t[least(c1, c2) + 1:greatest(c1, c2)], '') AS mid, array_to_string(t[greatest(c1, c2) + 1:n], '') AS suf
+            FROM k
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
