@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, fill_middle, langid, maxent_lm, ngram_join, secret_scan, sharding, warc
+from . import bpe, chat, decontam, exact_dedup, fill_middle, langid, maxent_lm, merkle, ngram_join, secret_scan, sharding, warc
 from .common import table
 
 #: Vocabulary of the encoder: 50 256 ranks.
@@ -72,8 +72,12 @@ def op12_checkpoint_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_language, op2_maxent_score, op3_secret_ownership, op4_partition_join, op5_budgeted_chat, op6_cgk_decontamination, op7_bounded_ring, op8_zstd_warc, op9_bloom_dedup, op10_chunked_bpe, op12_checkpoint_fim)
+    f.__name__: f for f in (op1_crf_language, op2_maxent_score, op3_secret_ownership, op4_partition_join, op5_budgeted_chat, op6_cgk_decontamination, op7_bounded_ring, op8_zstd_warc, op9_bloom_dedup, op10_chunked_bpe, op12_checkpoint_fim, op13_merkle_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,4 +136,50 @@ ORACLE_SQL: dict[str, str] = {
                sha256(text) AS restored_sha256
         FROM p
     """,
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE c AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                          lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) AS crc
+            FROM documents
+        ), h AS (
+            SELECT *, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                   || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+                   octet_length(encode(text)) || ':' AS size
+            FROM c
+        ), l AS (
+            SELECT doc_id, lang, sha256(head || coalesce(size || text, '-')) AS leaf,
+                   CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(size || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+            FROM h
+        ), d AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total, row_number() OVER () AS r FROM l
+        ), up AS (
+            SELECT lang, 0 AS lvl, pos, total, leaf AS digest FROM d
+            UNION ALL
+            SELECT lang, lvl + 1, pos // 8, (any_value(total) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE total > 1 GROUP BY lang, lvl, pos // 8
+        ), sub AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS total FROM up WHERE total = 1),
+        up2 AS (
+            SELECT 0 AS lvl, pos, total, subroot AS digest FROM sub
+            UNION ALL
+            SELECT lvl + 1, pos // 8, (any_value(total) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM up2 WHERE total > 1 GROUP BY lvl, pos // 8
+        ), root AS (SELECT digest AS root FROM up2 WHERE total = 1),
+        path AS (
+            SELECT r, u.lvl, u.pos, u.digest FROM d JOIN up u ON d.lang IS NOT DISTINCT FROM u.lang AND u.total > 1 AND (d.pos // CAST(pow(8, u.lvl) AS BIGINT)) // 8 = u.pos // 8 AND d.pos // CAST(pow(8, u.lvl) AS BIGINT) <> u.pos
+            UNION ALL
+            SELECT r, 1000 + u.lvl, u.pos, u.digest FROM d JOIN sub ON d.lang IS NOT DISTINCT FROM sub.lang
+            JOIN up2 u ON u.total > 1 AND (sub.pos // CAST(pow(8, u.lvl) AS BIGINT)) // 8 = u.pos // 8 AND sub.pos // CAST(pow(8, u.lvl) AS BIGINT) <> u.pos
+        ), proof AS (SELECT r, sha256(coalesce(string_agg(path.digest, '' ORDER BY path.lvl, path.pos), '')) AS proof_sha256 FROM d LEFT JOIN path USING (r) GROUP BY r),
+        f AS (
+            SELECT r, lang, 0 AS lvl, pos, coalesce(changed, leaf) AS digest FROM d
+            UNION ALL
+            SELECT r, f.lang, f.lvl + 1, f.pos // 8, sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.digest ELSE u.digest END, '' ORDER BY u.pos))
+            FROM f JOIN up u ON f.lang IS NOT DISTINCT FROM u.lang AND u.lvl = f.lvl AND u.total > 1 AND u.pos // 8 = f.pos // 8 GROUP BY r, f.lang, f.lvl, f.pos
+        ), f2 AS (
+            SELECT r, 0 AS lvl, sub.pos AS pos, arg_max(f.digest, f.lvl) AS digest FROM f JOIN sub ON f.lang IS NOT DISTINCT FROM sub.lang GROUP BY r, sub.pos
+            UNION ALL
+            SELECT r, f2.lvl + 1, f2.pos // 8, sha256(string_agg(CASE WHEN u.pos = f2.pos THEN f2.digest ELSE u.digest END, '' ORDER BY u.pos))
+            FROM f2 JOIN up2 u ON u.lvl = f2.lvl AND u.total > 1 AND u.pos // 8 = f2.pos // 8 GROUP BY r, f2.lvl, f2.pos
+        ), folded AS (SELECT r, arg_max(digest, lvl) AS folded_root FROM f2 GROUP BY r)
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+        FROM d JOIN sub ON d.lang IS NOT DISTINCT FROM sub.lang JOIN proof USING (r) JOIN folded USING (r) CROSS JOIN root
+    """,
 }
