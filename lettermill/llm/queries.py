@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, fill_middle, langid, maxent_lm, merkle, ngram_join, secret_scan, sharding, warc
+from . import bpe, chat, decontam, exact_dedup, fill_middle, langid, line_crf, maxent_lm, merkle, ngram_join, secret_scan, sharding, warc
 from .common import table
 
 #: Vocabulary of the encoder: 50 256 ranks.
@@ -66,6 +66,13 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = langid.fold("doc_id", 5)
+    model = line_crf.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return line_crf.predict(docs, model, keep=F.coalesce(fold == 0, F.lit(False))).withColumnRenamed("kept", "held_out")
+
+
 def op12_checkpoint_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.transform(table(spark, sf_dir, "documents"))
     restored = fill_middle.restore(F.col("output"), F.col("form"))
@@ -77,7 +84,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_language, op2_maxent_score, op3_secret_ownership, op4_partition_join, op5_budgeted_chat, op6_cgk_decontamination, op7_bounded_ring, op8_zstd_warc, op9_bloom_dedup, op10_chunked_bpe, op12_checkpoint_fim, op13_merkle_manifest)
+    f.__name__: f for f in (op1_crf_language, op2_maxent_score, op3_secret_ownership, op4_partition_join, op5_budgeted_chat, op6_cgk_decontamination, op7_bounded_ring, op8_zstd_warc, op9_bloom_dedup, op10_chunked_bpe, op11_line_crf_quality, op12_checkpoint_fim, op13_merkle_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {
