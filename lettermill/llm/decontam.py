@@ -7,17 +7,19 @@ distance to the item is at most ``floor(rate * L)``.
 For every size L that items have, windows of L words are embedded by several
 random walks of the CGK kind: at step j the current word is written out, and a
 hash bit of (j, word) decides whether the walk moves on, so edit distance becomes
-Hamming distance.  Each walk is sampled at ``bits`` positions per table; windows
-that share a table entry with an item are candidates.  Every candidate is then
-verified by the exact edit distance between the item and the best stretch of text
-around the window.
+Hamming distance.  Each walk is sampled at a few positions per table; the items that
+share a table entry with a window are its candidates, and nothing else is.  Every
+candidate is then verified by the exact edit distance between the item and the best
+stretch of text around the window.
+
+How much of two embeddings agrees falls with the size and differs from pair to pair,
+so :func:`plan` measures it for every size: random items lose as many words as the
+limit allows (deletions are the hardest edits), and the cheapest number of tables,
+bits a table and reach into the walk is taken whose expected recall meets ``recall``.
 
 Where windows start is narrowed without loss first: k edits cannot touch all of
 k + 1 disjoint segments of an item, so a leak holds one segment unchanged, and
-only windows aligned to such a segment are embedded.  Long items at the edit limit
-agree too little for any fixed number of tables, so the item of the segment is a
-candidate as well, unless too few of its words are near the window.  That makes
-the search exact: what it finds does not depend on the walks.
+only windows aligned to such a segment are embedded.
 
 Items reach the executors in blocks of about ``block_items`` items and
 ``block_chars`` code points; documents are read once a block, nothing shuffles but
@@ -34,6 +36,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +49,11 @@ from .common import bounded, small_batches
 RATE = 0.2
 MIN_WORDS = 5
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
-WALKS, BITS = 4, 3
-#: The number of tables is set for windows that keep this share of embedded symbols; pairs that keep less are found by their segment.
-AGREEMENT, RECALL = 0.4, 0.995
+WALKS, RECALL = 8, 0.995
+#: What a plan is chosen from: steps of the walk in item sizes, bits a table, tables; and how many pairs it is measured on.
+REACHES, BITS, TABLES, MEASURED = (0.25, 0.5, 1.0, 2.0), (3, 2, 1), (8, 16, 32, 48, 64, 96, 128, 192, 256, 384), 96
+#: A table of so many bits costs so much, for the chance meetings that must be verified.
+COST = {3: 1.0, 2: 1.2, 1: 12.0}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,33 +85,93 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in map(clean_word, split_words(pa.array([text], pa.string()))[0].as_py()) if w]
 
 
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embedding of each row of word codes: three times as long, 0 past the end."""
+def embed(windows: np.ndarray, walk: int, steps: int | None = None) -> np.ndarray:
+    """CGK embedding of each row of word codes: ``steps`` symbols, three times as many as words unless given, 0 past the end."""
     n, size = windows.shape
+    steps = 3 * size if steps is None else steps
     padded = np.concatenate([windows, np.zeros((n, 1), windows.dtype)], axis=1)
-    at, rows, out = np.zeros(n, np.int64), np.arange(n), np.empty((n, 3 * size), windows.dtype)
-    for j in range(3 * size):
+    at, rows, out = np.zeros(n, np.int64), np.arange(n), np.empty((n, steps), windows.dtype)
+    for j in range(steps):
         out[:, j] = word = padded[rows, at]
         bit = _mix(word.astype(np.uint64) ^ np.uint64((walk << 40) + (j << 20))) & np.uint64(1)
         at = np.minimum(at + bit.astype(np.int64), size)
     return out
 
 
-def tables_for(bits: int = BITS, agreement: float = AGREEMENT, recall: float = RECALL) -> int:
-    """How many tables reach ``recall`` when embedded symbols agree with ``agreement``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**bits))
-
-
-def sketch(windows: np.ndarray, tables: int, walks: int = WALKS, bits: int = BITS) -> np.ndarray:
+@dataclass(frozen=True)
+class Plan:
+    """How windows of a size are sketched, and the recall expected at the edit limit."""
+
+    steps: int
+    bits: int
+    tables: int
+    recall: float
+
+
+def edit_limit(size: int, rate: float, min_words: int) -> int:
+    return math.floor(rate * size + 1e-9) if size >= min_words else 0
+
+
+def shortened(size: int, edits: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A random item, and the windows aligned to its intact segments in a text that lacks ``edits`` of its words."""
+    item = np.arange(1, size + 1, dtype=np.int64) + (int(rng.integers(1 << 30)) << 12)
+    kept = np.setdiff1d(np.arange(size), rng.choice(size, edits, replace=False))
+    text = np.concatenate([rng.integers(1 << 50, 1 << 60, size), item[kept], rng.integers(1 << 50, 1 << 60, size)])
+    length = size // (edits + 1)
+    first = np.arange(0, length * (edits + 1), length)
+    at = np.searchsorted(kept, first)
+    whole = (at + length <= len(kept)) & (kept[np.minimum(at + length - 1, len(kept) - 1)] == first + length - 1) & (kept[np.minimum(at, len(kept) - 1)] == first)
+    starts = np.unique(size + at[whole] - first[whole])
+    return item, text[starts[:, None] + np.arange(size)]
+
+
+@cache
+def plan(size: int, edits: int, recall: float = RECALL) -> Plan:
+    """The cheapest sketches of a size whose expected recall at ``edits`` deletions meets ``recall``; else the best ones."""
+    if not edits:
+        return Plan(2 * size, BITS[0], 1, 1.0)
+    rng, reaches = np.random.default_rng(size), sorted({max(1, round(r * size)) for r in REACHES})
+    measured = max(MEASURED // 4, min(MEASURED, 20_000 // size))
+    pairs = [shortened(size, edits, rng) for _ in range(measured)]
+    stack = np.concatenate([np.vstack([item[None], windows]) for item, windows in pairs])
+    low = np.cumsum([0, *(1 + len(windows) for _, windows in pairs)])
+    agree = {steps: [] for steps in reaches}  # for each walk, for each window: share of the first steps that agree
+    for walk in range(WALKS):
+        embedded = embed(stack, walk, reaches[-1])
+        same = np.concatenate([embedded[a + 1 : b] == embedded[a] for a, b in zip(low[:-1], low[1:], strict=True)])
+        for steps in reaches:
+            agree[steps].append(same[:, :steps].mean(axis=1))
+    begins = low[:-1] - np.arange(measured)
+    found = []
+    for steps, rates in agree.items():
+        for bits in BITS:
+            miss = np.log(np.maximum(1 - np.stack(rates) ** bits, 1e-12)).sum(axis=0) / WALKS  # a table's, for each window
+            best = np.minimum.reduceat(miss, begins)  # of a leak's windows the likeliest
+            found += [(Plan(steps, bits, tables, float(1 - np.exp(best * tables).mean())), tables * COST[bits]) for tables in TABLES]
+    enough = [(cost, -p.recall, p.steps, p) for p, cost in found if p.recall >= recall]
+    return min(enough, key=lambda x: x[:3])[-1] if enough else max((p for p, _ in found), key=lambda p: p.recall)
+
+
+def planned(size: int, rate: float, min_words: int, recall: float) -> Plan:
+    """:func:`plan` of the next of few sizes, about a tenth apart, fitted to this one."""
+    step = max(1, 1 << max(0, size.bit_length() - 4))
+    upper = -(-size // step) * step
+    edits = edit_limit(size, rate, min_words)
+    if not edits:
+        return plan(size, 0, recall)
+    found = plan(upper, edit_limit(upper, rate, min_words), recall)
+    return Plan(max(1, found.steps * size // upper), found.bits, found.tables, found.recall)
+
+
+def sketch(windows: np.ndarray, how: Plan) -> np.ndarray:
     """(rows, tables) hashes of sampled embedding positions."""
     n, size = windows.shape
-    out = np.empty((n, tables), np.uint64)
+    out = np.empty((n, how.tables), np.uint64)
     rng = np.random.default_rng(size)
-    for walk in range(walks):
-        embedded = embed(windows, walk)
-        # the walk rests on each word for two steps on average, so later steps mostly see the padding
-        spots = rng.integers(0, max(1, 2 * size), (len(range(walk, tables, walks)), bits))
-        for table, spot in zip(range(walk, tables, walks), spots, strict=True):
+    for walk in range(min(WALKS, how.tables)):
+        embedded = embed(windows, walk, how.steps)
+        spots = rng.integers(0, how.steps, (len(range(walk, how.tables, WALKS)), how.bits))
+        for table, spot in zip(range(walk, how.tables, WALKS), spots, strict=True):
             key = np.full(n, table, np.uint64)
             for s in spot:
                 key = _mix(key ^ embedded[:, s].astype(np.uint64))
@@ -141,6 +206,7 @@ class _Size:
     items: np.ndarray
     ids: list
     edits: int
+    how: Plan
     entries: list[tuple[np.ndarray, np.ndarray]]
 
 
@@ -150,8 +216,7 @@ class Index:
 
     vocabulary: pa.Array
     sizes: dict[int, _Size] = field(default_factory=dict)
-    segments: dict[int, tuple[np.ndarray, ...]] = field(default_factory=dict)  # length -> sorted hash, size, offset, row of the item
-    tables: int = 0
+    segments: dict[int, tuple[np.ndarray, ...]] = field(default_factory=dict)  # length -> sorted hash, size, offset
 
 
 def rolling(codes: np.ndarray, length: int) -> np.ndarray:
@@ -166,38 +231,38 @@ def build(items: list[tuple[int, str | None]], rate: float, min_words: int, reca
     sequences = [(i, words_of(t)) for i, t in items]
     words = sorted({w for _, s in sequences for w in s})
     code = {w: k + 1 for k, w in enumerate(words)}
-    index, by_size, found = Index(pa.array(words, pa.string()), tables=tables_for(recall=recall)), defaultdict(list), defaultdict(set)
+    index, by_size, found = Index(pa.array(words, pa.string())), defaultdict(list), defaultdict(set)
     for i, s in sequences:
         if s:
             by_size[len(s)].append((i, np.array([code[w] for w in s], np.int64)))
     for size, own in by_size.items():
-        edits = math.floor(rate * size + 1e-9) if size >= min_words else 0
+        edits, how = edit_limit(size, rate, min_words), planned(size, rate, min_words, recall)
         grid = np.stack([s for _, s in own])
-        keys = sketch(grid, index.tables)
+        keys = sketch(grid, how)
         entries = []
-        for t in range(index.tables):
+        for t in range(how.tables):
             order = np.argsort(keys[:, t], kind="stable")
             entries.append((keys[order, t], order))
-        index.sizes[size] = _Size(grid, [i for i, _ in own], edits, entries)
+        index.sizes[size] = _Size(grid, [i for i, _ in own], edits, how, entries)
         length = size // (edits + 1)
-        for k, (_, s) in enumerate(own):
+        for _, s in own:
             for offset in range(0, length * (edits + 1), length):
-                found[length].add((int(rolling(s[offset : offset + length], length)[0]), size, offset, k))
+                found[length].add((int(rolling(s[offset : offset + length], length)[0]), size, offset))
     for length, rows in found.items():
         rows = sorted(rows)
-        index.segments[length] = (np.array([r[0] for r in rows], np.uint64), *(np.array([r[c] for r in rows]) for c in (1, 2, 3)))
+        index.segments[length] = (np.array([r[0] for r in rows], np.uint64), *(np.array([r[c] for r in rows]) for c in (1, 2)))
     return index
 
 
 def aligned(index: Index, codes: np.ndarray) -> dict[int, np.ndarray]:
-    """For each size the (start, item row) of windows that are aligned to an intact segment of the item, sorted.
+    """For each size the starts of windows that are aligned to an intact segment of an item, sorted.
 
     A segment has words of the items only, so runs with another word (code 0) are
     passed over before anything is hashed.
     """
     known = np.concatenate([[0], np.cumsum(codes > 0)])
     out = defaultdict(list)
-    for length, (hashes, sizes, offsets, rows) in index.segments.items():
+    for length, (hashes, sizes, offsets) in index.segments.items():
         spots = np.flatnonzero(known[length:] - known[:-length] == length)
         if not len(spots):
             continue
@@ -209,18 +274,15 @@ def aligned(index: Index, codes: np.ndarray) -> dict[int, np.ndarray]:
         at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
         starts = np.repeat(spots, count) - offsets[at]
         for size in np.unique(sizes[at]).tolist():
-            own = sizes[at] == size
-            out[size].append(np.stack([starts[own], rows[at[own]]], 1))
-    return {size: np.unique(np.concatenate(pairs), axis=0) for size, pairs in out.items()}
+            out[size].append(starts[sizes[at] == size])
+    return {size: np.unique(np.concatenate(own)) for size, own in out.items()}
 
 
 def search(index: Index, codes: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(text, item id) -> (distance, start, stop) of the leaks in texts that lie one after another, each closed by a 0."""
     best = {}
-    for size, pairs in aligned(index, codes).items():
+    for size, starts in aligned(index, codes).items():
         own = index.sizes[size]
-        starts, first = np.unique(pairs[:, 0], return_index=True)
-        holders = np.split(pairs[:, 1], first[1:])
         # a window belongs to the text of its middle, which its segment is nearest to
         text = np.searchsorted(ends, np.clip(starts + size // 2, 0, len(codes) - 1), "right")
         low, high = np.concatenate([[0], ends])[text], ends[text] - 1
@@ -231,35 +293,41 @@ def search(index: Index, codes: np.ndarray, ends: np.ndarray) -> dict[tuple[int,
             if own_text:
                 fits &= (starts < low) if own_text < 0 else (starts + size > high)
             if fits.any():
-                _verify(index, own, codes, ends, size, starts[fits], where[fits], [holders[w] for w in np.flatnonzero(fits)], best)
+                _verify(own, codes, ends, size, starts[fits], where[fits], best)
     return best
 
 
-def _verify(index: Index, own: _Size, codes: np.ndarray, ends: np.ndarray, size: int, starts: np.ndarray, text: np.ndarray, holders: list[np.ndarray], best: dict) -> None:
-    """Candidates of windows by their sketches and segments, then the exact distance inside the window's text."""
+def candidates(own: _Size, grid: np.ndarray) -> list[tuple[int, int]]:
+    """(window, item row) that share a table entry."""
+    keys, pairs = sketch(grid, own.how), []
+    for t, (entries, order) in enumerate(own.entries):
+        first, last = np.searchsorted(entries, keys[:, t]), np.searchsorted(entries, keys[:, t], "right")
+        count = last - first
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        pairs.append(np.repeat(np.arange(len(grid)), count) * len(own.ids) + order[at])
+    return [divmod(int(p), len(own.ids)) for p in np.unique(np.concatenate(pairs))]
+
+
+def _verify(own: _Size, codes: np.ndarray, ends: np.ndarray, size: int, starts: np.ndarray, text: np.ndarray, best: dict) -> None:
+    """Candidates of windows by their sketches, then the exact distance inside the window's text."""
     low, high = np.concatenate([[0], ends])[text], ends[text] - 1
     for at in range(0, len(starts), 4096):
         part = slice(at, at + 4096)
         spots = starts[part, None] + np.arange(size)
         inside = (spots >= low[part, None]) & (spots < high[part, None])
         grid = np.where(inside, codes[np.clip(spots, 0, len(codes) - 1)], 0)
-        keys, near = sketch(grid, index.tables), defaultdict(set)
-        for t, (entries, order) in enumerate(own.entries):
-            first, last = np.searchsorted(entries, keys[:, t]), np.searchsorted(entries, keys[:, t], "right")
-            for w in np.flatnonzero(last > first).tolist():
-                near[w].update(order[first[w] : last[w]].tolist())
-        for w, rows in enumerate(holders[part]):
+        for w, k in candidates(own, grid):
             bottom, top, start = int(low[at + w]), int(high[at + w]), int(starts[at + w])
             begin = max(bottom, start - own.edits)
             around = codes[begin : max(begin, min(top, start + size + own.edits))]
             # all but ``edits`` words of a leaked item are in the stretch
-            known = np.isin(own.items[rows], around).sum(axis=1) >= size - own.edits
-            for k in sorted(near[w].union(rows[known].tolist())):
-                distance, a, b = best_stretch(own.items[k], around)
-                if distance <= own.edits:
-                    found = (distance, begin + a - bottom, begin + b - bottom)
-                    key = (int(text[at + w]), own.ids[k])
-                    best[key] = min(best.get(key, found), found)
+            if np.isin(own.items[k], around).sum() < size - own.edits:
+                continue
+            distance, a, b = best_stretch(own.items[k], around)
+            if distance <= own.edits:
+                found = (distance, begin + a - bottom, begin + b - bottom)
+                key = (int(text[at + w]), own.ids[k])
+                best[key] = min(best.get(key, found), found)
 
 
 def text_codes(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:

