@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import archive as A
-from ..operators import contacts, filters
+from ..operators import contacts, louvain, filters
 from .registry import query
 
 
@@ -157,7 +157,8 @@ def relationship_summary(spark, sf):
 
 @query()
 def communities(spark, sf):
-    return contacts.communities(A.edges(spark, sf))
+    """Louvain communities of correspondents, letters in both directions summed."""
+    return louvain.communities(contacts.undirected(A.edges(spark, sf)))
 
 
 @query()

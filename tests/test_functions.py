@@ -175,15 +175,6 @@ def test_betweenness_matches_all_paths(spark):
     assert len(some) == len(got)
 
 
-def test_communities_settle(spark):
-    clique = lambda names: [(a, b, 3) for a in names for b in names if a < b]
-    edges = [*clique("abcd"), *clique("wxyz"), ("d", "w", 1)]
-    label = {r["node"]: r["label"] for r in contacts.communities(spark.createDataFrame(edges, "sender string, recipient string, email_count long")).collect()}
-    assert len({label[n] for n in "abcd"}) == len({label[n] for n in "wxyz"}) == 1 and label["a"] != label["z"]
-    bipartite = [(f"c{k}", f"s{j}", 1) for k in range(4) for j in range(4)]
-    assert len({r["label"] for r in contacts.communities(spark.createDataFrame(bipartite, "sender string, recipient string, email_count long")).collect()}) == 1
-
-
 def test_parents_across_february(spark):
     rows = spark.createDataFrame([("p", "2023-01-30 12:00:00"), ("c", "2023-03-01 11:00:00"), ("late", "2023-03-02 12:00:00")], "uid string, d string")
     rows = rows.select("uid", F.lit("plan").alias("base_subject"), F.to_timestamp_ntz("d").alias("date"), F.lit("a@x").alias("sender_email"), F.array(F.lit("a@x")).alias("participants"), F.lit("hello").alias("opening"))
