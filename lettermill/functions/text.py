@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 PREFIXES = ("RE", "AW", "FW", "WG", "SV", "VS", "Antw", "Doorst")
 FORWARDS = ("FW", "WG", "VS", "DOORST")
 
-# The transliteration of German letters, and typographic marks with their plain form.
+# The transliteration of German letters.
 GERMAN = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
-TYPOGRAPHIC = (("‘", "'"), ("’", "'"), ("‚", "'"), ("“", '"'), ("”", '"'), ("„", '"'), ("–", "-"), ("—", "-"), (" ", " "))
 
 # What privacy modes hide.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
@@ -48,37 +47,6 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u0085   -     　]+", " "))
 
 
-def _replaced(text: Column, table) -> Column:
-    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), table, text)
-
-
-def quote_form(text: Column) -> Column:
-    """Lower-cased, typographic marks made plain, white space squeezed."""
-    return squeeze(F.lower(_replaced(F.coalesce(text, F.lit("")), TYPOGRAPHIC)))
-
-
-def alnum_form(text: Column) -> Column:
-    """ASCII letters and digits only, German letters transliterated."""
-    return F.regexp_replace(_replaced(quote_form(text), GERMAN), "[^a-z0-9]", "")
-
-
-def near_form(text: Column) -> Column:
-    """Words broken by a hyphen at a line end joined, then the quote form, transliterated."""
-    return _replaced(quote_form(F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{L})-[ \t]*\r?\n[ \t]*(\p{Ll})", "$1$2")), GERMAN)
-
-
-def match_state(quote: Column, surface: Column, least_alnum: int = 24) -> Column:
-    """exact, near_exact or unverified: how a quote is found in a surface; orphaned without one."""
-    forms = lambda t: (quote_form(t), alnum_form(t), near_form(t))
-    return F.when(surface.isNull(), "orphaned").otherwise(form_state(forms(quote), forms(surface), least_alnum))
-
-
-def form_state(quote: tuple[Column, Column, Column], surface: tuple[Column, Column, Column], least_alnum: int = 24) -> Column:
-    """:func:`match_state` of the quote, alphanumeric and near forms, where they are computed once for many pairs."""
-    exact = F.contains(surface[0], quote[0]) | ((F.length(quote[1]) >= least_alnum) & F.contains(surface[1], quote[1]))
-    return F.when(quote[0] == "", "unverified").when(exact, "exact").when(F.contains(surface[2], quote[2]), "near_exact").otherwise("unverified")
-
-
 def bind(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, also where lambdas refer to it."""
     return F.transform(F.array(value), use)[0]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import archive as A
 from ..functions import analysis, text
-from ..operators import filters
+from ..operators import filters, quotes
 from .registry import query
 
 _PREFIX = "RE|AW|FW|WG|SV|VS|Antw|Doorst"
@@ -43,28 +43,33 @@ def whitespace_squeeze(spark, sf):
 _QUOTE_FORM = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 
 
-@query(f"""SELECT q.item_id, d.doc_id, 'exact' AS state FROM (SELECT item_id, {_QUOTE_FORM.format("text")} AS q FROM benchmark WHERE trim(text) <> '') q
-    JOIN (SELECT doc_id, {_QUOTE_FORM.format("text")} AS t FROM documents) d ON contains(d.t, q.q)""")
-def quote_match_state(spark, sf):
-    """Which quotes occur in which surfaces, exactly or nearly: the quotes, checked to be few, meet every document where it lies.
+_MARKED = "translate(replace({0}, '…', '...'), '“”„«»’‘‚–—−', '" + 5 * '"' + 3 * "''" + "---')"
+_FOLDED = "replace(lower({0}), 'ß', 'ss')"
+_LETTERS = "regexp_replace({0}, '[^a-z0-9]+', '', 'g')"
+_JOINED = r"regexp_replace({0}, '([\p{{L}}\p{{N}}])[-‐‑‒–][ \t]*(?:\r\n|\r|\n)[ \t]*([\p{{L}}\p{{N}}])', '\1\2', 'g')"
+_WRITTEN = "replace(replace(replace({0}, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue')"
+#: The three forms of a text: squeezed, its letters and digits, those of the near form.
+_FORMS = f"""{_FOLDED.format("trim(regexp_replace(" + _MARKED.format("text") + ", '\\s+', ' ', 'g'))")} AS ws, {_LETTERS.format("ws")} AS letters, {_LETTERS.format(_WRITTEN.format(_FOLDED.format(_JOINED.format(_MARKED.format("text")))))} AS near"""
+_MATCHES = f"""SELECT item_id, doc_id, CASE WHEN contains(d.ws, q.ws) OR (length(q.letters) >= 24 AND contains(d.letters, q.letters)) THEN 'exact' ELSE 'near_exact' END AS state
+    FROM (SELECT item_id, {_FORMS} FROM benchmark) q JOIN (SELECT doc_id, {_FORMS} FROM documents) d
+    ON q.ws <> '' AND (contains(d.ws, q.ws) OR (length(q.letters) >= 24 AND contains(d.letters, q.letters)) OR (length(q.near) >= 24 AND contains(d.near, q.near)))"""
+
+
+def _quotes(spark, sf):
+    return A.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), A.table(spark, sf, "documents").select(F.col("doc_id").alias("sid"), "text")
 
-    Every match holds the letters and digits of the quote, so one test rules out nearly all pairs.
-    """
-    forms = lambda *names: [f(F.col("text")).alias(n) for f, n in zip((text.quote_form, text.alnum_form, text.near_form), names, strict=True)]
-    quotes = A.table(spark, sf, "benchmark").select("item_id", *forms("q", "qa", "qn")).where("q <> ''")
-    assert quotes.count() <= 100_000, "quotes are broadcast: pass them in blocks"
-    docs = A.table(spark, sf, "documents").where("text is not null").select("doc_id", *forms("t", "ta", "tn"))
-    state = text.form_state(tuple(map(F.col, ("q", "qa", "qn"))), tuple(map(F.col, ("t", "ta", "tn"))))
-    # in one condition, so that the cheap test comes first: a later filter would be put before it
-    return docs.join(F.broadcast(quotes), F.contains("ta", F.col("qa")) & (state != "unverified")).select("item_id", "doc_id", state.alias("state"))
+
+@query(_MATCHES)
+def quote_match_state(spark, sf):
+    """Which quotes occur in which surfaces, by the whole ladder."""
+    return quotes.match(*_quotes(spark, sf)).select(F.col("qid").alias("item_id"), F.col("sid").alias("doc_id"), "state")
 
 
-@query(f"""WITH q AS (SELECT item_id, {_QUOTE_FORM.format("text")} AS q FROM benchmark), d AS (SELECT {_QUOTE_FORM.format("text")} AS t FROM documents)
-    SELECT count(*) AS total, count(*) FILTER (EXISTS (SELECT 1 FROM d WHERE contains(d.t, q.q))) AS verified FROM q""")
+@query(f"""SELECT count(*) AS total, count(*) FILTER (state = 'exact') AS exact, count(*) FILTER (state = 'near_exact') AS near_exact
+    FROM benchmark LEFT JOIN (SELECT item_id, min(state) AS state FROM ({_MATCHES}) GROUP BY 1) USING (item_id)""")
 def evidence_verify(spark, sf):
-    quotes = A.table(spark, sf, "benchmark").select("item_id")
-    found = quote_match_state(spark, sf).where("state = 'exact'").select("item_id").distinct().withColumn("hit", F.lit(1))
-    return quotes.join(found, "item_id", "left").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("verified"))
+    """How many quotes are found in some surface, exactly or nearly."""
+    return quotes.verified(*_quotes(spark, sf))
 
 
 _GRAMS = "list_distinct(list_transform(range(1, greatest(2, length(c) - 1)), lambda i: c[i:i+2]))"

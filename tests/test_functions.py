@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettermill.functions import analysis, bodies, text
-from lettermill.operators import contacts, context, filters, results, retrieval, state, threads
+from lettermill.operators import contacts, context, filters, quotes, results, retrieval, state, threads
 from lettermill.sources import folder_delta, mail_zip, sinks
 
 
@@ -35,14 +35,19 @@ def test_identities(spark, address, identity):
     [
         ("“Hello” world", 'he said "hello"  WORLD', "exact"),
         ("Straße und Weg, abcdefghijklmnop", "strasse und weg abcdefghijklmnop", "exact"),
-        ("a rearrangement of it", "a rearrange-\nment of it", "near_exact"),
+        ("a whole rearrangement of all of it", "a whole rearrange-\nment of all of it", "exact"),
+        ("überall größer geworden und mehr", "ueberall groesser gewor-\nden und mehr", "near_exact"),
+        ("a re\u2010\r\n arrangement Ä Ö Ü of all its parts", "A rearrangement AE OE UE of all its parts", "near_exact"),
+        ("ﬁrst ｗｏｒｄｓ of it", "First words  of it", "exact"),
+        ("short re-\nmark", "short remark", "unverified"),
+        ("Ωμέγα…", "ωμέγα...", "exact"),
         ("absent", "text", "unverified"),
         ("", "text", "unverified"),
         ("x", None, "orphaned"),
     ],
 )
 def test_quotes(spark, quote, surface, state_):
-    assert one(spark, text.match_state(F.col("q"), F.col("s")), q=quote, s=surface) == state_
+    assert one(spark, quotes.match_state(F.col("q"), F.col("s")), q=quote, s=surface) == state_
 
 
 def test_jaccard(spark):

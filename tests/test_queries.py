@@ -56,10 +56,10 @@ def test_others_run(spark, sf_dir, name):
 
 
 def test_quotes_by_the_whole_ladder(spark, tmp_path):
-    quotes = [(1, "Alpha, beta; gamma delta epsilon!"), (2, "a rearrangement of it"), (3, "plain words"), (4, "not there"), (5, " "), (6, "!!")]
-    docs = [(10, "so alpha beta gamma (delta) epsilon"), (11, "a rearrange-\nment of it"), (12, "PLAIN  words"), (13, None), (14, "plainwords"), (15, "what!!")]
+    quotes = [(1, "Alpha, beta; gamma delta epsilon!"), (2, "a räumliche rearrangement of it"), (3, "plain words"), (4, "not there"), (5, " "), (6, "!!")]
+    docs = [(10, "so alpha beta gamma (delta) epsilon"), (11, "a raeumliche rearrange-\nment of it"), (12, "PLAIN  words"), (13, None), (14, "plainwords"), (15, "what!!")]
     spark.createDataFrame(quotes, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in plans.QUERIES["quote_match_state"](spark, str(tmp_path)).select("item_id", "doc_id", "state").collect()}
     assert got == {(1, 10, "exact"), (2, 11, "near_exact"), (3, 12, "exact"), (6, 15, "exact")}
-    assert tuple(plans.QUERIES["evidence_verify"](spark, str(tmp_path)).select("total", "verified").first()) == (6, 3)
+    assert tuple(plans.QUERIES["evidence_verify"](spark, str(tmp_path)).select("total", "exact", "near_exact").first()) == (6, 3, 1)
