@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -26,14 +26,6 @@ def top_terms(rows: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return term_weights(rows, key, text).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def topics(rows: DataFrame, key: str, text: str, k: int, buckets: int = 1 << 13, rounds: int = 5) -> DataFrame:
-    """(key, topic, weight > 0.01) by online LDA over hashed terms."""
-    counted = HashingTF(numFeatures=buckets, inputCol="terms", outputCol="features").transform(rows.select(key, words(F.col(text)).alias("terms")).where(F.size("terms") > 0)).select(key, "features")
-    model = LDA(k=k, maxIter=rounds, seed=42, optimizer="online").fit(counted)
-    shares = model.transform(counted).select(key, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
-    return shares.where("weight > 0.01").select(key, "topic", F.round("weight", 4).alias("weight"))
-
-
 def clusters(rows: DataFrame, key: str, vector: str, k: int | None = None) -> DataFrame:
     """(key, cluster, distance, representative) by k-means; k follows the number of rows between 5 and 30."""
     data = rows.select(key, array_to_vector(F.col(vector)).alias("features"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from .. import archive as A
 from ..functions import bodies, text
 from ..operators import learning
+from ..operators import topics as topic_model
 from .registry import query
 
 
@@ -76,9 +77,24 @@ def top_keywords(spark, sf):
     return scored.withColumn("r", F.row_number().over(order)).where("r <= 20").drop("r")
 
 
+def _topics(spark, sf):
+    data, vocabulary = topic_model.matrix(A.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return data, topic_model.fit(data, vocabulary, 8)
+
+
 @query()
 def topics(spark, sf):
-    return learning.topics(A.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 8)
+    """What each document has of each of eight topics."""
+    data, model = _topics(spark, sf)
+    return topic_model.weights(data, "doc_id", model)
+
+
+@query()
+def topic_terms(spark, sf):
+    """The ten heaviest terms of each topic."""
+    _, model = _topics(spark, sf)
+    rows = [(number, label, place, term) for number, label, terms in model.top(10) for place, term in enumerate(terms, 1)]
+    return spark.createDataFrame(rows, "topic int, label string, place int, term string")
 
 
 @query()
