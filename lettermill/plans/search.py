@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import archive as A
-from ..operators import retrieval, similarity
-from ..operators.staging import stage
+from ..operators import postings, retrieval, similarity
+from ..operators.staging import shared_dir, stage
 from .registry import query
 
 _DOT = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
@@ -84,13 +86,60 @@ def bm25_morphology(spark, sf):
     return retrieval.bm25(docs, _questions(spark, sf), "doc_id", "text", 10).select("query_id", "doc_id", "score", "place")
 
 
-@query("""SELECT doc AS doc, round(sum(w * qw), 6) AS score FROM (SELECT l_orderkey AS doc, l_suppkey AS token, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2)
-    JOIN (SELECT s_suppkey AS token, s_acctbal AS qw FROM supplier WHERE s_acctbal > 0) USING (token) WHERE w > 0 GROUP BY 1 ORDER BY score DESC, doc LIMIT 50""")
+def _indexed(spark, sf):
+    """BM25 hits for every benchmark item from an index of two segments: documents of one language, then all others."""
+    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("first"), retrieval.tokens(F.col("text")).alias("terms"))
+    cells = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(None).cast("double").alias("weight")))
+    path = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    for part in ("first", "not first"):
+        postings.add(path, docs.where(part).select("key", cells.alias("cells")))
+    raw = retrieval.tokens(F.col("query"), morphology=False)
+    asked = _questions(spark, sf).select("query_id", raw.alias("raw"), F.explode(retrieval.tokens(F.col("query"))).alias("term"))
+    return postings.search_bm25(postings.open_index(spark, path), asked.select("query_id", "term", F.array_contains("raw", F.col("term")).alias("raw")), 10)
+
+
+_RAW = f"list_contains({_TOKENS.format('text')}, term)"
+_INDEXED = (
+    _BM25.replace("q AS (SELECT item_id AS query_id, unnest({0}) AS term FROM benchmark)", f"q AS (SELECT query_id, term, {_RAW} AS raw FROM (SELECT item_id AS query_id, text, unnest({{0}}) AS term FROM benchmark))")
+    .replace("{0}", _VARIANTS.format(_TOKENS.format("text")))
+    .replace("6) AS score FROM q", "6) AS score, bool_or(q.raw) AS raw FROM q")
+    .replace("SELECT query_id, score, place FROM (", "SELECT query_id, doc_id, score, place, raw FROM (")
+)
+
+
+@query(_INDEXED)
+def bm25_indexed(spark, sf):
+    """The ten best by BM25 from the persisted index, and whether a hit has a word of the query as it stands."""
+    return _indexed(spark, sf).hits.select("query_id", F.col("key").alias("doc_id"), "score", "place", "raw")
+
+
+@query(f"SELECT query_id, count(*) FILTER (raw) AS raw_hit_count, count(*) AS morph_hit_count, count(*) FILTER (NOT raw) AS morph_only_hit_count FROM ({_INDEXED}) GROUP BY 1")
+def bm25_hit_counts(spark, sf):
+    """How many hits of each query have a word of it as it stands, and how many only a variant."""
+    hits = _indexed(spark, sf).hits.groupBy("query_id")
+    return hits.agg(F.count(F.when(F.col("raw"), 1)).alias("raw_hit_count"), F.count(F.lit(1)).alias("morph_hit_count"), F.count(F.when(~F.col("raw"), 1)).alias("morph_only_hit_count"))
+
+
+_SUPPLY = """SELECT doc AS doc, round(sum(w * qw), 6) AS score FROM (SELECT l_orderkey AS doc, l_suppkey AS token, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2)
+    JOIN (SELECT s_suppkey AS token, s_acctbal AS qw FROM supplier WHERE s_acctbal > 0) USING (token) WHERE w > 0 GROUP BY 1 ORDER BY score DESC, doc LIMIT 50"""
+
+
+@query(_SUPPLY)
+def sparse_indexed(spark, sf):
+    """The 50 best order lines for the suppliers' balances, from the persisted index of weights."""
+    lines = A.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_suppkey").cast("string").alias("term")).agg(F.sum("l_quantity").cast("double").alias("weight"))
+    path = f"{shared_dir(spark)}/sparse-{uuid.uuid4().hex}"
+    postings.add(path, lines.groupBy("key").agg(F.collect_list(F.struct("term", "weight")).alias("cells")))
+    asked = A.table(spark, sf, "supplier").select(F.lit(1).alias("query_id"), F.col("s_suppkey").cast("string").alias("term"), F.col("s_acctbal").cast("double").alias("factor"))
+    return postings.search_dot(postings.open_index(spark, path), asked, 50).hits.select(F.col("key").alias("doc"), "score")
+
+
+@query(_SUPPLY)
 def sparse_dot(spark, sf):
     """Order lines as a sparse vector over suppliers, against the suppliers' balances."""
-    postings = A.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("token")).agg(F.sum("l_quantity").alias("weight"))
+    weights = A.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("token")).agg(F.sum("l_quantity").alias("weight"))
     asked = A.table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("token"), F.col("s_acctbal").alias("query_weight"))
-    return retrieval.sparse_dot(postings, asked, "doc", 50)
+    return retrieval.sparse_dot(weights, asked, "doc", 50)
 
 
 _RANKED = "SELECT event_id, row_number() OVER (ORDER BY value {0}, event_id) AS place FROM events ORDER BY place LIMIT 100"
