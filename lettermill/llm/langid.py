@@ -258,7 +258,8 @@ def fold(id_col: str, parts: int) -> Column:
 def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """A model from a bounded sample of the rows where ``training`` holds.
 
-    A language's sample are its ``per_language`` texts of the least hash.  What
+    A language's sample are its ``per_language`` texts of the least hash, long ones
+    cut to ``sample_chars``, so that a language with long texts alone is learned too.  What
     reaches the driver is bounded by that and by ``most_languages``, the most
     frequent ones: the others, of a column with stray values, are not learned.
     """
@@ -271,7 +272,7 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
     for lang, n in sizes.items():
         mark = F.when(F.col(lang_col) == lang, F.lit(min(2**63 - 1, -(2**63) + int(2.0**64 * (2 * per_language + 64) / n)))).otherwise(mark)
     spot = F.xxhash64(F.col(text_col))
-    near = able.where((F.length(text_col) <= sample_chars) & (spot <= mark)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spot.alias("spot"))
+    near = able.where(spot <= mark).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, sample_chars).alias("text"), spot.alias("spot"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "text"))
     rows = near.distinct().withColumn("place", place).where(F.col("place") <= per_language).collect()
     return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["place"]))])

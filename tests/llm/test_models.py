@@ -304,3 +304,15 @@ def test_every_linked_pair_shares_enough_signatures():
             need = max(fa, fb) - (len(a) + len(b)) // 7 if fa and fb else 1
             assert len(np.intersect1d(sa, sb)) >= max(1, need)
             assert ngram_join._may_link(ngram_join.bitmap(a), ngram_join.bitmap(b))
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    rng = np.random.default_rng(7)
+    german, english = ("der die und nicht straße über schön machen", "the and not with street over nice making")
+    long_text = lambda words: " ".join(rng.choice(words.split(), 4000))
+    rows = [(k, long_text(german), "de") for k in range(12)] + [(100 + k, " ".join(rng.choice(english.split(), 40)), "en") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, lang in rows if lang == "de") > langid.SAMPLE_CHARS
+    model = langid.fit(docs, langid.fold("doc_id", 3) >= 0)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
