@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import archive as A
 from ..operators import postings, retrieval, similarity
 from ..operators.staging import shared_dir, stage
+from ..sources import vector_store
 from .registry import query
 
 _DOT = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
@@ -20,20 +21,45 @@ def _query_vectors(spark, sf):
     return rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query")).select(F.col("label").alias("query_id"), "query")
 
 
-@query(f"""SELECT query_id, place, distance FROM (SELECT q.label AS query_id, {_NEAR} AS distance, row_number() OVER (PARTITION BY q.label ORDER BY {_NEAR}, e.vec_id)::INT AS place
+@query(f"""SELECT query_id, place, vec_id, distance FROM (SELECT q.label AS query_id, e.vec_id, {_NEAR} AS distance, row_number() OVER (PARTITION BY q.label ORDER BY {_NEAR}, e.vec_id)::INT AS place
     FROM (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) q, embeddings e) WHERE place <= 10""")
 def knn_exact(spark, sf):
     """The ten nearest of every label's first vector."""
-    found = retrieval.nearest(_query_vectors(spark, sf), A.table(spark, sf, "embeddings").select("vec_id", "embedding"), 10)
-    return found.select("query_id", "place", F.round("distance", 4).alias("distance"))
+    found = retrieval.nearest(_query_vectors(spark, sf), A.table(spark, sf, "embeddings").select("vec_id", "embedding"), 10, decimals=4)
+    return found.select("query_id", "place", "vec_id", "distance")
 
 
-@query(f"""SELECT query_id, place, distance FROM (SELECT q.label AS query_id, {_NEAR} AS distance, row_number() OVER (PARTITION BY q.label ORDER BY {_NEAR}, e.vec_id)::INT AS place
+@query(f"""SELECT query_id, place, vec_id, distance FROM (SELECT q.label AS query_id, e.vec_id, {_NEAR} AS distance, row_number() OVER (PARTITION BY q.label ORDER BY {_NEAR}, e.vec_id)::INT AS place
     FROM (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) q JOIN embeddings e ON e.label <> 0) WHERE place <= 5""")
 def knn_filtered(spark, sf):
     """Filtered before the limit, so a filter never costs results."""
     vectors = A.table(spark, sf, "embeddings").where("label <> 0").select("vec_id", "embedding")
-    return retrieval.nearest(_query_vectors(spark, sf), vectors, 5).select("query_id", "place", F.round("distance", 4).alias("distance"))
+    return retrieval.nearest(_query_vectors(spark, sf), vectors, 5, decimals=4).select("query_id", "place", "vec_id", "distance")
+
+
+def _stored(spark, sf, folded):
+    """A store of all vectors in two commits, with a checkpoint between them if ``folded``; vectors of label 0 are deleted at the end."""
+    vector_store.register(spark)
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = A.table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(False).alias("deleted"), "label")
+    for step, part in enumerate((rows.where("label < 5"), rows.where("label >= 5 or label is null"), rows.where("label = 0").withColumn("deleted", F.lit(True)))):
+        part.select("vec_id", "embedding", "deleted").write.format("vector_store").option("path", path).mode("append").save()
+        if folded and step == 0:
+            vector_store.checkpoint(spark, path)
+    return path
+
+
+@query("SELECT vec_id, len(embedding) AS size, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS squares FROM embeddings WHERE label IS NULL OR label <> 0")
+def vector_store_rows(spark, sf):
+    """What a store holds after commits, a checkpoint between them, and deletions."""
+    held = vector_store.vectors(spark, _stored(spark, sf, True))
+    return held.select("vec_id", F.size("embedding").cast("long").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("squares"))
+
+
+@query()
+def knn_stored(spark, sf):
+    """The ten nearest of every label's first vector through the stored index and its journal; recall is measured in the tests."""
+    return vector_store.search(_query_vectors(spark, sf), _stored(spark, sf, True), 10).select("query_id", "place", "vec_id", F.round("distance", 4).alias("distance"))
 
 
 @query(f"""SELECT vec_id, distance FROM (SELECT q.vec_id AS vec_id, {_NEAR} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR}, e.vec_id) AS r
@@ -74,10 +100,10 @@ _BM25 = r"""WITH d AS (SELECT doc_id, t, len(t) AS l FROM (SELECT doc_id, {0} AS
     SELECT query_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS place FROM r WHERE score > 0) WHERE place <= 10"""
 
 
-@query(_BM25.replace("{0}", _TOKENS.format("text")))
+@query(_BM25.replace("{0}", _TOKENS.format("text")).replace("SELECT query_id, score, place FROM (", "SELECT query_id, doc_id, score, place FROM ("))
 def bm25_search(spark, sf):
     docs = A.table(spark, sf, "documents").select("doc_id", "text")
-    return retrieval.bm25(docs, _questions(spark, sf), "doc_id", "text", 10, morphology=False).select("query_id", "score", "place")
+    return retrieval.bm25(docs, _questions(spark, sf), "doc_id", "text", 10, morphology=False).select("query_id", "doc_id", "score", "place")
 
 
 @query(_BM25.replace("{0}", _VARIANTS.format(_TOKENS.format("text"))).replace("SELECT query_id, score, place FROM (", "SELECT query_id, doc_id, score, place FROM ("))
