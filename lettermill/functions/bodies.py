@@ -143,38 +143,43 @@ def tidy(text: str, keep_indent: bool = True) -> str:
     return "\n".join(lines).strip()
 
 
-def _tails(lines: list[str], least: int, most: int) -> Iterator[int]:
-    """Starts of blocks after a blank line that run to the end and have so many filled lines, longest first."""
-    filled = [bool(x.strip()) for x in lines]
-    for k in range(1, len(lines)):
-        if not filled[k - 1] and least <= sum(filled[k:]) <= most:
-            yield k
+def _tails(lines: list[str], least: int, most: int) -> Iterator[tuple[int, list[str]]]:
+    """Starts of blocks after a blank line that run to the end and have so many filled lines, longest first, with those lines.
 
-
-#: Footers are looked for in so many last lines; None looks in all.
-FOOTER_LINES = 60
+    Read from the end until there are too many, so no line is looked at twice.
+    """
+    after, found = [], []
+    for k in range(len(lines) - 1, 0, -1):
+        if lines[k].strip():
+            after.append(lines[k])
+            if len(after) > most:
+                break
+        # of the blank lines before a block the first is its edge
+        if not lines[k - 1].strip() and len(after) >= least:
+            if found and found[-1][1] == len(after):
+                found.pop()
+            found.append((k, len(after)))
+    for k, n in reversed(found):
+        yield k, after[:n]
+
+
+def _without(lines: list[str], least: int, most: int, is_footer) -> str | None:
+    """What is left before the longest tail that is a footer; None if there is none, or nothing before it."""
+    for k, tail in _tails(lines, least, most):
+        if is_footer(tail) and (head := "\n".join(lines[: k - 1]).rstrip()):
+            return head
+    return None
 
 
-def strip_footer(text: str, last_lines: int | None = FOOTER_LINES) -> str:
+def strip_footer(text: str) -> str:
     """Without a trailing newsletter block, then without a legal disclaimer."""
-    lines = text.splitlines()
-    first = max(0, len(lines) - (len(lines) if last_lines is None else last_lines))
-    for k in _tails(lines[first:], 2, 6):
-        k += first
-        if all(not x.strip() or NEWSLETTER.search(x) for x in lines[k:]) and (head := "\n".join(lines[: k - 1]).rstrip()):
-            text, lines = head, lines[: k - 1]
-            break
-    return strip_disclaimer(text, last_lines)
+    head = _without(text.splitlines(), 2, 6, lambda tail: all(map(NEWSLETTER.search, tail)))
+    return strip_disclaimer(text if head is None else head)
 
 
-def strip_disclaimer(text: str, last_lines: int | None = FOOTER_LINES) -> str:
-    lines = text.splitlines()
-    first = max(0, len(lines) - (len(lines) if last_lines is None else last_lines))
-    for k in _tails(lines[first:], 3, 8):
-        k += first
-        if sum(any(cue.search(x) for x in lines[k:]) for cue in DISCLAIMER) >= 3 and (head := "\n".join(lines[: k - 1]).rstrip()):
-            return head
-    return text
+def strip_disclaimer(text: str) -> str:
+    head = _without(text.splitlines(), 3, 8, lambda tail: sum(any(map(cue.search, tail)) for cue in DISCLAIMER) >= 3)
+    return text if head is None else head
 
 
 def html_to_text(html: str | None) -> str:

@@ -329,6 +329,8 @@ def test_signatures_and_quotes():
     assert bodies.strip_quoted("New\n\n> a", "original") == ("New\n\n> a", 0)
     assert bodies.strip_disclaimer("Hi\n\nThis is confidential.\nOnly the intended recipient may read it.\nPlease notify the sender.") == "Hi"
     assert bodies.strip_footer("Hi\n\nunsubscribe\nview in browser") == "Hi"
+    assert bodies.strip_footer("Hi" + "\n" * 500 + "unsubscribe" + "\n" * 200 + "view in browser\n\n") == "Hi"
+    assert bodies.strip_footer("\n" * 300 + "unsubscribe\nview in browser") == "\n" * 300 + "unsubscribe\nview in browser"
 
 
 def test_segments_and_context():
