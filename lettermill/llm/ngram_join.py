@@ -270,30 +270,38 @@ def _match(batches):
         yield from _match_bucket(held.popitem()[1])
 
 
-def _match_bucket(blocks: list[tuple[bytes, bytes]]):
+def _match_bucket(blocks: list[tuple[bytes, bytes]], most_sets: int = 1 << (8 * (8 - SIGN_BYTES))):
+    """The pairs and groups of a bucket; the places of more than ``most_sets`` sets do not fit beside their signatures and are sorted along."""
     shift, base, at = np.uint64(8 * (8 - SIGN_BYTES)), 0, 0
     widths = [4 if len(sets) > 65536 * _ENTRY.itemsize else 2 for sets, _ in blocks]
     key = np.zeros(sum(len(packed) // (SIGN_BYTES + width) for (_, packed), width in zip(blocks, widths, strict=True)), np.uint64)
-    tables = []
+    wide = sum(len(sets) for sets, _ in blocks) > most_sets * _ENTRY.itemsize
+    place, tables = np.zeros(len(key) if wide else 0, np.int64), []
     while blocks:
         (sets, packed), width = blocks.pop(), widths.pop()
         n = len(packed) // (SIGN_BYTES + width)
         part = key[at : at + n]
         part.view(np.uint8).reshape(n, 8)[:, 8 - SIGN_BYTES :] = np.frombuffer(packed, np.uint8, SIGN_BYTES * n).reshape(n, SIGN_BYTES)
-        part |= np.frombuffer(packed, f"<u{width}", n, SIGN_BYTES * n).astype(np.uint64) + np.uint64(base)
+        own = np.frombuffer(packed, f"<u{width}", n, SIGN_BYTES * n).astype(np.uint64) + np.uint64(base)
+        if wide:
+            place[at : at + n] = own.astype(np.int64)
+        else:
+            part |= own
         tables.append(np.frombuffer(sets, _ENTRY))
         base, at = base + len(tables[-1]), at + n
-    if base > 1 << int(shift):
-        raise ValueError(f"a bucket of {base} sets: BUCKET_SIGNATURES is too large")
     table = np.concatenate(tables)
     del tables
-    key.sort()
+    if wide:
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+    else:
+        key.sort()
     sign = key >> shift
     again = np.zeros(len(sign), bool)
     same = sign[1:] == sign[:-1]
     again[1:] |= same
     again[:-1] |= same
-    sign, code = sign[again], (key[again] & np.uint64((1 << int(shift)) - 1)).astype(np.int64)
+    sign, code = sign[again], place[again] if wide else (key[again] & np.uint64((1 << int(shift)) - 1)).astype(np.int64)
     if not len(sign):
         return
     own = table["set"][code]

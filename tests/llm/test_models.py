@@ -316,3 +316,17 @@ def test_languages_of_long_texts_are_learned(spark):
     model = langid.fit(docs, langid.fold("doc_id", 3) >= 0)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
     assert got == {i: lang for i, _, lang in rows}
+
+
+def test_buckets_of_any_number_of_sets():
+    """Places that do not fit beside the signatures give the same pairs and groups."""
+    rng = np.random.default_rng(2)
+    blocks = []
+    for block in range(5):
+        n = 200
+        sets = np.zeros(n, ngram_join._ENTRY)
+        sets["set"], sets["n"], sets["filled"] = rng.permutation(n) + 150 * block, 40, rng.integers(-12, 13, n)
+        signs = rng.integers(0, 300, 1500).astype(">u8").view(np.uint8).reshape(-1, 8)[:, -ngram_join.SIGN_BYTES :][:, ::-1]
+        blocks.append((sets.tobytes(), np.ascontiguousarray(signs).tobytes() + rng.integers(0, n, 1500).astype("<u2").tobytes()))
+    narrow, wide = ([b.to_pydict() for b in ngram_join._match_bucket(list(blocks), most)] for most in (1 << 24, 10))
+    assert narrow == wide and any(b["members"][0] for b in narrow)
