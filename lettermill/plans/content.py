@@ -183,12 +183,21 @@ def language_distribution(spark, sf):
     return docs.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_METRICS = r"""(SELECT doc_id, source, n AS word_count, e AS sentence_count, round(n / e + 1e-9, 2) AS avg_sentence_length, round(list_sum(list_transform(w, lambda x: length(x))) / n + 1e-9, 2) AS avg_word_length,
+        round(len(list_distinct(w)) / n + 1e-9, 4) AS vocabulary_richness, round((length(body) - length(replace(body, '?', ''))) / e + 1e-9, 4) AS question_frequency,
+        round((length(body) - length(replace(body, '!', ''))) / e + 1e-9, 4) AS exclamation_frequency, round(len(list_filter(w, lambda x: length(x) > 6)) / n + 1e-9, 4) AS formality_score
+    FROM (SELECT *, len(w) AS n, greatest(1, len(list_filter(regexp_split_to_array(regexp_replace(trim(body), '\.{2,}', chr(1), 'g'), '\.\s+|[!?]+\s+|\.$|[!?]+$'), lambda x: trim(x) <> ''))) AS e
+        FROM (SELECT doc_id, source, coalesce(text, '') AS body, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+(?:[''’-]\p{L}+)*') AS w FROM documents))
+    WHERE length(trim(body)) >= 20 AND n >= 5)"""
+
+
+@query(f"SELECT * EXCLUDE (source) FROM {_METRICS}")
 def writing_metrics(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", analysis.writing_metrics(F.col("text")).alias("m")).where("m is not null").select("doc_id", "m.*")
 
 
-@query()
+@query(f"""SELECT source AS folder, count(*) AS emails_analyzed, round(avg(avg_sentence_length), 2) AS avg_sentence_length, round(avg(avg_word_length), 2) AS avg_word_length,
+    round(avg(vocabulary_richness), 4) AS avg_vocabulary_richness, round(avg(formality_score), 4) AS avg_formality, sum(word_count)::BIGINT AS total_words FROM {_METRICS} GROUP BY 1""")
 def sender_profile(spark, sf):
     """Means of the metrics of each sender's texts."""
     rows = A.documents(spark, sf).select("folder", analysis.writing_metrics(F.col("body")).alias("m")).where("m is not null")
