@@ -43,18 +43,28 @@ GRAM, WINDOW = 12, LEAST - 12 + 1
 #: Anchors and short quotes that are sent to every task at once; beyond it anchors are joined, short quotes go in blocks.
 SENT = 2_000_000
 
-_MARKS = str.maketrans(MARKS | LIGATURES)
-_GERMAN = str.maketrans(dict(GERMAN))
+_TYPOGRAPHIC = re.compile("[" + "".join([*MARKS, *LIGATURES]) + "]")
+_PLAIN = MARKS | LIGATURES
 _BROKEN = re.compile(rf"(?<=[^\W_])[{re.escape(HYPHENS)}][ \t]*(?:\r\n|\r|\n)[ \t]*(?=[^\W_])")
-_SPACE, _OTHER = re.compile(r"\s+"), re.compile(r"[^a-zA-Z0-9]+")
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
+def _letters(form: str) -> str:
+    return form.encode("ascii", "ignore").translate(None, _NO_LETTERS).decode()
 
 
 def forms(text: str) -> tuple[str, str, str]:
     """The squeezed form of a text, its letters and digits, and those of the near form."""
-    plain = unicodedata.normalize("NFKC", text).translate(_MARKS)
-    squeezed = _SPACE.sub(" ", plain.strip()).casefold()
-    near = _BROKEN.sub("", plain).casefold().translate(_GERMAN)
-    return squeezed, _OTHER.sub("", squeezed), _OTHER.sub("", near)
+    plain = text if text.isascii() else _TYPOGRAPHIC.sub(lambda m: _PLAIN[m[0]], unicodedata.normalize("NFKC", text))
+    squeezed = " ".join(plain.split()).casefold()
+    letters = _letters(squeezed)
+    joined = _BROKEN.sub("", plain)
+    near = squeezed if joined == plain else joined.casefold()
+    if near.isascii():
+        return squeezed, letters, letters if near is squeezed else _letters(near)
+    for mark, written in GERMAN:
+        near = near.replace(mark, written)
+    return squeezed, letters, _letters(near)
 
 
 def state(quote: tuple[str, str, str], surface: tuple[str, str, str]) -> str:
@@ -75,6 +85,8 @@ def match_state(quote: Column, surface: Column) -> Column:
         known = lru_cache(64)(forms)
         return pd.Series([state(known(q or ""), known(s)) for q, s in zip(quotes, surfaces, strict=True)], dtype=object)
 
+    # computed once, also where a filter on it is pushed down
+    rate = rate.asNondeterministic()
     return F.when(surface.isNull(), "orphaned").otherwise(rate(F.coalesce(quote, F.lit("")), F.coalesce(surface, F.lit(""))))
 
 
