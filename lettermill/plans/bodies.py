@@ -107,12 +107,22 @@ def training_triplets(spark, sf):
     return learning.triplets(A.turns(spark, sf))
 
 
-@query()
+#: Sentences over 10 characters: split where white space follows an end mark and precedes a capital.
+_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) (\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10)"""
+
+
+@query(rf"""WITH s AS (SELECT doc_id, len(s) AS n, unnest(range(len(s))) AS place, unnest(s) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)),
+    t AS (SELECT doc_id, place, n, unnest({_WORDS.format('sentence')}) AS term FROM s), f AS (SELECT doc_id, place, n, term, count(*) AS tf FROM t GROUP BY ALL),
+    w AS (SELECT *, (1 + ln(tf)) * (ln((1 + n) / (1 + count(*) OVER (PARTITION BY doc_id, term))) + 1) AS weight FROM f),
+    r AS (SELECT doc_id, place, round(sum(weight) / sqrt(sum(weight * weight)) * CASE WHEN place = 0 THEN 1.5 WHEN place = n - 1 THEN 1.3 WHEN place = 1 THEN 1.2 ELSE 1.0 END, 9) AS final FROM w GROUP BY doc_id, place, n),
+    p AS (SELECT doc_id, place FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY final DESC, place) <= 3)
+    SELECT doc_id, string_agg(sentence, ' ' ORDER BY place) AS summary FROM p JOIN s USING (doc_id, place) GROUP BY 1""")
 def extractive_summary(spark, sf):
     return learning.summaries(A.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 3)
 
 
-@query()
+@query(f"""SELECT conv_id AS conversation_id, turn, unnest(range(len(s)))::INT AS place, unnest(list_transform(s, lambda x: length(x)))::INT AS chars
+    FROM (SELECT conv_id, turn, {_SENTENCES} AS s FROM conversations)""")
 def thread_summary_sentences(spark, sf):
     rows = A.turns(spark, sf).select("conversation_id", "turn", F.posexplode(text.sentences(F.col("body"))).alias("place", "sentence"))
     return rows.select("conversation_id", "turn", "place", F.length("sentence").alias("chars"))

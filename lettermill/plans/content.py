@@ -183,7 +183,7 @@ def language_distribution(spark, sf):
     return docs.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-_METRICS = r"""(SELECT doc_id, source, n AS word_count, e AS sentence_count, round(n / e + 1e-9, 2) AS avg_sentence_length, round(list_sum(list_transform(w, lambda x: length(x))) / n + 1e-9, 2) AS avg_word_length,
+_METRICS = r"""(SELECT doc_id, source, n::INT AS word_count, e::INT AS sentence_count, round(n / e + 1e-9, 2) AS avg_sentence_length, round(list_sum(list_transform(w, lambda x: length(x))) / n + 1e-9, 2) AS avg_word_length,
         round(len(list_distinct(w)) / n + 1e-9, 4) AS vocabulary_richness, round((length(body) - length(replace(body, '?', ''))) / e + 1e-9, 4) AS question_frequency,
         round((length(body) - length(replace(body, '!', ''))) / e + 1e-9, 4) AS exclamation_frequency, round(len(list_filter(w, lambda x: length(x) > 6)) / n + 1e-9, 4) AS formality_score
     FROM (SELECT *, len(w) AS n, greatest(1, len(list_filter(regexp_split_to_array(regexp_replace(trim(body), '\.{2,}', chr(1), 'g'), '\.\s+|[!?]+\s+|\.$|[!?]+$'), lambda x: trim(x) <> ''))) AS e
