@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import archive as A
-from ..operators import postings, retrieval, similarity
+from ..operators import late, postings, retrieval, similarity
 from ..operators.staging import shared_dir, stage
 from ..sources import vector_store
 from .registry import query
@@ -37,6 +37,36 @@ def knn_filtered(spark, sf):
     return retrieval.nearest(_query_vectors(spark, sf), vectors, 5, decimals=4).select("query_id", "place", "vec_id", "distance")
 
 
+def _tokens_of(vector):
+    """A vector of 64 as eight token vectors of 8."""
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(vector, i * 8 + 1, F.lit(8)))
+
+
+_SLICED = "list_transform(range(8), lambda i: {0}.embedding[i * 8 + 1:i * 8 + 8]::DOUBLE[])"
+
+
+@query(f"""WITH q AS (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1),
+    c AS (SELECT q.label AS query_id, e.vec_id, {_SLICED.format('q')} AS qt, {_SLICED.format('e')} AS dt, row_number() OVER (PARTITION BY q.label ORDER BY {_NEAR}, e.vec_id) AS before FROM q, embeddings e),
+    s AS (SELECT query_id, vec_id, before, round(list_sum(list_transform(qt, lambda a: list_max(list_transform(dt, lambda b: list_dot_product(a, b))))), 6) AS score FROM c WHERE before <= 40)
+    SELECT query_id, vec_id, round(score, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before)::INT AS place FROM s) WHERE place <= 10""")
+def late_interaction(spark, sf):
+    """The 40 nearest of every label's first vector, reranked by the best matches of their parts."""
+    rows = A.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = stage(_query_vectors(spark, sf), "late-asked")
+    near = retrieval.nearest(asked, rows, 40, decimals=4).select("query_id", F.col("vec_id").alias("doc_id"), "place")
+    found = late.maxsim(asked.select("query_id", _tokens_of(F.col("query")).alias("vectors")), near, rows.select(F.col("vec_id").alias("doc_id"), _tokens_of(F.col("embedding")).alias("vectors")), 8, 10)
+    return found.select("query_id", F.col("doc_id").alias("vec_id"), F.round("score", 4).alias("score"), "place")
+
+
+@query()
+def late_interaction_codes(spark, sf):
+    """The ten best of all vectors by late interaction, found through product-quantised codes; recall is measured in the tests."""
+    documents = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), _tokens_of(F.col("embedding")).alias("vectors"))
+    asked = stage(_query_vectors(spark, sf).select("query_id", _tokens_of(F.col("query")).alias("vectors")), "late-asked")
+    books = late.learn(documents, 8, 4)
+    return late.search(asked, documents, stage(late.codes(documents, books), "late-codes"), books, 10)
+
+
 def _stored(spark, sf, folded):
     """A store of all vectors in two commits, with a checkpoint between them if ``folded``; vectors of label 0 are deleted at the end."""
     vector_store.register(spark)
