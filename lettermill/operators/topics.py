@@ -218,8 +218,11 @@ def fit(data: DataFrame, vocabulary: list[str], k: int, rounds: int = ROUNDS, le
     return Topics(used, vocabulary, losses)
 
 
-def weights(data: DataFrame, key: str, topics: Topics, least: float = 0.01) -> DataFrame:
-    """(key, topic, weight): what each text has of each topic, where it is over ``least``."""
+def weights(data: DataFrame, key: str, topics: Topics | None, least: float = 0.01) -> DataFrame:
+    """(key, topic, weight): what each text has of each topic, where it is over ``least``; nothing without topics."""
+    schema = f"{key} {data.schema[key].dataType.simpleString()}, topic int, weight double"
+    if topics is None:
+        return data.sparkSession.createDataFrame([], schema)
     shared = data.sparkSession.sparkContext.broadcast((topics.weights, topics.weights @ topics.weights.T))
 
     def run(batches):
@@ -233,4 +236,4 @@ def weights(data: DataFrame, key: str, topics: Topics, least: float = 0.01) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + low)), pa.array(topic.astype(np.int32)), pa.array(np.round(w[at, topic], 4))], names=[key, "topic", "weight"])
                 low += size
 
-    return data.mapInArrow(run, f"{key} {data.schema[key].dataType.simpleString()}, topic int, weight double")
+    return data.mapInArrow(run, schema)

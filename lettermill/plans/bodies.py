@@ -93,7 +93,7 @@ def topics(spark, sf):
 def topic_terms(spark, sf):
     """The ten heaviest terms of each topic."""
     _, model = _topics(spark, sf)
-    rows = [(number, label, place, term) for number, label, terms in model.top(10) for place, term in enumerate(terms, 1)]
+    rows = [(number, label, place, term) for number, label, terms in (model.top(10) if model else []) for place, term in enumerate(terms, 1)]
     return spark.createDataFrame(rows, "topic int, label string, place int, term string")
 
 

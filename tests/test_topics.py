@@ -79,4 +79,4 @@ def test_sums_in_a_tree(spark):
 def test_too_little_to_fit(spark):
     for rows in ([], [(1, "one text only")], [(1, None), (2, "")]):
         data, vocabulary = topics.matrix(spark.createDataFrame(rows, "id long, body string"), "id", "body")
-        assert topics.fit(data, vocabulary, 3) is None
+        assert topics.fit(data, vocabulary, 3) is None and topics.weights(data, "id", None).count() == 0
