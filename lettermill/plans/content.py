@@ -196,8 +196,8 @@ def writing_metrics(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", analysis.writing_metrics(F.col("text")).alias("m")).where("m is not null").select("doc_id", "m.*")
 
 
-@query(f"""SELECT source AS folder, count(*) AS emails_analyzed, round(avg(avg_sentence_length), 2) AS avg_sentence_length, round(avg(avg_word_length), 2) AS avg_word_length,
-    round(avg(vocabulary_richness), 4) AS avg_vocabulary_richness, round(avg(formality_score), 4) AS avg_formality, sum(word_count)::BIGINT AS total_words FROM {_METRICS} GROUP BY 1""")
+@query(f"""SELECT source AS folder, count(*) AS emails_analyzed, round(avg(avg_sentence_length) + 1e-9, 2) AS avg_sentence_length, round(avg(avg_word_length) + 1e-9, 2) AS avg_word_length,
+    round(avg(vocabulary_richness) + 1e-9, 4) AS avg_vocabulary_richness, round(avg(formality_score) + 1e-9, 4) AS avg_formality, sum(word_count)::BIGINT AS total_words FROM {_METRICS} GROUP BY 1""")
 def sender_profile(spark, sf):
     """Means of the metrics of each sender's texts."""
     rows = A.documents(spark, sf).select("folder", analysis.writing_metrics(F.col("body")).alias("m")).where("m is not null")
