@@ -117,7 +117,9 @@ def infer_parents(children: DataFrame, parents: DataFrame, days: int = 30, accep
     child = children.withColumn("m", F.explode(F.array(block(F.col("date")), block(F.col("date")) - 1)))
     parent = parents.select(*(F.col(c).alias(f"p_{c}") for c in ("uid", "base_subject", "date", "sender_email", "participants", "opening"))).withColumn("p_m", block(F.col("p_date")))
     gap = (F.unix_seconds(F.col("date").cast("timestamp")) - F.unix_seconds(F.col("p_date").cast("timestamp"))) / 3600
-    both = child.join(parent, (F.col("base_subject") == F.col("p_base_subject")) & (F.col("m") == F.col("p_m"))).where((gap > 0) & (gap <= 24 * days) & (F.col("uid") != F.col("p_uid")))
+    # which is earlier is told to the microsecond, so a parent may lie in the same second
+    apart = F.unix_micros(F.col("date").cast("timestamp")) - F.unix_micros(F.col("p_date").cast("timestamp"))
+    both = child.join(parent, (F.col("base_subject") == F.col("p_base_subject")) & (F.col("m") == F.col("p_m"))).where((apart > 0) & (apart <= days * 86_400 * 1_000_000) & (F.col("uid") != F.col("p_uid")))
     hit = lambda test, weight: F.when(F.coalesce(test, F.lit(False)), weight).otherwise(0.0)
     score = (
         F.when(gap <= 72, 0.10).otherwise(0.05)

@@ -188,6 +188,17 @@ def test_parents_across_february(spark):
     assert [tuple(r)[:2] for r in results.infer_parents(children, rows.where("uid = 'p'")).collect()] == [("c", "p")]
 
 
+def test_parents_to_the_microsecond(spark):
+    kinds = "uid string, base_subject string, at string, sender_email string, participants array<string>, opening string"
+    people = ("s", "u@x.com", ["u@x.com"], "")
+    rows = spark.createDataFrame([(uid, people[0], at, *people[1:]) for uid, at in (("c", "2024-01-31 00:00:00.500"), ("same", "2024-01-31 00:00:00.200"), ("late", "2024-01-31 00:00:00.700"))], kinds)
+    rows = rows.withColumn("date", F.col("at").cast("timestamp"))
+    children = rows.where("uid = 'c'").withColumn("reply_from", F.col("sender_email")).withColumn("reply_subject", F.col("base_subject"))
+    assert [tuple(r)[:2] for r in results.infer_parents(children, rows.where("uid <> 'c'")).collect()] == [("c", "same")]
+    edge = rows.where("uid = 'same'").withColumn("date", F.lit("2024-01-01 00:00:00.400").cast("timestamp"))
+    assert results.infer_parents(children, edge).isEmpty()
+
+
 @pytest.mark.parametrize("clustered", [True, False])
 def test_index_recall(spark, clustered):
     rng = np.random.default_rng(5)
