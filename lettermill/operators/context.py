@@ -169,5 +169,6 @@ def display_date(at: Column) -> Column:
 
 
 def display_size(size: Column) -> Column:
-    kilo = F.format_string("%.1f KB", size / 1024)
-    return F.when(size.isNull() | (size < 0), "").when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, kilo).otherwise(F.format_string("%.1f MB", size / (1 << 20)))
+    """Bytes, KB or MB; a tie goes to the even digit, as C's printf does, where Java's rounds it up."""
+    scaled = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(size / unit, 1))
+    return F.when(size.isNull() | (size < 0), "").when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, scaled(1024, "KB")).otherwise(scaled(1 << 20, "MB"))

@@ -199,6 +199,12 @@ def test_parents_to_the_microsecond(spark):
     assert results.infer_parents(children, edge).isEmpty()
 
 
+def test_display_size_ties(spark):
+    sizes = [1023, 1024 + 256, 1024 + 768, 3 * 1024 + 255, (1 << 20) + (1 << 18), (1 << 20) + 3 * (1 << 18), 1048575, None, -1]
+    got = [r[0] for r in spark.createDataFrame([(k, s) for k, s in enumerate(sizes)], "k int, s long").orderBy("k").select(context.display_size(F.col("s"))).collect()]
+    assert got == ["1023 B", *("%.1f KB" % (s / 1024) for s in sizes[1:4]), *("%.1f MB" % (s / (1 << 20)) for s in sizes[4:6]), "1024.0 KB", "", ""]
+
+
 @pytest.mark.parametrize("clustered", [True, False])
 def test_index_recall(spark, clustered):
     rng = np.random.default_rng(5)
