@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,8 +32,8 @@ from .retrieval import EPSILON, K1, B
 from .staging import stage
 
 SLOTS = 4096
-#: Documents sorted in one task; blocks of a query that are scored first.
-ROWS_PER_TASK, FIRST = 100_000, 2
+#: Documents sorted in one task; blocks of a query that are scored first; queries for which a block is read once.
+ROWS_PER_TASK, FIRST, TOGETHER = 100_000, 2, 256
 _POSTING = "term string, block long, n int, low double, high double, slots binary, weights binary"
 
 
@@ -51,6 +52,38 @@ def decode(data: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1), bitorder="little"))
 
 
+def encode_all(slots: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """What ``encode`` gives for each run of slots that begins at an edge, without a call a run."""
+    counts = np.diff(np.r_[edges, len(slots)])
+    listed = counts * 2 < SLOTS // 8
+    offsets = np.r_[0, np.cumsum(np.where(listed, 1 + 2 * counts, 1 + SLOTS // 8))]
+    data = np.zeros(offsets[-1], np.uint8)
+    data[offsets[:-1][~listed]] = 1
+    each, start = np.repeat(listed, counts), np.repeat(offsets[:-1] + 1, counts)
+    at = start[each] + 2 * (np.arange(len(slots)) - np.repeat(edges, counts))[each]
+    data[at], data[at + 1] = slots[each] & 255, slots[each] >> 8
+    np.bitwise_or.at(data, start[~each] + (slots[~each] >> 3), (1 << (slots[~each] & 7)).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def decode_all(coded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of all runs in one array, and how many each run has."""
+    if not len(coded):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    offsets = np.frombuffer(coded.buffers()[1], np.int32, len(coded) + 1, coded.offset * 4).astype(np.int64)
+    data = np.frombuffer(coded.buffers()[2], np.uint8)
+    listed = data[offsets[:-1]] == 0
+    counts = (np.diff(offsets) - 1) // 2
+    bits = np.unpackbits(data[offsets[:-1][~listed, None] + 1 + np.arange(SLOTS // 8)], axis=1, bitorder="little")
+    counts[~listed] = bits.sum(axis=1)
+    each = np.repeat(listed, counts)
+    out, starts = np.zeros(len(each), np.int64), np.cumsum(counts) - counts
+    at = (np.repeat(offsets[:-1] + 1, counts) + 2 * (np.arange(len(each)) - np.repeat(starts, counts)))[each]
+    out[each] = data[at].astype(np.int64) | data[at + 1].astype(np.int64) << 8
+    out[~each] = np.nonzero(bits)[1]
+    return out, counts
+
+
 @dataclass
 class Index:
     """The tables of one version: documents (block, keys, lengths), postings, and how many documents and how long on average."""
@@ -84,37 +117,46 @@ def _build(rows: DataFrame, path: str) -> str:
     name = uuid.uuid4().hex
     rows = stage(rows, "index-rows")
     parts = max(1, -(-rows.count() // ROWS_PER_TASK))
-    sorted_ = rows.repartitionByRange(parts, "length", "key").sortWithinPartitions("length", "key").withColumn("part", F.spark_partition_id().cast("long"))
-
-    def number(batches):
-        seen = 0
-        for batch in batches:
-            place = np.arange(seen, seen + batch.num_rows)
-            seen += batch.num_rows
-            block = (batch.column("part").to_numpy() << 32) + place // SLOTS
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("length"), batch.column("cells"), pa.array(block), pa.array((place % SLOTS).astype(np.int32))], names=["key", "length", "cells", "block", "slot"])
-
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    placed = stage(sorted_.select("key", "length", "cells", "part").mapInArrow(number, f"key {kind['key']}, length int, cells {kind['cells']}, block long, slot int"), "index-placed")
+    sorted_ = rows.repartitionByRange(parts, "length", "key").sortWithinPartitions("length", "key")
+    # the number of the partition stands in the high bits, the row's place in it in the low 33
+    numbered = sorted_.select("key", "length", "cells", F.monotonically_increasing_id().alias("place"))
+    part, place = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stage(numbered.select("key", "length", "cells", (F.shiftleft(part, 32) + F.floor(place / SLOTS)).alias("block"), (place % SLOTS).cast("int").alias("slot")), "index-placed")
     own = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", "key", "length"))).alias("d"))
     own.select("block", F.transform("d", lambda x: x["key"]).alias("keys"), F.transform("d", lambda x: x["length"]).alias("lengths")).write.parquet(f"{path}/segments/{name}/documents")
 
-    def pack(table: pa.Table) -> pa.Table:
-        slot, weight = table.column("slot").to_numpy(), table.column("weight").to_numpy()
-        order = np.argsort(slot)
-        slot, weight, length = slot[order], weight[order], table.column("length").to_numpy()
-        weighted = not np.isnan(weight).any()
-        value = weight if weighted else length
-        one = lambda name: table.column(name).slice(0, 1)
-        return pa.table({
-            "term": one("term"), "block": one("block"), "n": pa.array([len(slot)], pa.int32()), "low": pa.array([float(value.min())]), "high": pa.array([float(value.max())]),
-            "slots": pa.array([encode(slot)], pa.binary()), "weights": pa.array([weight.astype("<f8").tobytes() if weighted else None], pa.binary()),
-        })
+    def packed_rows(rows: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        slot, weight, length = (rows.column(c).to_numpy() for c in ("slot", "weight", "length"))
+        weighted = ~np.logical_or.reduceat(np.isnan(weight), edges)
+        value = np.where(np.repeat(weighted, np.diff(np.r_[edges, len(slot)])), weight, length)
+        weights = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer((np.r_[edges, len(slot)] * 8).astype(np.int32)), pa.py_buffer(weight.astype("<f8"))])
+        first = rows.select(["term", "block"]).take(pa.array(edges)).combine_chunks()
+        return pa.RecordBatch.from_arrays([
+            first.column("term").chunk(0), first.column("block").chunk(0), pa.array(np.diff(np.r_[edges, len(slot)]), pa.int32()), pa.array(np.minimum.reduceat(value, edges)), pa.array(np.maximum.reduceat(value, edges)),
+            encode_all(slot.astype(np.int64), edges), pc.if_else(pa.array(weighted), weights, pa.scalar(None, pa.binary())),
+        ], names=["term", "block", "n", "low", "high", "slots", "weights"])
+
+    def pack(batches):
+        """One row for each run of a term and block in sorted cells; the last run of a batch may go on in the next."""
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            term, block = rows.column("term"), rows.column("block").to_numpy()
+            new = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy() | (block[1:] != block[:-1])
+            edges = np.flatnonzero(np.r_[True, new])
+            if len(edges) > 1:
+                yield packed_rows(rows.slice(0, edges[-1]), edges[:-1])
+            rest = rows.slice(edges[-1])
+        if rest is not None:
+            yield packed_rows(rest, np.zeros(1, np.int64))
 
     cells = placed.select("block", "slot", "length", F.explode("cells").alias("c")).select("block", "slot", "length", F.col("c.term").alias("term"), F.coalesce("c.weight", F.lit(float("nan"))).alias("weight"))
-    packed = cells.groupBy("term", "block").applyInArrow(pack, _POSTING)
     # sorted by term, so that a reader of a few terms skips row groups
-    packed.sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(f"{path}/segments/{name}/postings")
+    packed = cells.repartition("term", "block").sortWithinPartitions("term", "block", "slot").mapInArrow(pack, _POSTING)
+    packed.write.option("compression", "zstd").parquet(f"{path}/segments/{name}/postings")
     return name
 
 
@@ -208,35 +250,50 @@ def search(index: Index, asked: DataFrame, top: int, bm25: bool) -> Found:
     bounds = stage(headers.join(asked, "term").groupBy("query_id", "segment", "block").agg(bound.alias("bound")).where("bound > 0"), "index-bounds")
 
     def score(key, postings: pa.Table, documents: pa.Table) -> pa.Table:
-        total, raw = np.zeros(SLOTS), np.zeros(SLOTS, bool)
-        names, hit = [], np.zeros(0, np.int64)
+        """The best of a block for each query of a batch; the block's postings are read once for all of them."""
+        found = []
         if postings.num_rows and documents.num_rows:
             names = documents.column("keys")[0].values
             length = documents.column("lengths")[0].values.to_numpy()
             # summed in the order of the terms, so that equal documents have equal scores
-            for row in sorted(postings.select(["term", "factor", "raw", "slots", "weights"]).to_pylist(), key=lambda r: r["term"]):
-                slots = decode(row["slots"])
-                total[slots] += row["factor"] * (_impact(length[slots], mean) if bm25 else np.frombuffer(row["weights"], "<f8"))
-                raw[slots] |= row["raw"]
-            total = np.round(total, 6)
-            hit = np.flatnonzero(total > 0)
-            if len(hit) > top:
-                edge = np.partition(total[hit], -top)[-top]
-                hit = hit[total[hit] >= edge]
-        n = len(hit)
-        return pa.table({
-            "query_id": pa.array([key[0].as_py()] * n, asked_type), "key": names.take(pa.array(hit)) if n else pa.nulls(0, key_type), "score": pa.array(total[hit]), "raw": pa.array(raw[hit]),
-        })
+            postings = postings.take(pc.sort_indices(postings.column("term"))).combine_chunks()
+            slots, sizes = decode_all(postings.column("slots").chunk(0))
+            starts = np.cumsum(sizes) - sizes
+            value = _impact(length[slots], mean) if bm25 else np.frombuffer(b"".join(postings.column("weights").to_pylist()), "<f8")
+            asking = postings.column("asking").chunk(0)
+            row = np.repeat(np.arange(len(asking)), np.diff(asking.offsets.to_numpy()))
+            each = asking.flatten()
+            query = each.field("query_id").dictionary_encode()
+            code, factor, raw = query.indices.to_numpy(), each.field("factor").to_numpy(), each.field("raw").to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            edges = np.searchsorted(code[order], np.arange(len(query.dictionary) + 1))
+            for k in range(len(query.dictionary)):
+                own = order[edges[k] : edges[k + 1]]
+                n = sizes[row[own]]
+                at = np.repeat(starts[row[own]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                total = np.round(np.bincount(slots[at], np.repeat(factor[own], n) * value[at], SLOTS), 6)
+                hit = np.flatnonzero(total > 0)
+                if len(hit) > top:
+                    hit = hit[total[hit] >= np.partition(total[hit], -top)[-top]]
+                is_raw = np.bincount(slots[at][np.repeat(raw[own], n)], minlength=SLOTS) > 0
+                found.append(pa.table({"query_id": query.dictionary.take(pa.array([k] * len(hit), pa.int64())), "key": names.take(pa.array(hit)), "score": pa.array(total[hit]), "raw": pa.array(is_raw[hit])}))
+        kind = pa.schema([("query_id", asked_type), ("key", key_type), ("score", pa.float64()), ("raw", pa.bool_())])
+        return pa.concat_tables([t.cast(kind) for t in found]) if found else kind.empty_table()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     asked_type, key_type = to_arrow_type(asked.schema["query_id"].dataType), to_arrow_type(index.documents.schema["keys"].dataType.elementType)
+    queries = max(1, asked.select("query_id").distinct().count())
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= 100_000 else terms
 
     def read(chosen: DataFrame, name: str) -> DataFrame:
         """Scores of the chosen (query_id, segment, block)."""
-        group = ["query_id", "segment", "block"]
-        own = index.postings.drop("n", "low", "high").join(chosen.join(asked, "query_id"), ["term", "segment", "block"])
-        documents = index.documents.join(chosen, ["segment", "block"]).select(*(F.col(c).alias(f"{c}_") for c in group), "keys", "lengths")
+        group = ["segment", "block", "share"]
+        chosen = chosen.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(-(-queries // TOGETHER))).cast("int"))
+        asking = chosen.join(asked, "query_id").groupBy("term", *group).agg(F.collect_list(F.struct("query_id", "factor", "raw")).alias("asking"))
+        own = index.postings.drop("n", "low", "high").join(terms, "term", "left_semi").join(asking, ["term", "segment", "block"])
+        documents = index.documents.join(chosen.select(*group).distinct(), ["segment", "block"]).select(*(F.col(c).alias(f"{c}_") for c in group), "keys", "lengths")
         scored = own.groupBy(*group).cogroup(documents.groupBy(*(f"{c}_" for c in group))).applyInArrow(score, f"query_id {query_kind}, key {key_kind}, score double, raw boolean")
         return stage(scored, name)
 

@@ -82,3 +82,33 @@ def test_a_failed_addition_changes_nothing(spark, monkeypatch):
         postings.add(path, indexed_again)
     assert postings.open_index(spark, path).size == 20
     assert postings.open_index(spark, path + "-absent") is None
+
+
+def test_runs_are_coded_together():
+    rng = np.random.default_rng(3)
+    runs = [np.sort(rng.choice(postings.SLOTS, n, replace=False)) for n in (1, 2, 255, 256, 257, 4096, 1, 3000, 3)]
+    edges = np.cumsum([0, *map(len, runs)])[:-1]
+    coded = postings.encode_all(np.concatenate(runs), edges)
+    assert coded.to_pylist() == [postings.encode(r) for r in runs]
+    for part in (slice(0, 9), slice(2, 7), slice(4, 5), slice(0, 0)):
+        slots, counts = postings.decode_all(coded[part.start : part.stop])
+        assert counts.tolist() == [len(r) for r in runs[part]] and np.array_equal(slots, np.concatenate([np.zeros(0, np.int64), *runs[part]]))
+
+
+def test_runs_go_on_over_batches(spark, tmp_path, monkeypatch):
+    """No call a posting: a task's cells come in batches, whose borders do not show in the index."""
+    rows = spark.range(300).selectExpr("id AS key", "array(named_struct('term', 'all', 'weight', cast(id + 1 AS double)), named_struct('term', cast(id AS string), 'weight', 2.0D)) AS cells")
+    kept = []
+    for size in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        postings.add(f"{tmp_path}/{size}", rows)
+        index = postings.open_index(spark, f"{tmp_path}/{size}")
+        kept.append(sorted(tuple(r) for r in index.postings.select("term", "block", "n", "low", "high", "slots", "weights").collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert kept[0] == kept[1] and len(kept[0]) == 301 and ("all", 0, 300, 1.0, 300.0) in [r[:5] for r in kept[0]]
+    plans = []
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda *a, **k: plans.append(a))
+    postings.add(f"{tmp_path}/7", rows)
+    assert not plans
