@@ -21,11 +21,15 @@ similarity is at least 0.75, so they differ in at most (|R| + |S|) / 7 elements.
 Signatures travel as packed binary blocks to buckets, are sorted there, and give
 pairs with the number of segments they share.  A pair must share at least (filled
 segments - possible differences), which discards nearly all pairs that only have
-a common passage, before any set is read.  Signatures that more than ``HOT`` sets
-have are not paired: a set has more filled segments than it needs, so its most
-frequent ones are left out first (a pair still meets in the others); where hot
-ones are needed they connect the sets with one pivot each, and only sets that end
-in different components are compared further, in blocks through an inverted index.
+a common passage, before any set is read.  Signatures of more than two sets are not
+paired at first, but one row each, and equal groups are one.  They connect each set
+with one pivot; once these stars are verified, a group gives the pairs whose ends are
+in different components, so a family of copies that the stars join gives none.
+Signatures that more than ``HOT`` sets have are never paired: a set has more filled
+segments than it needs, so its most frequent ones are left out first (a pair still
+meets in the others); where hot ones are needed they connect the sets with one pivot
+each, and only sets that end in different components are compared further, in blocks
+through an inverted index.
 
 Pairs are compared a bundle of connected candidates at a time, so that each set
 travels once: first as a bitmap of the bins it fills, where too many bins that only
@@ -51,7 +55,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -225,12 +229,12 @@ def _sign(buckets: int):
     return run
 
 
-_MATCH = "kind int, doc_id long, set_id long, n int, other long, shared int, need int, members array<long>, slacks array<int>"
+_MATCH = "kind int, doc_id long, set_id long, n int, other long, shared int, need int, members array<long>, slacks array<int>, sizes array<int>"
 _MATCH_ARROW = pa.schema([
     ("kind", pa.int32()), ("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("other", pa.int64()), ("shared", pa.int32()), ("need", pa.int32()),
-    ("members", pa.list_(pa.int64())), ("slacks", pa.list_(pa.int32())),
+    ("members", pa.list_(pa.int64())), ("slacks", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())),
 ])
-DOCUMENT, PAIR, GROUP = 0, 1, 2
+DOCUMENT, PAIR, GROUP, CLIQUE = 0, 1, 2, 3
 
 
 def _rows(kind: int, rows: int, **columns) -> pa.RecordBatch:
@@ -256,8 +260,24 @@ def _shared(sets: np.ndarray, size: np.ndarray, filled: np.ndarray, a: np.ndarra
     return _grouped(sets[a], sets[b], np.ones(len(a), np.int64), np.maximum(1, need))
 
 
+def _cliques(sets: np.ndarray, size: np.ndarray, filled: np.ndarray) -> pa.RecordBatch:
+    """Groups of one size, a row each: named by their sets and roles, ``shared`` counts the signatures of equal groups, the slacks are what their sets fill."""
+    g = sets.shape[1]
+    name = np.full(len(sets), g, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(g):
+            name = mix((name ^ sets[:, j].astype(np.uint64)) * _ODD + filled[:, j].astype(np.int64).astype(np.uint64))
+    name, first, times = np.unique(name, return_index=True, return_counts=True)
+    ends = pa.array(np.arange(len(first) + 1, dtype=np.int32) * g)
+    lists = lambda x, kind: pa.ListArray.from_arrays(ends, pa.array(x[first].ravel().astype(kind)))
+    return _rows(
+        CLIQUE, len(first), set_id=pa.array(name.view(np.int64)), n=pa.array(np.full(len(first), g, np.int32)), shared=pa.array(times, pa.int32()),
+        members=lists(sets, np.int64), slacks=lists(np.abs(filled), np.int32), sizes=lists(size, np.int32),
+    )
+
+
 def _match(batches):
-    """Documents pass; the signatures of each bucket become pairs with counts, and groups of more than ``HOT`` sets."""
+    """Documents pass; the signatures of each bucket become pairs with counts, groups of a few sets, and groups of more than ``HOT``."""
     held: dict[int, list[tuple[bytes, bytes]]] = {}
     for batch in batches:
         plain = batch.filter(pc.is_null(batch.column(1)))
@@ -313,20 +333,20 @@ def _match_bucket(blocks: list[tuple[bytes, bytes]], most_sets: int = 1 << (8 *
     count = np.diff(np.r_[edge, len(sign)])
     size, filled, lower = table["n"].astype(np.int64), np.abs(table["filled"]).astype(np.int64), table["filled"] < 0
 
-    found = []
-    for g in range(2, HOT + 1):
-        i, j = np.triu_indices(g, 1)
-        starts = edge[count == g]
-        step = max(1, PAIRS_AT_ONCE // len(i))
-        for low in range(0, len(starts), step):
-            grid = starts[low : low + step, None] + np.arange(g)
-            found.append(_shared(table["set"], size, filled, code[grid[:, i]].ravel(), code[grid[:, j]].ravel()))
+    two = edge[count == 2]
+    found = [_shared(table["set"], size, filled, code[part], code[part + 1]) for part in (two[low : low + PAIRS_AT_ONCE] for low in range(0, len(two), PAIRS_AT_ONCE))]
     if found:
         x, y, shared, need = (np.concatenate(c) for c in zip(*found, strict=True))
         x, y, shared, need = _grouped(x, y, shared, need)
         for low in range(0, len(x), 100_000):
             part = slice(low, low + 100_000)
             yield _rows(PAIR, len(x[part]), set_id=pa.array(x[part]), other=pa.array(y[part]), shared=pa.array(shared[part], pa.int32()), need=pa.array(need[part], pa.int32()))
+    for g in range(3, HOT + 1):
+        starts = edge[count == g]
+        step = max(1, PAIRS_AT_ONCE // g)
+        for low in range(0, len(starts), step):
+            grid = starts[low : low + step, None] + np.arange(g)
+            yield _cliques(own[grid], size[code[grid]], table["filled"][code[grid]])
     # how many of its filled segments a set can leave out, 0 where it has none to spare
     most = np.where(lower, 2 * size // 7, size // 3)
     slack = np.maximum(0, filled - most - 1)
@@ -506,34 +526,95 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     members = found.where(F.col("kind") == DOCUMENT).select("doc_id", "set_id", "n")
     groups = found.where(F.col("kind") == GROUP).select("set_id", "n", "members", "slacks")
+    cliques = found.where(F.col("kind") == CLIQUE).groupBy(F.col("set_id").alias("name"))
+    cliques = stage(cliques.agg(F.sum("shared").alias("shared"), *(F.first(c).alias(c) for c in ("members", "slacks", "sizes"))), "join-cliques")
     pairs = found.where(F.col("kind") == PAIR).groupBy(F.col("set_id").alias("a"), F.col("other").alias("b")).agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
-    hot = None
+    pairs, hot, per_set = stage(pairs, "join-twos"), None, None
     if not groups.isEmpty():
         hot = stage(_needed_groups(groups), "join-hot")
         per_set = stage(groups.select(F.explode("members").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("hot")), "join-hot-sets")
         if per_set.count() <= MAX_BROADCAST:
             per_set = F.broadcast(per_set)
-        for side in ("a", "b"):
-            pairs = pairs.join(per_set.select(F.col("node").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
-        pairs = pairs.withColumn("need", F.col("need") - F.greatest(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))))
-    pairs = stage(pairs.where("shared >= need").select("a", "b"), "join-pairs")
 
-    ends = pairs.select("a").union(pairs.select("b"))
+    stars = _likely(_spokes(cliques), per_set).groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    first = _likely(pairs, per_set).select("a", "b").union(stars)
+    ends = None
     if hot is not None:
         # a pivot a hot group, and for each set the pivot it meets most often: the rest of the groups is compared later
         pivot = stage(hot.groupBy("sign").agg(F.min("node").alias("a")), "join-pivot")
         met = hot.join(pivot, "sign").where("a <> node").groupBy(F.col("node").alias("b"), "a").agg(F.count(F.lit(1)).alias("times"))
-        stars = met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        pairs = stage(pairs.union(stars).distinct(), "join-pairs")
-        ends = ends.union(hot.select("node"))
-    wanted = ends.select(F.col("a").alias("set_id")).distinct().join(members, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    sets = _with_sets(docs, stage(wanted, "join-wanted"), words)
-    roots = components(_verified(pairs, sets))
+        first = first.union(met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
+        ends = hot.select(F.col("node").alias("set_id"))
+    first = stage(first.distinct(), "join-pairs")
+    ends = _ends(first) if ends is None else _ends(first).union(ends)
+    sets = _with_sets(docs, _wanted(ends, members), words)
+    roots = components(_verified(first, sets))
+
+    rest = _likely(_apart(pairs, cliques, roots), per_set).select("a", "b")
+    rest = stage(rest.join(first, ["a", "b"], "left_anti"), "join-rest")
+    if not rest.isEmpty():
+        ends = stage(_ends(rest).distinct(), "join-rest-sets")
+        new = _wanted(ends.join(sets.select("set_id"), "set_id", "left_anti"), members)
+        late = sets.join(small(ends, MAX_BROADCAST), "set_id", "left_semi")
+        if not new.isEmpty():
+            late = late.union(_with_sets(docs, new, words))
+        roots = _merged(roots, _verified(rest, late))
     if hot is not None:
         roots = _merged(roots, stage(_hot_links(hot, roots, sets), "join-links"))
     return _labelled(members, roots)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
+
+
+def _wanted(ends: DataFrame, members: DataFrame) -> DataFrame:
+    """(set_id, doc_id): a document of each of the sets."""
+    return stage(ends.distinct().join(members, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "join-wanted")
+
+
+def _likely(pairs: DataFrame, per_set: DataFrame | None) -> DataFrame:
+    """The pairs (a, b, shared, need) that share what a link needs, but for the hot signatures (node, hot) that they may share besides."""
+    if per_set is not None:
+        for side in ("a", "b"):
+            pairs = pairs.join(per_set.select(F.col("node").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
+        pairs = pairs.withColumn("need", F.col("need") - F.greatest(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))))
+    return pairs.where("shared >= need")
+
+
+def _fits(x: str, y: str) -> Column:
+    """Whether the sizes of two members allow a link."""
+    return 4 * F.least(f"{x}.sizes", f"{y}.sizes") >= 3 * F.greatest(f"{x}.sizes", f"{y}.sizes")
+
+
+def _met(each: DataFrame) -> DataFrame:
+    """(a, b, shared, need) from pairs of members (x, y) and how many signatures each pair shares."""
+    differ = F.floor((F.col("x.sizes") + F.col("y.sizes")) / 7)
+    need = F.when((F.col("x.slacks") > 0) & (F.col("y.slacks") > 0), F.greatest(F.lit(1), F.greatest("x.slacks", "y.slacks") - differ)).otherwise(1)
+    return each.select(F.col("x.members").alias("a"), F.col("y.members").alias("b"), "shared", need.alias("need")).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+
+
+def _spokes(cliques: DataFrame) -> DataFrame:
+    """The pairs of each group's smallest set with its others."""
+    zipped = F.arrays_zip("members", "slacks", "sizes")
+    each = cliques.select("shared", zipped[0].alias("x"), F.explode(F.slice(zipped, 2, HOT)).alias("y"))
+    return _met(each.where(_fits("x", "y")))
+
+
+def _apart(pairs: DataFrame, cliques: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs, those of groups included, whose ends are in different components."""
+    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    two = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "shared", "need")
+    root = F.coalesce("root", "node")
+    met = cliques.select("name", F.explode("members").alias("node")).join(roots, "node", "left").groupBy("name").agg(F.min(root).alias("low"), F.max(root).alias("high"))
+    split = stage(cliques.join(met.where("low <> high").select("name"), "name", "left_semi"), "join-split")
+    each = split.select("name", "shared", F.explode(F.arrays_zip("members", "slacks", "sizes")).alias("x")).withColumn("node", F.col("x.members")).join(roots, "node", "left")
+    placed = each.groupBy("name", "shared").agg(F.collect_list(F.struct("x.*", root.alias("root"))).alias("all"))
+    drawn = placed.select("shared", "all", F.explode("all").alias("x"))
+    drawn = drawn.select("shared", "x", F.explode(F.filter("all", lambda y: (y["members"] > F.col("x.members")) & (y["root"] != F.col("x.root")))).alias("y"))
+    return two.unionByName(_met(drawn.where(_fits("x", "y")))).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+
+
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` after further links, which are drawn between components only."""
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))

@@ -330,3 +330,24 @@ def test_buckets_of_any_number_of_sets():
         blocks.append((sets.tobytes(), np.ascontiguousarray(signs).tobytes() + rng.integers(0, n, 1500).astype("<u2").tobytes()))
     narrow, wide = ([b.to_pydict() for b in ngram_join._match_bucket(list(blocks), most)] for most in (1 << 24, 10))
     assert narrow == wide and any(b["members"][0] for b in narrow)
+
+
+def test_a_family_of_copies_gives_no_pair_of_each_two(spark, monkeypatch):
+    """Groups of up to HOT sets meet by a pivot: what is compared stays in proportion to the sets."""
+    compared = []
+    verified = ngram_join._verified
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    rng = random.Random(5)
+    lexicon = [f"t{i}" for i in range(3000)]
+    rows = []
+    for _ in range(12):
+        base = rng.choices(lexicon, k=150)
+        rows += [" ".join(mutated(rng, base, 2, lexicon)) for _ in range(30)]
+    rows = list(enumerate(rows))
+    assert Counter(tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_join(rows)
+    assert sum(compared) < 3 * len(rows)  # each two of a family: 12 * 435
