@@ -32,34 +32,51 @@ MOST_TERMS, ROUNDS, INNER, LEAST_FALL = 10_000, 60, 50, 1e-3
 TINY, PIECE = 1e-12, 1 << 14
 
 
-def terms_of(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Words of two characters and more that are no stop words (English ones unless given), and the pairs of neighbours among them."""
+def words_of(text: Column, stop_words: list[str] | None = None) -> Column:
+    """Words of two characters and more that are no stop words (English ones unless given)."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     stop_words = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
-    kept = F.filter(found, lambda w: ~w.isin(*stop_words))
-    pairs = F.when(F.size(kept) > 1, F.zip_with(F.slice(kept, 1, F.size(kept) - 1), F.slice(kept, 2, F.size(kept) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(kept, pairs)
+    return F.filter(found, lambda w: ~w.isin(*stop_words))
+
+
+def terms_of(words: Column) -> Column:
+    """The words and the pairs of neighbours among them; as each is read several times, ``words`` should be a column of a staged table."""
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    return F.concat(words, pairs)
 
 
 def matrix(rows: DataFrame, key: str, text: str, most_terms: int = MOST_TERMS, stop_words: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """(key, cells: terms as numbers, weights: unit length) of the texts that have a term, and the vocabulary in order.
 
     Rows that share a key are one text.  A weight is (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), divided by the row's length.
+    Texts are cut into words once; only the terms of the vocabulary are counted by text.
     """
     valid = rows.where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0)
-    counted = valid.select(key, F.explode(terms_of(F.col(text), stop_words)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = stage(counted, "topic-counts")
+    words = stage(valid.select(key, words_of(F.col(text), stop_words).alias("words")), "topic-words")
     # the most frequent terms are numbered in order of their letters
-    used = counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(most_terms).collect()
+    used = words.select(F.explode(terms_of(F.col("words"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "term").limit(most_terms).collect()
     vocabulary = sorted(r["term"] for r in used)
-    frequency, number = {r["term"]: r["df"] for r in used}, {t: i for i, t in enumerate(vocabulary)}
-    n = valid.select(key).distinct().count()
-    idf = rows.sparkSession.createDataFrame([(t, number[t], float(np.log((1 + n) / (1 + frequency[t])) + 1)) for t in vocabulary], "term string, cell int, idf double")
-    weighed = counted.join(F.broadcast(idf), "term").select(key, "cell", ((1 + F.log("tf")) * F.col("idf")).alias("weight"))
-    cells = weighed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("cell", "weight"))).alias("c"))
-    length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
-    unit = cells.withColumn("length", length).select(key, F.transform("c", lambda x: x["cell"]).alias("cells"), F.transform("c", lambda x: x["weight"] / F.col("length")).alias("weights"))
-    return stage(unit, "topic-matrix"), vocabulary
+    numbers = rows.sparkSession.createDataFrame(list(zip(vocabulary, range(len(vocabulary)), strict=True)), "term string, cell int")
+    cells = words.select(key, F.explode(terms_of(F.col("words"))).alias("term")).join(F.broadcast(numbers), "term").select(key, "cell")
+    # dealt by key once, for both aggregations
+    counted = cells.repartition(key).groupBy(key, "cell").agg(F.count(F.lit(1)).alias("tf")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("cell", "tf"))).alias("c"))
+    counted = stage(counted.select(key, F.col("c.cell").alias("cells"), F.col("c.tf").alias("tfs")), "topic-counts")
+    n, df = words.select(key).distinct().count(), np.zeros(len(vocabulary))
+    for r in counted.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("df")).collect():
+        df[r["cell"]] = r["df"]
+    idf = rows.sparkSession.sparkContext.broadcast(np.log((1 + n) / (1 + df)) + 1)
+
+    def weigh(batches):
+        for batch in batches:
+            cells, tfs = batch.column(1), batch.column(2)
+            sizes = np.diff(cells.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            weight = (1 + np.log(tfs.flatten().to_numpy())) * idf.value[cells.flatten().to_numpy()]
+            weight /= np.sqrt(np.bincount(row, weight * weight, minlength=batch.num_rows))[row]
+            offsets = pa.array(np.cumsum(np.r_[0, sizes]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), cells, pa.ListArray.from_arrays(offsets, pa.array(weight))], names=[key, "cells", "weights"])
+
+    return stage(counted.mapInArrow(weigh, f"{key} {rows.schema[key].dataType.simpleString()}, cells array<int>, weights array<double>"), "topic-matrix"), vocabulary
 
 
 def _blocks(batch: pa.RecordBatch, terms: int, most: int = 2048):
@@ -73,11 +90,7 @@ def _blocks(batch: pa.RecordBatch, terms: int, most: int = 2048):
 
 def _times(row: np.ndarray, cell: np.ndarray, worth: np.ndarray, n: int, right: np.ndarray) -> np.ndarray:
     """The sparse block (n, terms) times ``right`` (terms, k)."""
-    out = np.zeros((n, right.shape[1]))
-    edges = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
-    if len(row):
-        out[row[edges]] = np.add.reduceat(worth[:, None] * right[cell], edges, axis=0)
-    return out
+    return np.stack([np.bincount(row, worth * column[cell], minlength=n) for column in np.ascontiguousarray(right.T)], axis=1)
 
 
 def _transposed(row: np.ndarray, cell: np.ndarray, worth: np.ndarray, left: np.ndarray, terms: int) -> np.ndarray:

@@ -80,3 +80,17 @@ def test_too_little_to_fit(spark):
     for rows in ([], [(1, "one text only")], [(1, None), (2, "")]):
         data, vocabulary = topics.matrix(spark.createDataFrame(rows, "id long, body string"), "id", "body")
         assert topics.fit(data, vocabulary, 3) is None and topics.weights(data, "id", None).count() == 0
+
+
+def test_no_row_for_each_term_of_a_text(spark, monkeypatch):
+    """Staged tables have a row a text; terms outside the vocabulary never travel by text."""
+    staged, stage = [], topics.stage
+
+    def kept(df, name):
+        out = stage(df, name)
+        staged.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(topics, "stage", kept)
+    data, vocabulary = topics.matrix(spark.createDataFrame([*corpus(), (0, "ship ship"), (None, "ship sail")], "id long, body string"), "id", "body", 10)
+    assert data.count() == 91 and all(n <= 92 for _, n in staged), staged
