@@ -103,17 +103,27 @@ def language_shares(rows: DataFrame, key: str, text: str, stop_words: dict[str,
 def writing_metrics(text: Column) -> Column:
     """struct of sentence, word and style measures; null for texts under 20 characters or 5 words."""
     body = F.coalesce(text, F.lit(""))
+    ratio = lambda x, y, places: F.round(x / y, places)
+
+    # each text is cut once, and its words and sentences are bound to what counts them
+    def measured(parts: Column) -> Column:
+        words, ends, n = parts["words"], parts["ends"], F.size(parts["words"])
+        sums = F.aggregate(words, F.struct(F.lit(0).alias("chars"), F.lit(0).alias("long")), lambda a, w: F.struct((a["chars"] + F.length(w)).alias("chars"), (a["long"] + (F.length(w) > 6).cast("int")).alias("long")))
+        counted = lambda s: F.struct(
+            n.alias("word_count"), ends.alias("sentence_count"), ratio(n, ends, 2).alias("avg_sentence_length"), ratio(s["chars"], n, 2).alias("avg_word_length"),
+            ratio(F.size(F.array_distinct(words)), n, 4).alias("vocabulary_richness"), ratio(F.regexp_count(body, F.lit(r"\?")), ends, 4).alias("question_frequency"),
+            ratio(F.regexp_count(body, F.lit("!")), ends, 4).alias("exclamation_frequency"), ratio(s["long"], n, 4).alias("formality_score"),
+        )
+        return F.when(n >= 5, bind(sums, counted))
+
     words = F.regexp_extract_all(F.lower(body), F.lit(r"\p{L}+(?:['’-]\p{L}+)*"), F.lit(0))
-    n = F.size(words)
     ends = F.greatest(F.lit(1), F.size(F.filter(F.split(F.trim(body), r"(?<!\.)\.(?!\.)\s+|[!?]+\s+|(?<!\.)\.(?!\.)$|[!?]+$"), lambda s: F.trim(s) != "")))
-    ratio = lambda x, y, places: F.round(x / y, places)
-    chars = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    found = F.struct(
-        n.alias("word_count"), ends.alias("sentence_count"), ratio(n, ends, 2).alias("avg_sentence_length"), ratio(chars, n, 2).alias("avg_word_length"),
-        ratio(F.size(F.array_distinct(words)), n, 4).alias("vocabulary_richness"), ratio(F.regexp_count(body, F.lit(r"\?")), ends, 4).alias("question_frequency"),
-        ratio(F.regexp_count(body, F.lit("!")), ends, 4).alias("exclamation_frequency"), ratio(F.size(F.filter(words, lambda w: F.length(w) > 6)), n, 4).alias("formality_score"),
-    )
-    return F.when((F.length(F.trim(body)) >= 20) & (n >= 5), found)
+    return F.when(F.length(F.trim(body)) >= 20, bind(F.struct(words.alias("words"), ends.alias("ends")), measured))
+
+
+def measured(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, measures...) of the texts that have them; made by an outer generator, as a filter on the measures or on its array would compute them again."""
+    return rows.select(key, F.inline_outer(F.array(writing_metrics(F.col(text))))).where("word_count is not null")
 
 
 def _trim_url(url: Column) -> Column:

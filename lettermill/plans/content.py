@@ -193,17 +193,17 @@ _METRICS = r"""(SELECT doc_id, source, n::INT AS word_count, e::INT AS sentence_
 
 @query(f"SELECT * EXCLUDE (source) FROM {_METRICS}")
 def writing_metrics(spark, sf):
-    return A.table(spark, sf, "documents").select("doc_id", analysis.writing_metrics(F.col("text")).alias("m")).where("m is not null").select("doc_id", "m.*")
+    return analysis.measured(A.table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(f"""SELECT source AS folder, count(*) AS emails_analyzed, round(avg(avg_sentence_length) + 1e-9, 2) AS avg_sentence_length, round(avg(avg_word_length) + 1e-9, 2) AS avg_word_length,
     round(avg(vocabulary_richness) + 1e-9, 4) AS avg_vocabulary_richness, round(avg(formality_score) + 1e-9, 4) AS avg_formality, sum(word_count)::BIGINT AS total_words FROM {_METRICS} GROUP BY 1""")
 def sender_profile(spark, sf):
     """Means of the metrics of each sender's texts."""
-    rows = A.documents(spark, sf).select("folder", analysis.writing_metrics(F.col("body")).alias("m")).where("m is not null")
+    rows = analysis.measured(A.documents(spark, sf), "folder", "body")
     return rows.groupBy("folder").agg(
-        F.count(F.lit(1)).alias("emails_analyzed"), F.round(F.avg("m.avg_sentence_length"), 2).alias("avg_sentence_length"), F.round(F.avg("m.avg_word_length"), 2).alias("avg_word_length"),
-        F.round(F.avg("m.vocabulary_richness"), 4).alias("avg_vocabulary_richness"), F.round(F.avg("m.formality_score"), 4).alias("avg_formality"), F.sum("m.word_count").alias("total_words"),
+        F.count(F.lit(1)).alias("emails_analyzed"), F.round(F.avg("avg_sentence_length"), 2).alias("avg_sentence_length"), F.round(F.avg("avg_word_length"), 2).alias("avg_word_length"),
+        F.round(F.avg("vocabulary_richness"), 4).alias("avg_vocabulary_richness"), F.round(F.avg("formality_score"), 4).alias("avg_formality"), F.sum("word_count").alias("total_words"),
     )
 
 

@@ -397,3 +397,13 @@ def test_sinks(spark, tmp_path):
     from xml.etree import ElementTree
 
     assert len(ElementTree.parse(tmp_path / "g.xml").getroot()) == 2
+
+
+def test_writing_metrics_cut_a_text_once(spark):
+    """The word pattern stands once in the plan: neither a filter nor a measure cuts the text again."""
+    from lettermill.functions import analysis
+
+    rows = spark.createDataFrame([(1, "One two three four five six. Seven?"), (2, "short"), (3, None), (4, "1 2 3 4 5 6 7 8 9 10 11 12")], "id int, text string")
+    found = analysis.measured(rows, "id", "text")
+    assert [(r["id"], r["word_count"], r["sentence_count"], r["formality_score"]) for r in found.collect()] == [(1, 7, 2, 0.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower(") == 1
