@@ -536,8 +536,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         if per_set.count() <= MAX_BROADCAST:
             per_set = F.broadcast(per_set)
 
-    stars = _likely(_spokes(cliques), per_set).groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    first = _likely(pairs, per_set).select("a", "b").union(stars)
+    first = _best(_spokes(cliques), per_set).union(_best(pairs, per_set))
     ends = None
     if hot is not None:
         # a pivot a hot group, and for each set the pivot it meets most often: the rest of the groups is compared later
@@ -582,6 +581,34 @@ def _likely(pairs: DataFrame, per_set: DataFrame | None) -> DataFrame:
     return pairs.where("shared >= need")
 
 
+def _best(pairs: DataFrame, per_set: DataFrame | None) -> DataFrame:
+    """For each set the pair (a, b) that shares most, if it is likely: a row a set, however many pairs it is in."""
+    best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a", "need")).alias("best"))
+    return _likely(best.select("best.a", "b", "best.shared", "best.need"), per_set).select("a", "b")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components; the roots of up to ``MAX_BROADCAST`` sets go to every task, so no pair is joined to be dropped."""
+    if roots.count() > MAX_BROADCAST:
+        ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        return pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "shared", "need")
+    table = roots.select("node", "root").toArrow().sort_by("node")
+    known = pairs.sparkSession.sparkContext.broadcast((table.column("node").to_numpy(), table.column("root").to_numpy()))
+
+    def run(batches):
+        nodes, tops = known.value
+        for batch in batches:
+            ends = []
+            for c in (0, 1):
+                x = batch.column(c).to_numpy()
+                at = np.minimum(np.searchsorted(nodes, x), max(0, len(nodes) - 1))
+                ends.append(np.where(nodes[at] == x, tops[at], x) if len(nodes) else x)
+            yield batch.filter(pa.array(ends[0] != ends[1]))
+
+    each = pairs.select("a", "b", "shared", "need")
+    return each.mapInArrow(run, each.schema)
+
+
 def _fits(x: str, y: str) -> Column:
     """Whether the sizes of two members allow a link."""
     return 4 * F.least(f"{x}.sizes", f"{y}.sizes") >= 3 * F.greatest(f"{x}.sizes", f"{y}.sizes")
@@ -603,8 +630,7 @@ def _spokes(cliques: DataFrame) -> DataFrame:
 
 def _apart(pairs: DataFrame, cliques: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs, those of groups included, whose ends are in different components."""
-    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    two = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "shared", "need")
+    two = _between(pairs, roots)
     root = F.coalesce("root", "node")
     met = cliques.select("name", F.explode("members").alias("node")).join(roots, "node", "left").groupBy("name").agg(F.min(root).alias("low"), F.max(root).alias("high"))
     split = stage(cliques.join(met.where("low <> high").select("name"), "name", "left_semi"), "join-split")

@@ -351,3 +351,15 @@ def test_a_family_of_copies_gives_no_pair_of_each_two(spark, monkeypatch):
     rows = list(enumerate(rows))
     assert Counter(tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_join(rows)
     assert sum(compared) < 3 * len(rows)  # each two of a family: 12 * 435
+
+
+def test_pairs_inside_components_are_dropped_before_any_join(spark, monkeypatch):
+    """Each set gives one pair of two to the first verification, and only ends in different components give more, by broadcast or by joins."""
+    pairs = spark.createDataFrame([(a, b, 3 + (a == b - 1), 1) for a in range(12) for b in range(a + 1, 12)], "a long, b long, shared long, need int")
+    assert sorted(map(tuple, ngram_join._best(pairs, None).collect())) == [(b - 1, b) for b in range(1, 12)]
+    roots = spark.createDataFrame([(k, 0) for k in range(1, 6)] + [(k, 6) for k in range(7, 11)], "node long, root long")
+    apart = {(a, b) for a in range(12) for b in range(a + 1, 12) if (a < 6, a == 11) != (b < 6, b == 11)}
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(ngram_join, "MAX_BROADCAST", most)
+        assert {(r["a"], r["b"]) for r in ngram_join._between(pairs, roots).collect()} == apart
+    assert ngram_join._between(pairs, roots.limit(0)).count() == 66
