@@ -23,7 +23,7 @@ pairs with the number of segments they share.  A pair must share at least (fille
 segments - possible differences), which discards nearly all pairs that only have
 a common passage, before any set is read.  Signatures of more than two sets are not
 paired at first, but one row each, and equal groups are one.  They connect each set
-with one pivot; once these stars are verified, a group gives the pairs whose ends are
+with one pivot; once these stars are verified and hot signatures compared (below), a group gives the pairs whose ends are
 in different components, so a family of copies that the stars join gives none.
 Signatures that more than ``HOT`` sets have are never paired: a set has more filled
 segments than it needs, so its most frequent ones are left out first (a pair still
@@ -421,24 +421,31 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return sets if once else stage(sets.dropDuplicates(["set_id"]), "join-sets")
 
 
+def _find(root: dict[int, int], x: int) -> int:
+    while root.setdefault(x, x) != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def _join_roots(root: dict[int, int], a: int, b: int) -> bool:
+    """Whether a and b were in different trees, which are one now."""
+    a, b = _find(root, a), _find(root, b)
+    root[b] = a
+    return a != b
+
+
 def _verify_bundle(table: pa.Table) -> pa.Table:
     """A spanning forest of the links among the candidate pairs of a bundle."""
     root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     nodes, others, raw = (table.column(c).to_pylist() for c in ("node", "other", "data"))
     sets = {n: np.frombuffer(x, np.uint64) for n, o, x in zip(nodes, others, raw, strict=True) if o is None}
     links = []
     for a, b in sorted((n, o) for n, o in zip(nodes, others, strict=True) if o is not None):
-        if find(a) != find(b):
+        if _find(root, a) != _find(root, b):
             both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
             if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                root[find(b)] = find(a)
+                _join_roots(root, a, b)
                 links.append((a, b))
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
@@ -548,6 +555,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     ends = _ends(first) if ends is None else _ends(first).union(ends)
     sets = _with_sets(docs, _wanted(ends, members), words)
     roots = components(_verified(first, sets))
+    if hot is not None:
+        # before any group gives pairs: a family of copies that no star joins is found here, without a row for a pair
+        roots = _merged(roots, stage(_hot_links(hot, roots, sets), "join-links"))
 
     rest = _likely(_apart(pairs, cliques, roots), per_set).select("a", "b")
     rest = stage(rest.join(first, ["a", "b"], "left_anti"), "join-rest")
@@ -558,8 +568,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         if not new.isEmpty():
             late = late.union(_with_sets(docs, new, words))
         roots = _merged(roots, _verified(rest, late))
-    if hot is not None:
-        roots = _merged(roots, stage(_hot_links(hot, roots, sets), "join-links"))
     return _labelled(members, roots)
 
 
@@ -651,7 +659,8 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _compare_blocks(table: pa.Table) -> pa.Table:
-    """Links of the outsiders of a block to members of other components, one a component."""
+    """A spanning forest of the links of a block's outsiders to members of other components."""
+    root: dict[int, int] = {}
     kinds, nodes, own = (table.column(c).to_pylist() for c in ("outside", "node", "root"))
     sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
     inside = [k for k, outside in enumerate(kinds) if not outside]
@@ -665,10 +674,8 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
         count = high - low
         places = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
         both = np.bincount(owner[places], minlength=len(inside))
-        met = {own[k]}
         for j in np.flatnonzero(100 * both >= 75 * (len(sets[k]) + size - both)).tolist():
-            if own[inside[j]] not in met:
-                met.add(own[inside[j]])
+            if _join_roots(root, own[k], own[inside[j]]):
                 left.append(nodes[k])
                 right.append(nodes[inside[j]])
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,3 +364,26 @@ def test_pairs_inside_components_are_dropped_before_any_join(spark, monkeypatch)
         monkeypatch.setattr(ngram_join, "MAX_BROADCAST", most)
         assert {(r["a"], r["b"]) for r in ngram_join._between(pairs, roots).collect()} == apart
     assert ngram_join._between(pairs, roots.limit(0)).count() == 66
+
+
+def test_blocks_give_a_forest():
+    """Outsiders that all link with each other, each a component of its own, give one link less than there are sets."""
+    sets = [np.arange(k, 200 + k, dtype=np.uint64).tobytes() for k in range(40)]
+    nodes = list(range(40))
+    table = pa.table({"outside": [False] * 40 + [True] * 39, "node": nodes + nodes[1:], "root": nodes + nodes[1:], "elements": sets + sets[1:]})
+    links = ngram_join._compare_blocks(table)
+    assert links.num_rows == 39
+    (roots,) = ngram_join._joined(links.to_batches())
+    assert roots.column(0).to_pylist() == nodes[1:] and set(roots.column(1).to_pylist()) == {0}
+
+
+def test_hot_groups_are_compared_before_pairs_are_drawn(spark, monkeypatch):
+    """Links that only a hot group shows are known when the other groups give their pairs."""
+    steps = []
+    for name in ("_hot_links", "_apart"):
+        whole = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda *a, whole=whole, name=name: steps.append(name) or whole(*a))
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*words[: 3 * k], f"x{k}", *words[3 * k + 1 :]])) for k in range(ngram_join.HOT + 8)]
+    assert Counter(tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_join(rows)
+    assert steps == ["_hot_links", "_apart"]
