@@ -63,3 +63,7 @@ def test_quotes_by_the_whole_ladder(spark, tmp_path):
     got = {tuple(r) for r in plans.QUERIES["quote_match_state"](spark, str(tmp_path)).select("item_id", "doc_id", "state").collect()}
     assert got == {(1, 10, "exact"), (2, 11, "near_exact"), (3, 12, "exact"), (6, 15, "exact")}
     assert tuple(plans.QUERIES["evidence_verify"](spark, str(tmp_path)).select("total", "exact", "near_exact").first()) == (6, 3, 1)
+
+
+def test_paths_read_the_letters_once(spark, sf_dir):
+    assert "l_orderkey" not in plans.QUERIES["k_paths"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
