@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from lettermill import plans
+from lettermill import archive, plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -65,5 +66,16 @@ def test_quotes_by_the_whole_ladder(spark, tmp_path):
     assert tuple(plans.QUERIES["evidence_verify"](spark, str(tmp_path)).select("total", "exact", "near_exact").first()) == (6, 3, 1)
 
 
+@pytest.mark.parametrize("name", ["attachment_stats", "batch_hydration", "entity_reextraction_concat", "full_hydration", "relationship_summary"])
+def test_more_line_items_take_more_partitions(spark, sf_dir, duck, monkeypatch, name):
+    monkeypatch.setattr(archive, "LINES_A_TASK", 500)
+    n = archive.parts(spark, sf_dir)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"hashpartitioning\((.*), (\d+)\)", plan)
+    assert exchanges and all(int(count) == n or keys.split("#")[0] in ("email", "extension") and "," not in keys for keys, count in exchanges), exchanges
+    test_matches_sql(spark, sf_dir, duck, name)
+
+
 def test_paths_read_the_letters_once(spark, sf_dir):
     assert "l_orderkey" not in plans.QUERIES["k_paths"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
