@@ -153,9 +153,10 @@ def _build(rows: DataFrame, path: str) -> str:
         if rest is not None:
             yield packed_rows(rest, np.zeros(1, np.int64))
 
-    cells = placed.select("block", "slot", "length", F.explode("cells").alias("c")).select("block", "slot", "length", F.col("c.term").alias("term"), F.coalesce("c.weight", F.lit(float("nan"))).alias("weight"))
+    # dealt by block before the cells are rows, so that a document travels as one
+    cells = placed.repartition("block").select("block", "slot", "length", F.explode("cells").alias("c")).select("block", "slot", "length", F.col("c.term").alias("term"), F.coalesce("c.weight", F.lit(float("nan"))).alias("weight"))
     # sorted by term, so that a reader of a few terms skips row groups
-    packed = cells.repartition("term", "block").sortWithinPartitions("term", "block", "slot").mapInArrow(pack, _POSTING)
+    packed = cells.sortWithinPartitions("term", "block", "slot").mapInArrow(pack, _POSTING)
     packed.write.option("compression", "zstd").parquet(f"{path}/segments/{name}/postings")
     return name
 
@@ -234,6 +235,12 @@ class Found:
     blocks: DataFrame
 
 
+def _asking(headers: DataFrame, asked: DataFrame, chosen: DataFrame, group: list[str]) -> DataFrame:
+    """(term, group..., asking: which queries with what factors): only terms that a chosen block has, as all terms for all blocks would grow with the square of the index."""
+    there = headers.select("term", "segment", "block").join(chosen.select("segment", "block").distinct(), ["segment", "block"], "left_semi")
+    return there.join(asked, "term").join(chosen, ["query_id", "segment", "block"]).groupBy("term", *group).agg(F.collect_list(F.struct("query_id", "factor", "raw")).alias("asking"))
+
+
 def search(index: Index, asked: DataFrame, top: int, bm25: bool) -> Found:
     """The ``top`` documents of every query by score, then key; ``asked`` is (query_id, term, factor, raw).
 
@@ -291,7 +298,7 @@ def search(index: Index, asked: DataFrame, top: int, bm25: bool) -> Found:
         """Scores of the chosen (query_id, segment, block)."""
         group = ["segment", "block", "share"]
         chosen = chosen.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(-(-queries // TOGETHER))).cast("int"))
-        asking = chosen.join(asked, "query_id").groupBy("term", *group).agg(F.collect_list(F.struct("query_id", "factor", "raw")).alias("asking"))
+        asking = _asking(headers, asked, chosen, group)
         own = index.postings.drop("n", "low", "high").join(terms, "term", "left_semi").join(asking, ["term", "segment", "block"])
         documents = index.documents.join(chosen.select(*group).distinct(), ["segment", "block"]).select(*(F.col(c).alias(f"{c}_") for c in group), "keys", "lengths")
         scored = own.groupBy(*group).cogroup(documents.groupBy(*(f"{c}_" for c in group))).applyInArrow(score, f"query_id {query_kind}, key {key_kind}, score double, raw boolean")

@@ -112,3 +112,19 @@ def test_runs_go_on_over_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(GroupedData, "applyInArrow", lambda *a, **k: plans.append(a))
     postings.add(f"{tmp_path}/7", rows)
     assert not plans
+
+
+def test_a_block_is_asked_only_for_terms_it_has(spark):
+    """A query of many terms, each in one block: what is asked grows with the postings, not with terms times blocks."""
+    n = 3 * postings.SLOTS
+    rows = spark.range(n).select(F.col("id").alias("key"), F.array(F.struct(F.concat(F.lit("t"), F.floor(F.col("id") / 100)).alias("term"), (F.col("id") + 1.0).alias("weight"))).alias("cells"))
+    path = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+    postings.add(path, rows)
+    index = postings.open_index(spark, path)
+    asked = spark.range(n // 100 + 1).select(F.lit(1).alias("query_id"), F.concat(F.lit("t"), "id").alias("term"), F.lit(2.0).alias("factor"), F.lit(True).alias("raw"))
+    chosen = index.documents.select(F.lit(1).alias("query_id"), "segment", "block", F.lit(0).alias("share"))
+    held = {tuple(r) for r in index.postings.select("term", "segment", "block").collect()}
+    found = postings._asking(index.postings, asked, chosen, ["segment", "block", "share"]).collect()
+    assert len({b for *_, b in held}) == 3 and len(found) == len(held) < 2 * asked.count()
+    assert {(r["term"], r["segment"], r["block"]) for r in found} == held and all(len(r["asking"]) == 1 for r in found)
+    assert [tuple(r) for r in postings.search_dot(index, asked.drop("raw"), 3).hits.orderBy("place").select("key", "score").collect()] == [(n - k, 2.0 * (n - k + 1)) for k in (1, 2, 3)]
